@@ -8,10 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 from simspark.llm.bpe import op9_byte_bpe
 from simspark.llm.language import op8_language_id
+from simspark.llm.warc import op4_warc_bundles
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {q.__name__: q for q in (op8_language_id, op9_byte_bpe)}
+    return {q.__name__: q for q in (op4_warc_bundles, op8_language_id, op9_byte_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
