@@ -6,14 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from simspark.llm import topk
 from simspark.llm.bpe import op9_byte_bpe
 from simspark.llm.language import op8_language_id
+from simspark.llm.neardup_vectors import op5_embedding_near_dedup
+from simspark.llm.topk import op7_exact_topk
 from simspark.llm.warc import op4_warc_bundles
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {q.__name__: q for q in (op4_warc_bundles, op8_language_id, op9_byte_bpe)}
+    return {q.__name__: q for q in (op4_warc_bundles, op5_embedding_near_dedup, op7_exact_topk, op8_language_id, op9_byte_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op7_exact_topk": topk.ORACLE_SQL}
