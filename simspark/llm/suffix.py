@@ -199,9 +199,12 @@ def suffix_array(text: np.ndarray, cap: int, limit: int = IN_MEMORY, base: int =
     n = len(text)
     if n < 2:
         return np.zeros(0, np.int64), np.zeros(0, np.uint16)
-    used, text = np.unique(text, return_inverse=True)
-    text = text.ravel().astype(np.uint8 if len(used) <= 256 else np.int32)
-    buckets = len(used)
+    if text.dtype == np.uint8:
+        present = np.bincount(text, minlength=256) > 0
+        text, buckets = (np.cumsum(present) - 1).astype(np.uint8)[text], int(present.sum())
+    else:
+        used, text = np.unique(text, return_inverse=True)
+        text, buckets = text.ravel().astype(np.uint8 if len(used) <= 256 else np.int32), len(used)
     # type of each suffix: that of the first later place where neighbours differ; separators are S
     change = np.flatnonzero(text[1:] != text[:-1])
     nxt = np.searchsorted(change, np.arange(n))
