@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from simspark.llm import topk
 from simspark.llm.bpe import op9_byte_bpe
+from simspark.llm.html import op2_html_extraction
 from simspark.llm.language import op8_language_id
 from simspark.llm.minhash import op10_minhash_near_dedup
 from simspark.llm.neardup_vectors import op5_embedding_near_dedup
@@ -18,7 +19,7 @@ from simspark.llm.warc import op4_warc_bundles
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {q.__name__: q for q in (op1_suffix_array_dedup, op4_warc_bundles, op5_embedding_near_dedup, op6_best_fit_packing, op7_exact_topk, op8_language_id, op9_byte_bpe, op10_minhash_near_dedup)}
+    return {q.__name__: q for q in (op1_suffix_array_dedup, op2_html_extraction, op4_warc_bundles, op5_embedding_near_dedup, op6_best_fit_packing, op7_exact_topk, op8_language_id, op9_byte_bpe, op10_minhash_near_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
