@@ -7,8 +7,9 @@ turn, so such a pair shares a key. For a pair at the threshold 0.8 a chunk of si
 fail with probability 2e-5. Links are confirmed on the full sets.
 
 Documents with equal sets are one class from the start. Buckets of a key are not expanded into all pairs: first each member is
-held against the bucket's smallest and largest class. Only pairs whose classes are then still in different components are
-compared, and a bucket of more than HOT classes is split first by the keys of a second, independent signature.
+held against the bucket's smallest and largest class. Only buckets whose classes are then still in several components are gone
+through again, in tiles of bounded size: signatures are compared inside a tile, and a pair leaves it only if its classes are in
+different components, its signatures are close, and no earlier key of the two leads to the same pair.
 
 Cases: null and empty texts and texts without a word have an empty set and link with nothing; fewer than `width` words form one
 shingle; very long texts are used whole; rows with a null doc_id link with nothing, their component is null and kept is false;
@@ -30,9 +31,9 @@ from simspark.llm.components import connected_components
 WIDTH, PERCENT = 4, 80
 CHUNKS, CHUNK_SYMBOLS = 10, 6
 SYMBOLS = CHUNKS * CHUNK_SYMBOLS
-#: Signatures of a pair at the threshold differ in more of the 2 * SYMBOLS symbols than this once in 10**5 pairs.
-MAX_DISTANCE = 44
-HOT = 64
+#: All symbols of a signature, those that a star is filtered by, and the deviations that a pair at the threshold may lie off.
+TOTAL, STAR, DEVIATIONS = 8 * SYMBOLS, 2 * SYMBOLS, 5.0
+TILE = 1_024
 _BYTES = 2_000_000
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -40,8 +41,8 @@ _BLANK = np.zeros(256, bool)
 _BLANK[[32, 9, 10, 11, 12, 13]] = True
 _rng = np.random.default_rng(10)
 _PLACE = _rng.integers(1, 2**63, 16, dtype=np.uint64) | np.uint64(1)
-_FLIP = _rng.integers(1, 2**63, 2 * SYMBOLS, dtype=np.uint64)
-_TIMES = _rng.integers(1, 2**63, 2 * SYMBOLS, dtype=np.uint64) | np.uint64(1)
+_FLIP = _rng.integers(1, 2**63, TOTAL, dtype=np.uint64)
+_TIMES = _rng.integers(1, 2**63, TOTAL, dtype=np.uint64) | np.uint64(1)
 _KEY = _rng.integers(1, 2**63, SYMBOLS, dtype=np.uint64) | np.uint64(1)
 _SLOT = _rng.integers(1, 2**63, SYMBOLS, dtype=np.uint64)
 _words = RollingHash(3)
@@ -84,23 +85,29 @@ def shingle_sets(body: np.ndarray, offsets: np.ndarray, width: int = WIDTH) -> t
 
 
 def signatures(h: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """A row of 2 * SYMBOLS 16-bit symbols for each set; zeros for empty ones."""
-    out = np.zeros((len(at) - 1, 2 * SYMBOLS), np.uint16)
+    """A row of TOTAL 16-bit symbols for each set; zeros for empty ones."""
+    out = np.zeros((len(at) - 1, TOTAL), np.uint16)
     some = np.flatnonzero(np.diff(at))
     if len(some):
         work = np.empty_like(h)
-        for k in range(2 * SYMBOLS):
+        for k in range(TOTAL):
             np.bitwise_xor(h, _FLIP[k], out=work)
             np.multiply(work, _TIMES[k], out=work)
             out[some, k] = mix64(np.minimum.reduceat(work, at[some])) >> np.uint64(48)
     return out
 
 
-def index_keys(symbols: np.ndarray, salt: np.ndarray | None = None) -> np.ndarray:
+def max_distance(symbols: int, percent: int = PERCENT) -> int:
+    """Symbols in which a pair at the threshold differs at most, but for one in three million."""
+    p = 1 - percent / 100
+    return int(symbols * p + DEVIATIONS * (symbols * p * (1 - p)) ** 0.5)
+
+
+def index_keys(symbols: np.ndarray) -> np.ndarray:
     """(rows, SYMBOLS) keys: of each chunk with each of its symbols left out. Equal keys: at most that one symbol differs."""
     value = symbols.astype(np.uint64).reshape(len(symbols), CHUNKS, CHUNK_SYMBOLS) * _KEY.reshape(CHUNKS, CHUNK_SYMBOLS)
     key = (value.sum(axis=2, keepdims=True) - value).reshape(len(symbols), SYMBOLS) + _SLOT
-    return mix64(key if salt is None else key ^ mix64(salt)[:, None])
+    return mix64(key)
 
 
 def sketch(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH) -> DataFrame:
@@ -120,38 +127,89 @@ def sketch(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", widt
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, n_shingles long, h1 long, h2 long, sig binary")
 
 
-def _matrix(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(len(column), 2 * SYMBOLS)
+def _matrix(column: pa.Array, symbols: int) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(len(column), symbols)
 
 
-def _keys(rows: DataFrame, second: bool = False) -> DataFrame:
-    """(key, id) of (id, sig), or of (key, id, sig) by the second half of the signature within each key."""
+def _keys(rows: DataFrame) -> DataFrame:
+    """(key, id) of (id, sig), sig being the first SYMBOLS symbols."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for start in range(0, whole.num_rows, 5_000):
                 batch = whole.slice(start, 5_000)
-                m = _matrix(batch.column("sig"))
-                salt = np.asarray(batch.column("key")).view(np.uint64) if second else None
-                keys = index_keys(m[:, SYMBOLS:] if second else m[:, :SYMBOLS], salt)
+                keys = index_keys(_matrix(batch.column("sig"), SYMBOLS))
                 yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(np.repeat(np.asarray(batch.column("id")), SYMBOLS))], ["key", "id"])
 
-    return rows.select(*(["key"] if second else []), "id", "sig").mapInArrow(run, "key long, id long")
+    return rows.select("id", "sig").mapInArrow(run, "key long, id long")
 
 
-def _close(pairs: DataFrame, reps: DataFrame, percent: int, distance: int) -> DataFrame:
+def _close(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     """Of pairs (a, b), those whose sizes and signatures allow a link."""
-    side = lambda x: reps.select(F.col("id").alias(x), F.col("n_shingles").alias(f"n{x}"), F.col("sig").alias(f"s{x}"))
+    side = lambda x: reps.select(F.col("id").alias(x), F.col("n_shingles").alias(f"n{x}"), F.substring("sig", 1, 2 * STAR).alias(f"s{x}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b").where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
+    distance = max_distance(STAR, percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            near = np.flatnonzero((_matrix(batch.column("sa")) != _matrix(batch.column("sb"))).sum(axis=1) <= distance)
-            yield pa.RecordBatch.from_arrays([batch.column("a").take(pa.array(near)), batch.column("b").take(pa.array(near))], ["a", "b"])
+            near = pa.array(np.flatnonzero((_matrix(batch.column("sa"), STAR) != _matrix(batch.column("sb"), STAR)).sum(axis=1) <= distance))
+            yield pa.RecordBatch.from_arrays([batch.column("a").take(near), batch.column("b").take(near)], ["a", "b"])
 
     return both.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
+def _tile_pairs(key: int, tile: tuple[int, int], t: np.ndarray, ids: np.ndarray, c: np.ndarray, n: np.ndarray, sig: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """(a, b) of a tile of a bucket: in different components, close, and not to be met under an earlier key."""
+    left, right = np.flatnonzero(t == tile[0]), np.flatnonzero(t == tile[1])
+    keys = index_keys(sig[:, :SYMBOLS]).view(np.int64)
+    limit = max_distance(TOTAL, percent)
+    out = []
+    for i in left.tolist():
+        other = right if tile[0] != tile[1] else right[right > i]
+        other = other[(c[other] != c[i]) & (100 * np.minimum(n[other], n[i]) >= percent * np.maximum(n[other], n[i]))]
+        if len(other):
+            other = other[(sig[other] != sig[i]).sum(axis=1) <= limit]
+        if len(other):
+            first = (keys[other] == keys[i]).argmax(axis=1)
+            other = other[keys[i][first] == key]
+            out.append((np.full(len(other), ids[i]), ids[other]))
+    if not out:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    a, b = (np.concatenate(x) for x in zip(*out))
+    return np.minimum(a, b), np.maximum(a, b)
+
+
+def _open_pairs(rows: DataFrame, percent: int) -> DataFrame:
+    """(a, b) of rows (key, n, id, c, n_shingles, sig) of buckets with n members."""
+    tiles = F.ceil(F.col("n") / TILE).cast("int")
+    dealt = rows.withColumn("tiles", tiles).withColumn("t", F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int"))
+    dealt = dealt.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    dealt = dealt.select("key", F.least("t", "o").alias("i"), F.greatest("t", "o").alias("j"), "t", "id", "c", "n_shingles", "sig")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def one(key: int, i: int, j: int, parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+            t = pa.Table.from_batches(parts).combine_chunks()
+            column = lambda x: np.asarray(t.column(x))
+            found = _tile_pairs(key, (i, j), column("t"), column("id"), column("c"), column("n_shingles"), _matrix(t.column("sig"), TOTAL), percent)
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in found], ["a", "b"])
+
+        now, parts = None, []
+        for batch in batches:
+            names = np.stack([np.asarray(batch.column(x)).astype(np.int64) for x in ("key", "i", "j")], 1)
+            cuts = np.append(0, np.flatnonzero((names[1:] != names[:-1]).any(axis=1)) + 1) if len(names) else []
+            for a, b in zip(cuts, [*cuts[1:], batch.num_rows]):
+                name = tuple(names[a].tolist())
+                if name != now and parts:
+                    yield one(*now, parts)
+                    parts = []
+                now = name
+                parts.append(batch.slice(a, b - a))
+        if parts:
+            yield one(*now, parts)
+
+    return dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(run, "a long, b long")
+
+
 def _confirmed(ws: Workspace, tag: str, pairs: DataFrame, docs: DataFrame, percent: int, width: int) -> DataFrame:
     """Of saved pairs (a, b), the links: percent of the union is shared, on the full sets."""
     needed = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
@@ -190,31 +248,28 @@ def _ordered(a: str, b: str) -> tuple[Column, Column]:
     return F.least(a, b).alias("a"), F.greatest(a, b).alias("b")
 
 
-def near_duplicates(ws: Workspace, documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, percent: int = PERCENT, distance: int = MAX_DISTANCE, hot: int = HOT) -> DataFrame:
+def near_duplicates(ws: Workspace, documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for each row of documents."""
     docs = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     sketches = ws.save(sketch(docs, width=width), "sketches")
     some = sketches.where("n_shingles > 0 and doc_id is not null")
     classes = some.groupBy("h1", "h2").agg(F.min("doc_id").alias("id"))
-    reps = ws.save(some.join(classes.select("h1", "h2", F.col("id").alias("doc_id")), ["h1", "h2", "doc_id"], "left_semi").dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("id"), "n_shingles", "sig"), "reps")
+    firsts = some.select("h1", "h2", "doc_id", F.substring("sig", 1, 2 * SYMBOLS).alias("sig")).join(classes.withColumnRenamed("id", "doc_id"), ["h1", "h2", "doc_id"], "left_semi")
     # buckets: keys that two classes or more share
-    keys = _keys(reps)
+    keys = _keys(firsts.dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("id"), "sig"))
     ends = keys.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high")
     live = ws.save(keys.join(ends, "key"), "live")
+    members = live.select(F.col("id").alias("doc_id")).distinct()
+    reps = ws.save(some.select("doc_id", "n_shingles", "sig").join(members, "doc_id", "left_semi").dropDuplicates(["doc_id"]).withColumnRenamed("doc_id", "id"), "reps")
     star = live.select("id", F.explode(F.array("low", "high")).alias("end")).where("id <> end").select(*_ordered("id", "end")).distinct()
-    tried = ws.save(_close(star, reps, percent, distance), "tried-1")
+    tried = ws.save(_close(star, reps, percent), "tried")
     links = _confirmed(ws, "round-1", tried, docs, percent, width)
     groups = connected_components(ws, links, "cc-1")
     # what the stars left open: buckets whose classes are in several components
     own = live.select("key", "id").join(groups, "id", "left").select("key", "id", F.coalesce("component", "id").alias("c"))
     split = own.groupBy("key").agg(F.min("c").alias("c1"), F.max("c").alias("c2"), F.count("*").alias("n")).where("c1 < c2").select("key", "n")
-    open_ = ws.save(own.join(split, "key"), "open")
-    large = _keys(open_.where(F.col("n") > hot).join(reps.select("id", "sig"), "id"), second=True).join(groups, "id", "left").select("key", "id", F.coalesce("component", "id").alias("c"))
-    again = large.groupBy("key").agg(F.min("c").alias("c1"), F.max("c").alias("c2")).where("c1 < c2").select("key")
-    rest = open_.where(F.col("n") <= hot).select("key", "id", "c").unionByName(large.join(again, "key"))
-    one, other = (rest.select("key", F.col("id").alias(x), F.col("c").alias(f"c{x}")) for x in "ab")
-    cross = one.join(other, "key").where("a < b and ca <> cb").select("a", "b").distinct()
-    fresh = ws.save(_close(cross, reps, percent, distance).join(tried, ["a", "b"], "left_anti"), "tried-2")
+    open_ = own.join(split, "key").join(reps, "id").select("key", "n", "id", "c", "n_shingles", "sig")
+    fresh = ws.save(_open_pairs(open_, percent).join(tried, ["a", "b"], "left_anti"), "fresh")
     more = _confirmed(ws, "round-2", fresh, docs, percent, width)
     groups = connected_components(ws, links.unionByName(more), "cc-2")
     named = classes.join(groups, "id", "left").select("h1", "h2", F.coalesce("component", "id").alias("component"))
