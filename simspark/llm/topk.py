@@ -23,7 +23,7 @@ from simspark.llm.common import Workspace, table
 
 SCALE, EVERY, K = 64, 20, 20
 QUERY_BLOCK, CANDIDATE_BLOCK = 2_048, 8_192
-_ROWS = 64
+_ROWS, _COLUMNS = 64, 8_192
 
 
 def finite(vector: Column) -> Column:
@@ -53,26 +53,34 @@ def best_of_block(q_ids: np.ndarray, queries: np.ndarray, c_ids: np.ndarray, can
     bound = queries.shape[1] * int(np.abs(queries).max(initial=0)) * int(np.abs(candidates).max(initial=0))
     if bound * (n + 1) >= 2**62:
         raise OverflowError("the scores need more than 64 bits")
-    kind = np.int32 if bound < 2**31 else np.int64
+    # sums of whole numbers are exact in each of these kinds up to its bound
+    kind = np.float32 if bound < 2**24 else np.int64
     postings = []
     for t in range(queries.shape[1]):
         at = np.flatnonzero(candidates[:, t])
-        postings.append((slice(None) if len(at) == n else at, candidates[at, t].astype(kind)))
+        # a list that most candidates are on is added as a whole, zeros included; a shorter one is scattered
+        at = slice(None) if 4 * len(at) > n else at
+        postings.append((at, candidates[at, t].astype(kind)))
     behind = n - 1 - np.arange(n, dtype=np.int64)  # breaks ties for the smaller id
     out = []
     for start in range(0, len(q_ids), _ROWS):
         rows, own = queries[start : start + _ROWS].astype(kind), q_ids[start : start + _ROWS]
         score = np.zeros((len(rows), n), kind)
-        for t, (at, weight) in enumerate(postings):
-            used = np.flatnonzero(rows[:, t])
-            if not len(used) or not len(weight):
-                continue
-            if isinstance(at, slice) and len(used) == len(rows):
-                score += rows[:, t, None] * weight
-            elif isinstance(at, slice):
-                score[used] += rows[used, t, None] * weight
-            else:
-                score[np.ix_(used, at)] += rows[used, t, None] * weight
+        for a in range(0, n, _COLUMNS):  # a strip of the score arrays that stays in the cache
+            strip = score[:, a : a + _COLUMNS]
+            product = np.empty_like(strip)
+            for t, (at, weight) in enumerate(postings):
+                used = np.flatnonzero(rows[:, t])
+                if not len(used) or not len(weight):
+                    continue
+                if isinstance(at, slice) and 2 * len(used) > len(rows):
+                    np.multiply(rows[:, t, None], weight[a : a + _COLUMNS], out=product)
+                    strip += product
+                elif isinstance(at, slice):
+                    strip[used] += rows[used, t, None] * weight[a : a + _COLUMNS]
+                else:
+                    lo, hi = np.searchsorted(at, (a, a + _COLUMNS))
+                    strip[np.ix_(used, at[lo:hi] - a)] += rows[used, t, None] * weight[lo:hi]
         key = score.astype(np.int64) * n + behind
         self_at = np.searchsorted(c_ids, own)
         hit = np.flatnonzero((self_at < n) & (c_ids[np.minimum(self_at, n - 1)] == own))
