@@ -130,21 +130,25 @@ def fit(df: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: s
     return Model(languages, tables[0], tables[1:])
 
 
-def predict(df: DataFrame, model: Model, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """The columns `keep` of df with lang_pred and score of each whole text."""
+def predict(df: DataFrame, model: Model, text_col: str = "text", keep: list[str] | None = None, carry_text: bool = False) -> DataFrame:
+    """The columns `keep` of df, and the text if carry_text, with lang_pred and score of each whole text."""
     keep = [c for c in df.columns if c != text_col] if keep is None else keep
     sent = df.sparkSession.sparkContext.broadcast(model)
-    kept = df.select(*keep, F.col(text_col).alias("__text"))
+    # columns go by number, as any name may be taken
+    kept = df.select(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(keep)), F.col(text_col).alias("text"))
+    sent_back = [f for f in kept.schema if carry_text or f.name != "text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = sent.value
         for whole in batches:
-            for batch in slices(whole, "__text", _BYTES):
-                found = [model.predict(t) for t in batch.column("__text").to_pylist()]
-                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())], [*keep, "lang_pred", "score"])
-
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema if f.name != "__text")
-    return kept.mapInArrow(run, f"{schema}, lang_pred string, score double")
+            for batch in slices(whole, "text", _BYTES):
+                found = [model.predict(t) for t in batch.column("text").to_pylist()]
+                yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in sent_back), pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())], [*(f.name for f in sent_back), "lang_pred", "score"])
+
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in sent_back)
+    out = kept.mapInArrow(run, f"{schema}, lang_pred string, score double" if schema else "lang_pred string, score double")
+    names = {f"c{i}": c for i, c in enumerate(keep)} | {"text": text_col}
+    return out.select(*(F.col(f.name).alias(names[f.name]) for f in sent_back), "lang_pred", "score")
 
 
 def held_out(id_col: str = "doc_id") -> Column:

@@ -14,12 +14,13 @@ from simspark.llm.minhash import op10_minhash_near_dedup
 from simspark.llm.neardup_vectors import op5_embedding_near_dedup
 from simspark.llm.packing import op6_best_fit_packing
 from simspark.llm.substring_dedup import op1_suffix_array_dedup
+from simspark.llm.token_counts import op3_edit_token_counts
 from simspark.llm.topk import op7_exact_topk
 from simspark.llm.warc import op4_warc_bundles
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {q.__name__: q for q in (op1_suffix_array_dedup, op2_html_extraction, op4_warc_bundles, op5_embedding_near_dedup, op6_best_fit_packing, op7_exact_topk, op8_language_id, op9_byte_bpe, op10_minhash_near_dedup)}
+    return {q.__name__: q for q in (op1_suffix_array_dedup, op2_html_extraction, op3_edit_token_counts, op4_warc_bundles, op5_embedding_near_dedup, op6_best_fit_packing, op7_exact_topk, op8_language_id, op9_byte_bpe, op10_minhash_near_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
