@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from simspark.llm.common import RollingHash, Workspace, mix64, slices, table, text_buffer
 from simspark.llm.suffix import repeated_starts
 
-LENGTH, ANCHOR, HOT, CELL = 400, 128, 512, 32
+LENGTH, ANCHOR, HOT, CELL = 400, 96, 512, 32
 SHARD_BYTES = 1 << 20
 _BYTES, _UNIT = 1 << 20, 1 << 19
 _hash = RollingHash(1)
@@ -103,10 +103,10 @@ def _classes(occurrences: DataFrame) -> DataFrame:
 
 
 def _repeated(ws: Workspace, classes: DataFrame, name: str, hot: int) -> DataFrame:
-    """The classes whose key comes twice or more, and whether the key has too many of them for one shard."""
+    """The classes whose key comes twice or more, and whether the key has too many of them for one shard, or only one."""
     saved = ws.save(classes, f"{name}-classes")
-    keys = saved.groupBy("key").agg(F.sum("n").alias("all"), F.count("*").alias("different")).where("all > 1").select("key", (F.col("different") > hot).alias("hot"))
-    return ws.save(saved.join(keys, "key").select("key", "seg", "n", "rep.*", "hot"), name)
+    keys = saved.groupBy("key").agg(F.sum("n").alias("all"), F.count("*").alias("different")).where("all > 1").select("key", (F.col("different") > hot).alias("hot"), (F.col("different") == 1).alias("only"))
+    return ws.save(saved.join(keys, "key").select("key", "seg", "n", "rep.*", "hot", "only"), name)
 
 
 def _with_text(docs: DataFrame, reps: DataFrame, columns: list[str]) -> DataFrame:
@@ -169,33 +169,41 @@ def _sort_shards(docs: DataFrame, classes: DataFrame, length: int, shards: int)
             for batch in slices(whole, "text", _BYTES):
                 body, offsets = text_buffer(batch.column("text"))
                 row, it = _items(batch)
-                a = offsets[row] + it["lo"]
-                b = a + it["windows"] + length - 1
-                yield pa.RecordBatch.from_arrays([pa.array(it["key"]), pa.array(it["seg"]), pa.array(it["n"] > 1), pa.array([body[x:y].tobytes() for x, y in zip(a.tolist(), b.tolist())], pa.binary())], ["key", "seg", "twice", "bytes"])
+                order = np.lexsort((it["lo"], row))
+                row, it = row[order], {k: v[order] for k, v in it.items()}
+                lo, stop, only = it["lo"], it["lo"] + it["windows"], it["only"]
+                # segments that follow each other go as one string where no other segment has their anchors
+                joint = np.append(False, (row[1:] == row[:-1]) & only[1:] & only[:-1] & (lo[1:] == stop[:-1])) if len(row) else np.zeros(0, bool)
+                first = np.flatnonzero(~joint)
+                last = np.append(first[1:], len(row)) - 1
+                a, b = (offsets[row] + lo)[first], (offsets[row] + stop)[last] - 1 + length
+                parts = np.stack([it["key"], it["seg"], it["windows"].astype(np.int64)], 1)
+                yield pa.RecordBatch.from_arrays([pa.array(it["key"][first]), pa.array([parts[x : y + 1].tobytes() for x, y in zip(first.tolist(), last.tolist())], pa.binary()), pa.array(it["n"][first] > 1), pa.array([body[x:y].tobytes() for x, y in zip(a.tolist(), b.tolist())], pa.binary())], ["key", "parts", "twice", "bytes"])
 
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts, names, at = [], [], [0]
+        strings, owners, at, n = [], [], [], 0
         for batch in batches:
-            for key, seg, twice, data in zip(*(batch.column(c).to_pylist() for c in ("key", "seg", "twice", "bytes"))):
-                names.append((key, seg))
+            for parts, twice, data in zip(*(batch.column(c).to_pylist() for c in ("parts", "twice", "bytes"))):
                 # code 0 separates, so bytes 0 give way to 255, which UTF-8 doesn't use
-                data = data.replace(b"\0", b"\xff")
-                parts.append(data + b"\0" + (data + b"\0" if twice else b""))
-                at.append(at[-1] + len(parts[-1]))
-        if not names:
+                data = data.replace(b"\0", b"\xff") + b"\0"
+                owners.append(np.frombuffer(parts, np.int64).reshape(-1, 3))
+                at.append(n)
+                strings.extend([data, data] if twice else [data])
+                n += len(data) * (1 + twice)
+        if not owners:
             return
-        starts = repeated_starts(np.frombuffer(b"".join(parts), np.uint8), length)
-        cut = np.searchsorted(starts, at)
+        starts = repeated_starts(np.frombuffer(b"".join(strings), np.uint8), length)
         out = []
-        for i, name in enumerate(names):
-            mine = starts[cut[i] : cut[i + 1]] - at[i]
-            mine = mine[mine < len(parts[i]) // (2 if len(parts[i]) and parts[i].count(b"\0") > 1 else 1)]
-            if len(mine):
-                out.append((*name, _ranges(mine).astype("<i4").tobytes()))
+        for begin, own in zip(at, owners):
+            edge = begin + np.append(0, np.cumsum(own[:, 2]))
+            cut = np.searchsorted(starts, edge)
+            for (key, seg, _), x, y, base in zip(own.tolist(), cut, cut[1:], edge):
+                if y > x:
+                    out.append((key, seg, _ranges(starts[x:y] - base).astype("<i4").tobytes()))
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.binary()))], names=["key", "seg", "found"])
 
-    cut = _with_text(docs, classes, ["key", "seg", "n", "lo", "windows"]).mapInArrow(texts, "key long, seg long, twice boolean, bytes binary")
+    cut = _with_text(docs, classes, ["key", "seg", "n", "lo", "windows", "only"]).mapInArrow(texts, "key long, parts binary, twice boolean, bytes binary")
     return cut.repartition(shards, "key").mapInArrow(sort, "key long, seg long, found binary")
 
 
@@ -215,8 +223,9 @@ def repeated_windows(ws: Workspace, docs: DataFrame, length: int = LENGTH, ancho
         again = own.where("hot").select("key", "seg")
         level = parts.join(again, ["key", "seg"], "left_semi").select("pkey", "pseg", (F.col("lo") - F.col("off")).alias("plo"), "key", "uid", "lo", "windows", "ahead", "n")
         size = 1
-    cool = ws.save(cool.select("key", "seg", "n", "uid", "lo", "windows"), "cool")
-    total = cool.agg(F.sum((F.col("windows") + length) * F.least(F.col("n"), F.lit(2)))).first()[0] or 0
+    cool = ws.save(cool.select("key", "seg", "n", "uid", "lo", "windows", "only"), "cool")
+    # joint strings share their ends, so this counts single segments somewhat high for what runs on
+    total = cool.agg(F.sum((F.col("windows") + F.when(F.col("only"), length // 4).otherwise(length)) * F.least(F.col("n"), F.lit(2)))).first()[0] or 0
     found = ws.save(_sort_shards(docs, cool, length, max(1, math.ceil(total / shard_bytes))), "found")
     parents = found.select("key", "seg", F.array(F.struct(F.lit(0).cast("long").alias("off"), "found")).alias("found"))
     if wide:
@@ -231,11 +240,12 @@ def repeated_windows(ws: Workspace, docs: DataFrame, length: int = LENGTH, ancho
 def removed_mask(n: int, items: list[dict], length: int = LENGTH) -> np.ndarray:
     """Which of n bytes are covered by repeated windows."""
     change = np.zeros(n + 1, np.int32)
-    for item in items:
-        for part in item["found"]:
-            pairs = np.frombuffer(part["found"], "<i4").reshape(-1, 2).astype(np.int64) + item["lo"] + part["off"]
-            np.add.at(change, pairs[:, 0], 1)
-            np.add.at(change, pairs[:, 1] - 1 + length, -1)
+    parts = [(item["lo"] + part["off"], part["found"]) for item in items for part in item["found"]]
+    if parts:
+        pairs = np.frombuffer(b"".join(f for _, f in parts), "<i4").reshape(-1, 2).astype(np.int64)
+        pairs += np.repeat([at for at, _ in parts], [len(f) // 8 for _, f in parts])[:, None]
+        np.add.at(change, pairs[:, 0], 1)
+        np.add.at(change, pairs[:, 1] - 1 + length, -1)
     return np.cumsum(change[:n]) > 0
 
 
@@ -282,7 +292,10 @@ def digests(ws: Workspace, docs: DataFrame, **options) -> DataFrame:
             body, offsets = text_buffer(batch.column("text"))
             for items, a, b in zip(batch.column("items"), offsets.tolist(), offsets[1:].tolist()):
                 mine = body[a:b]
-                gone = removed_mask(b - a, items.as_py() or [], length)
+                if not items.is_valid:
+                    out.append((b - a, 0, 0, hashlib.sha256(mine).hexdigest()))
+                    continue
+                gone = removed_mask(b - a, items.as_py(), length)
                 spans = int((gone[1:] & ~gone[:-1]).sum() + gone[:1].sum()) if b > a else 0
                 out.append((b - a, int(gone.sum()), spans, hashlib.sha256(mine[~gone]).hexdigest()))
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string())
