@@ -210,19 +210,21 @@ def _open_pairs(rows: DataFrame, percent: int) -> DataFrame:
     return dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(run, "a long, b long")
 
 
-def _confirmed(ws: Workspace, tag: str, pairs: DataFrame, docs: DataFrame, percent: int, width: int) -> DataFrame:
-    """Of saved pairs (a, b), the links: percent of the union is shared, on the full sets."""
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+def _sets(docs: DataFrame, members: DataFrame, width: int) -> DataFrame:
+    """(doc_id, set) of the members, from their whole texts."""
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, "text", _BYTES):
                 h, at = shingle_sets(*text_buffer(batch.column("text")), width)
                 at = at.tolist()
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([h[a:b].tobytes() for a, b in zip(at, at[1:])], pa.binary())], ["doc_id", "set"])
 
-    # rows that repeat an id: one of them will do if their texts are the same; else the id's class was taken from the first by hash
-    full = ws.save(docs.join(needed, "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInArrow(sets, "doc_id long, set binary"), f"{tag}-sets")
+    return docs.join(members, "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInArrow(run, "doc_id long, set binary")
+
+
+def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Of pairs (a, b), the links: percent of the union is shared, on the full sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -237,11 +239,9 @@ def _confirmed(ws: Workspace, tag: str, pairs: DataFrame, docs: DataFrame, perce
             keep = pa.array(keep, pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column("a").take(keep), batch.column("b").take(keep)], ["src", "dst"])
 
-    side = lambda x, s: full.select(F.col("doc_id").alias(x), F.col("set").alias(s))
+    side = lambda x, s: sets.select(F.col("doc_id").alias(x), F.col("set").alias(s))
     joined = pairs.join(side("a", "x"), "a").join(side("b", "y"), "b").select("a", "b", "x", "y")
-    found = ws.save(joined.mapInArrow(run, "src long, dst long"), f"{tag}-links")
-    ws.drop(f"{tag}-sets")
-    return found
+    return joined.mapInArrow(run, "src long, dst long")
 
 
 def _ordered(a: str, b: str) -> tuple[Column, Column]:
@@ -263,14 +263,15 @@ def near_duplicates(ws: Workspace, documents: DataFrame, id_col: str = "doc_id",
     reps = ws.save(some.select("doc_id", "n_shingles", "sig").join(members, "doc_id", "left_semi").dropDuplicates(["doc_id"]).withColumnRenamed("doc_id", "id"), "reps")
     star = live.select("id", F.explode(F.array("low", "high")).alias("end")).where("id <> end").select(*_ordered("id", "end")).distinct()
     tried = ws.save(_close(star, reps, percent), "tried")
-    links = _confirmed(ws, "round-1", tried, docs, percent, width)
+    sets = ws.save(_sets(docs, members, width), "sets")
+    links = ws.save(_confirmed(tried, sets, percent), "links-1")
     groups = connected_components(ws, links, "cc-1")
     # what the stars left open: buckets whose classes are in several components
     own = live.select("key", "id").join(groups, "id", "left").select("key", "id", F.coalesce("component", "id").alias("c"))
     split = own.groupBy("key").agg(F.min("c").alias("c1"), F.max("c").alias("c2"), F.count("*").alias("n")).where("c1 < c2").select("key", "n")
     open_ = own.join(split, "key").join(reps, "id").select("key", "n", "id", "c", "n_shingles", "sig")
     fresh = ws.save(_open_pairs(open_, percent).join(tried, ["a", "b"], "left_anti"), "fresh")
-    more = _confirmed(ws, "round-2", fresh, docs, percent, width)
+    more = ws.save(_confirmed(fresh, sets, percent), "links-2")
     groups = connected_components(ws, links.unionByName(more), "cc-2")
     named = classes.join(groups, "id", "left").select("h1", "h2", F.coalesce("component", "id").alias("component"))
     out = sketches.select("doc_id", "n_shingles", *(F.when(F.expr("n_shingles > 0 and doc_id is not null"), F.col(h)).alias(h) for h in ("h1", "h2"))).join(named, ["h1", "h2"], "left")
