@@ -9,11 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from simspark.llm import language, minhash, packing, substring_dedup
-from simspark.llm.common import Workspace, table
+from simspark.llm.common import Workspace, bounded_batches, table
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that have a language; those without a letter, null texts included, go."""
+    bounded_batches(spark)
     model = language.fit(docs.where(~language.held_out()))
     found = language.predict(docs, model, keep=[c for c in docs.columns if c != "text"], carry_text=True)
     return found.where(F.col("lang_pred") != language.UNKNOWN).select(*docs.columns)

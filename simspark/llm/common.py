@@ -12,7 +12,16 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Rows in an Arrow batch between Spark and Python: whole texts go in them, so Spark's default of 10,000 would hold too much.
+BATCH_ROWS = 1_000
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -29,6 +38,7 @@ class Workspace:
     """Tables of one query run in the shared folder. They cut lineage and outlive lost executors."""
 
     def __init__(self, spark: SparkSession, tag: str):
+        bounded_batches(spark)
         self.spark, self.path = spark, f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
 
     def save(self, df: DataFrame, name: str, **options: str) -> DataFrame:
@@ -85,27 +95,26 @@ def mix64(x: np.ndarray) -> np.ndarray:
 
 
 class RollingHash:
-    """Hashes of any sub-ranges of an array by prefix sums of a polynomial modulo 2**64."""
+    """Hashes of any sub-ranges of an array by prefix sums of a polynomial modulo 2**64. The seed chooses the values of the codes."""
 
     BASE = 0x5851F42D4C957F2D
+    up = down = np.ones(1, np.uint64)  # powers of BASE and of its inverse, shared by all
 
     def __init__(self, seed: int, values: int = 256):
         self.table = np.random.default_rng(seed).integers(1, 2**63, values, dtype=np.uint64) if values else None
-        self.base = (self.BASE + 2 * seed) % 2**64 | 1
-        self.inverse = pow(self.base, -1, 2**64)
-        self._grow(1 << 12)
 
-    def _grow(self, n: int) -> None:
+    @classmethod
+    def _grow(cls, n: int) -> None:
         with np.errstate(over="ignore"):
-            up, down = np.full(n, self.base, np.uint64), np.full(n, self.inverse, np.uint64)
+            up, down = np.full(n, cls.BASE, np.uint64), np.full(n, pow(cls.BASE, -1, 2**64), np.uint64)
             up[0] = down[0] = 1
-            self.up, self.down = np.multiply.accumulate(up), np.multiply.accumulate(down)
+            cls.up, cls.down = np.multiply.accumulate(up), np.multiply.accumulate(down)
 
     def prefix(self, codes: np.ndarray) -> np.ndarray:
         """prefix[i]: sum over the first i codes; hash it with span()."""
         n = len(codes)
         if n + 1 > len(self.up):
-            self._grow(max(n + 1, 2 * len(self.up)))
+            self._grow(max(n + 1, min(2 * len(self.up), 1 << 21)))
         out = np.zeros(n + 1, np.uint64)
         value = self.table[codes] if self.table is not None else mix64(codes.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15))
         np.cumsum(value * self.down[:n], out=out[1:])

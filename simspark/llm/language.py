@@ -44,42 +44,44 @@ def grams_of(word: str, n: int) -> list[str]:
 
 
 class Model:
-    """Log-probability rows, by language, of words and of n-grams."""
+    """Log-probability rows, by language, of words and of n-grams; all bounded by the limits above."""
+
+    MEMO = 20_000  # unseen words that are remembered
 
     def __init__(self, languages: list[str], words: dict[str, np.ndarray], grams: list[dict[str, np.ndarray]]):
         self.languages = languages
-        self.index: dict[str, int] = {w: i for i, w in enumerate(words)}
-        self.rows = np.array(list(words.values())).reshape(len(words), len(languages))
-        self.grams = grams  # grams[n - 1]
-        self._extra: dict[str, int] = {}
-        self._unseen: list[np.ndarray] = []
+        tables = [words, *grams]  # tables[n]: n-grams, tables[0]: words
+        self.index = [{w: i for i, w in enumerate(t)} for t in tables]
+        self.rows = [np.array(list(t.values())).reshape(len(t), len(languages)) for t in tables]
+        self._memo: dict[str, np.ndarray] = {}
 
     def unseen(self, word: str) -> np.ndarray:
         """Score of a word that isn't known: the mean over the longest n-grams of it that are."""
-        for n in range(MAX_GRAM, 0, -1):
-            if found := [r for g in grams_of(word, n) if (r := self.grams[n - 1].get(g)) is not None]:
-                return BACKOFF * np.mean(found, axis=0)
-        return np.zeros(len(self.languages))
+        if (score := self._memo.get(word)) is None:
+            score = np.zeros(len(self.languages))
+            for n in range(MAX_GRAM, 0, -1):
+                if found := [i for g in grams_of(word, n) if (i := self.index[n].get(g)) is not None]:
+                    score = BACKOFF * self.rows[n][found].sum(axis=0) / len(found)
+                    break
+            if len(self._memo) >= self.MEMO:
+                self._memo.clear()
+            self._memo[word] = score
+        return score
 
     def predict(self, text: str | None) -> tuple[str, float]:
         words = words_of(text) if text else []
         if not words or not self.languages:
             return UNKNOWN, 0.0
         total = np.zeros(len(self.languages))
-        index, known, counts = self.index.get, [], Counter(words)
-        times = []
-        for word, k in counts.items():
+        index, known, times = self.index[0].get, [], []
+        for word, k in Counter(words).items():
             if (i := index(word)) is not None:
-                known.append(i), times.append(k)
+                known.append(i)
+                times.append(k)
             else:
-                if (e := self._extra.get(word)) is None:
-                    if len(self._unseen) >= 200_000:  # a bound on the memo
-                        self._extra.clear(), self._unseen.clear()
-                    e = self._extra[word] = len(self._unseen)
-                    self._unseen.append(self.unseen(word))
-                total += k * self._unseen[e]
+                total += k * self.unseen(word)
         if known:
-            total += np.asarray(times) @ self.rows[known]
+            total += np.asarray(times) @ self.rows[0][known]
         # the evidence of neighbouring words isn't independent: the posterior is taken over the root of their number
         total *= 3.0 / max(1.0, len(words) ** 0.5)
         p = np.exp(total - total.max())

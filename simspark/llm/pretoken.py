@@ -18,7 +18,7 @@ LETTER, NUMBER, OTHER, SPACE = 0, 1, 2, 3
 #: Characters a chunk must still show behind a boundary before the boundary counts as final.
 MARGIN = 4
 CHUNK, OVERLAP = 16_384, 512
-_RESET = 400_000
+_RESET = 150_000
 
 
 @lru_cache(1)

@@ -37,7 +37,7 @@ class PieceCounts(dict):
         self.encoding = encoding
 
     def __missing__(self, piece: str) -> int:
-        if len(self) > 500_000:
+        if len(self) > 150_000:
             self.clear()
         n = self[piece] = len(self.encoding._encode_single_piece(piece))
         return n
