@@ -41,7 +41,9 @@ def band_keys(signature: Column, bands: int = 32, num_perm: int = 128) -> Column
     if num_perm % bands:
         raise ValueError("bands must divide the number of permutations")
     rows = num_perm // bands
-    return F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda b: F.md5(F.concat_ws(",", F.transform(F.slice(signature, b * rows + 1, rows), lambda x: x.cast("string")))))
+    keys = lambda sig: F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda b: F.md5(F.concat_ws(",", F.transform(F.slice(sig, b * rows + 1, rows), lambda x: x.cast("string")))))
+    # the signature is made once, as the item of an outer array, and not anew for each band
+    return F.transform(F.array(signature), keys)[0]
 
 
 def jaccard(a: Column, b: Column, empty: float = 0.0) -> Column:

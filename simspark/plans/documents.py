@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from simspark.functions import columns as C
 from simspark.operators import effects as E
 from simspark.operators import fingerprints, programs, recall
+from simspark.operators.graphs import materialised
 from simspark.params import DEFAULT
 from simspark.plans.registry import query, table
 
@@ -45,7 +46,7 @@ def _signature(sets: str, name: str = "sig", key: str = "doc_id") -> str:
 
 _REPS = f"{_SETS}, reps AS (SELECT * FROM sets WHERE doc_id IN (SELECT min(doc_id) FROM sets GROUP BY list_sort(sh)))"
 _CANDS = f"{_REPS}, {_signature('reps')}, cand AS (SELECT DISTINCT x.doc_id AS i, y.doc_id AS j FROM sigb x JOIN sigb y ON x.band = y.band AND x.bucket = y.bucket AND x.doc_id < y.doc_id)"
-_JACC = f"{_CANDS}, jac AS (SELECT i, j, x.source AS si, y.source AS sj, x.n AS ni, y.n AS nj, len(list_intersect(x.sh, y.sh)) AS both, len(x.sh) + len(y.sh) - len(list_intersect(x.sh, y.sh)) AS al FROM cand JOIN reps x ON x.doc_id = i JOIN reps y ON y.doc_id = j)"
+_JACC = f"{_CANDS}, jac AS (SELECT i, j, x.source AS si, y.source AS sj, x.n AS ni, y.n AS nj, len(list_intersect(x.sh, y.sh)) AS inter, len(x.sh) + len(y.sh) - len(list_intersect(x.sh, y.sh)) AS al FROM cand JOIN reps x ON x.doc_id = i JOIN reps y ON y.doc_id = j)"
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,7 +62,8 @@ def representatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     sets = documents(spark, sf_dir).withColumn("shingles", C.shingles(F.col("tokens"), DEFAULT.k))
     reps = fingerprints.representatives(sets, "doc_id")
     signed = reps.withColumn("signature", C.minhash(F.col("shingles"), DEFAULT.num_perm))
-    return signed.withColumn("bands", C.band_keys(F.col("signature"), DEFAULT.bands, DEFAULT.num_perm))
+    # several joins read these rows, so they are made once
+    return materialised(signed.withColumn("bands", C.band_keys(F.col("signature"), DEFAULT.bands, DEFAULT.num_perm)), "representatives")
 
 
 def candidates(reps: DataFrame) -> DataFrame:
@@ -83,8 +85,9 @@ def token_shingles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {_SETS}, {_signature('sets')} SELECT doc_id, md5(array_to_string(sig, ',')) AS signature, list_min(sig) AS lowest FROM sig")
 def minhash_signature(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sig = F.col("signature")
-    return fingerprinted(spark, sf_dir).select("doc_id", F.md5(F.concat_ws(",", F.transform(sig, lambda x: x.cast("string")))).alias("signature"), F.array_min(sig).alias("lowest"))
+    sig = C.minhash(C.shingles(F.col("tokens"), DEFAULT.k), DEFAULT.num_perm)
+    out = F.transform(F.array(sig), lambda s: F.struct(F.md5(F.concat_ws(",", F.transform(s, lambda x: x.cast("string")))).alias("signature"), F.array_min(s).alias("lowest")))[0]
+    return documents(spark, sf_dir).select("doc_id", out.alias("o")).select("doc_id", "o.*")
 
 
 @query(f"WITH {_SETS}, {_signature('sets')}, b AS (SELECT band, bucket, count(*) AS size FROM sigb GROUP BY ALL) SELECT CAST(band AS INTEGER) AS band, size, count(*) AS n_buckets FROM b GROUP BY ALL")
@@ -98,7 +101,7 @@ def lsh_candidate_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return candidates(representatives(spark, sf_dir))
 
 
-@query(f"WITH {_JACC} SELECT i, j, round(both::DOUBLE / al, 6) AS jaccard FROM jac WHERE both::DOUBLE / al >= 0.5")
+@query(f"WITH {_JACC} SELECT i, j, round(inter::DOUBLE / al, 6) AS jaccard FROM jac WHERE inter::DOUBLE / al >= 0.5")
 def near_dup_jaccard_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     reps = representatives(spark, sf_dir)
     return recall.with_jaccard(candidates(reps), reps, "doc_id").where("jaccard >= 0.5").select("i", "j", F.round("jaccard", 6).alias("jaccard"))
@@ -229,7 +232,7 @@ def deficient_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # Scores and programs
 
-_FSIM = f"{_JACC}, {_VEC.removeprefix(_TOK + ', ')}, fs AS (SELECT i, j, round(greatest(0.0, 0.7::DOUBLE * both / al + (1 - 0.7::DOUBLE) * list_cosine_similarity(x.v, y.v) - CASE WHEN list_contains(p.flags, 'unknown') OR list_contains(q.flags, 'unknown') THEN 0.05 ELSE 0.0 END), 6) AS score FROM jac JOIN ev x ON x.doc_id = i JOIN ev y ON y.doc_id = j JOIN esig p ON p.doc_id = i JOIN esig q ON q.doc_id = j)"
+_FSIM = f"{_JACC}, {_VEC.removeprefix(_TOK + ', ')}, fs AS (SELECT i, j, round(greatest(0.0, 0.7::DOUBLE * inter / al + (1 - 0.7::DOUBLE) * list_cosine_similarity(x.v, y.v) - CASE WHEN list_contains(p.flags, 'unknown') OR list_contains(q.flags, 'unknown') THEN 0.05 ELSE 0.0 END), 6) AS score FROM jac JOIN ev x ON x.doc_id = i JOIN ev y ON y.doc_id = j JOIN esig p ON p.doc_id = i JOIN esig q ON q.doc_id = j)"
 
 
 @query(f"WITH {_FSIM} SELECT i, j, score FROM fs")
@@ -241,7 +244,7 @@ def token_effect_func_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.select("i", "j", F.round(score, 6).alias("score"))
 
 
-_PP = f"{_JACC}, pp AS (SELECT least(si, sj) AS prog_a, greatest(si, sj) AS prog_b, CASE WHEN si > sj THEN j ELSE i END AS fa, CASE WHEN si > sj THEN i ELSE j END AS fb, greatest(1, CASE WHEN si > sj THEN nj ELSE ni END) AS la, greatest(1, CASE WHEN si > sj THEN ni ELSE nj END) AS lb, both::DOUBLE / al AS score FROM jac WHERE si <> sj AND both > 0)"
+_PP = f"{_JACC}, pp AS (SELECT least(si, sj) AS prog_a, greatest(si, sj) AS prog_b, CASE WHEN si > sj THEN j ELSE i END AS fa, CASE WHEN si > sj THEN i ELSE j END AS fb, greatest(1, CASE WHEN si > sj THEN nj ELSE ni END) AS la, greatest(1, CASE WHEN si > sj THEN ni ELSE nj END) AS lb, inter::DOUBLE / al AS score FROM jac WHERE si <> sj AND inter > 0)"
 _BASE = f"{_PP}, bf AS (SELECT prog_a, prog_b, fa AS f, max(score) AS s, max(la) AS w FROM pp GROUP BY ALL UNION ALL SELECT prog_a, prog_b, fb, max(score), max(lb) FROM pp GROUP BY 1, 2, 3), base AS (SELECT prog_a, prog_b, sum(s * w) / sum(w) AS base FROM bf GROUP BY ALL)"
 _STATS = f"""{_BASE}, tot AS (SELECT source AS prog, sum(greatest(1, n)) AS total_len, count(*) AS total_funcs FROM reps GROUP BY source),
 agg AS (SELECT prog_a, prog_b, max(score) AS max_pair, avg(score) AS mean_pair, list_avg(list_reverse_sort(list(score))[1:3]) AS top3_mean, count(*) FILTER (WHERE score >= 0.55) AS hi_count, count(*) AS num_matches, coalesce(avg(score) FILTER (WHERE score >= 0.55), 0.0) AS avg_high FROM pp GROUP BY ALL),
