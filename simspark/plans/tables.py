@@ -28,7 +28,8 @@ def order_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def order_edges(nodes: DataFrame) -> DataFrame:
     """Lines follow each other directly or by two; both come from the order of lines, without a join."""
     w = Window.partitionBy("g").orderBy("n")
-    near = nodes.select("g", F.col("n").alias("src"), F.explode(F.array(F.lead("n", 1).over(w), F.lead("n", 2).over(w))).alias("dst"))
+    ahead = nodes.select("g", F.col("n").alias("src"), F.array(F.lead("n", 1).over(w), F.lead("n", 2).over(w)).alias("next"))
+    near = ahead.select("g", "src", F.explode("next").alias("dst"))
     return near.where((F.col("dst") - F.col("src")).isin(1, 2)).distinct()
 
 
