@@ -285,7 +285,9 @@ def extract(pages: DataFrame, group: int = GROUP) -> DataFrame:
     kinds = ", ".join(f"{c} {pages.schema[c].dataType.simpleString()}" for c in ("page_id", "url"))
     parsed = rows.mapInArrow(parse, f"{kinds}, host string, blocks binary").join(sizes, "host")
     dealt = parsed.withColumn("part", F.pmod(F.xxhash64("page_id", "url"), F.col("parts")))
-    return dealt.select("page_id", "url", "host", "part", "blocks").groupBy("host", "part").applyInArrow(run, f"{kinds}, text string, n_chars long")
+    # the join may leave rows dealt by host alone, which would do for the grouping but put a large host into one task
+    spread = dealt.select("page_id", "url", "host", "part", "blocks").repartition("host", "part")
+    return spread.groupBy("host", "part").applyInArrow(run, f"{kinds}, text string, n_chars long")
 
 
 def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
