@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from simspark.functions import columns as C
 from simspark.operators import distance as D
-from simspark.operators import fingerprints, graphs, recall
+from simspark.operators import align, fingerprints, graphs, recall
 from simspark.params import DEFAULT
 from simspark.plans.registry import query, table
 
@@ -315,3 +315,21 @@ def dataset_scan_json_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows written as JSON text and parsed again with a fixed schema."""
     docs = table(spark, sf_dir, "documents").select(F.to_json(F.struct("doc_id", "lang", "source", "n_chars")).alias("j"))
     return docs.select(F.from_json("j", "doc_id long, lang string, source string, n_chars long").alias("r")).select("r.*")
+
+
+@query()
+def dep_align_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Alignment of each order's graph with the graph of its customer's order before."""
+    lines = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("g"), F.col("l_linenumber").alias("n")).agg((F.max("l_quantity") / 8).alias("q"), F.max("l_discount").alias("d"), F.max("l_tax").alias("t"))
+    nodes = lines.select("g", "n", F.array("q", "d", "t").alias("f"))
+    w = Window.partitionBy("o_custkey").orderBy("o_orderkey")
+    pairs = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("i"), F.lag("o_orderkey").over(w).alias("j")).where("j is not null")
+    return align.align_pairs(pairs, nodes, order_edges(order_nodes(spark, sf_dir))).select("i", "j", F.round("align", 6).alias("align"))
+
+
+@query(f"WITH q AS (SELECT vec_id AS i, embedding::DOUBLE[] AS v FROM embeddings WHERE label IN (SELECT label FROM embeddings GROUP BY label HAVING count(*) < 50)), s AS (SELECT i, vec_id AS j, round(list_cosine_similarity(v, embedding::DOUBLE[]), 6) AS sim FROM q JOIN embeddings ON vec_id <> i), r AS (SELECT *, row_number() OVER (PARTITION BY i ORDER BY sim DESC, j) AS r FROM s) SELECT i, j, sim FROM r WHERE r <= 50")
+def recall_supplement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The supplement for members of labels under 50 vectors: their 50 nearest of all, by cosine."""
+    rows = _vectors(spark, sf_dir)
+    small = rows.groupBy("g").agg(F.count("*").alias("n")).where("n < 50")
+    return align.supplement(rows.join(small, "g", "left_semi"), rows, 50)
