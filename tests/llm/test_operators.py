@@ -181,11 +181,11 @@ def test_archives_round_trip(spark):
 def test_main_text(spark):
     page = "<html><head><title>t</title><script>var a='</p>';</script></head><body><nav><a>menu</a></nav><div class='ad box'>buy</div>{}<footer>foot</footer></body></html>"
     article = "<article><h1>Head &amp; more</h1><p><b>First\n  line<br>two<p>Last &copy;<div class=comments>me too</div><form>f</form></article>"
-    plain = "<div>shared words of this host that stand on each page of it</div><div>only here {}</div>"
-    rows = [(1, "http://a/1", page.format(article)), (2, "http://a/2", page.format(plain.format("x"))), (3, "http://a/3", page.format(plain.format("y"))), (4, None, None), (5, "", "")]
+    plain = "<div>shared words of this host that stand on each page of it</div><div>{}</div>"
+    rows = [(1, "http://a/1", page.format(article)), (2, "http://a/2", page.format(plain.format("alpha beta gamma"))), (3, "http://a/3", page.format(plain.format("delta epsilon zeta"))), (4, None, None), (5, "", "")]
     got = {r.page_id: (r.text, r.n_chars) for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert got[1][0] == "Head & more\n\nFirst line two\n\nLast ©" and got[1][1] == len(got[1][0])
-    assert got[2][0] == "only here x" and got[3][0] == "only here y"
+    assert got[2][0] == "alpha beta gamma" and got[3][0] == "delta epsilon zeta"
     assert got[4] == got[5] == ("", 0)
 
 
