@@ -52,7 +52,7 @@ def supplement(queries: DataFrame, all_: DataFrame, k: int, block: int = 4_096)
     The query set meets all rows in a grid of blocks of bounded size, each of which hands on its k best.
     """
     down, across = (max(1, math.ceil(df.count() / block)) for df in (queries, all_))
-    grid = lambda df, own, n, other, m: df.withColumn(own, F.pmod(F.xxhash64("id"), F.lit(n))).withColumn(other, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(m - 1).cast("long"))))
+    grid = lambda df, key, own, n, other, m: df.withColumn(own, F.pmod(F.xxhash64(key), F.lit(n))).withColumn(other, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(m - 1).cast("long"))))
     unit = lambda x: x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
 
     def run(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
@@ -60,12 +60,12 @@ def supplement(queries: DataFrame, all_: DataFrame, k: int, block: int = 4_096)
             return pd.DataFrame({"i": [], "j": [], "sim": []}).astype({"i": "int64", "j": "int64", "sim": "float64"})
         c = c.sort_values("id")
         ids = c.id.to_numpy()
-        sim = np.round(unit(np.array(q.v.tolist(), float)) @ unit(np.array(c.v.tolist(), float)).T, 6)
-        sim[q.id.to_numpy()[:, None] == ids[None]] = -2
+        sim = np.round(unit(np.array(q.qv.tolist(), float)) @ unit(np.array(c.v.tolist(), float)).T, 6)
+        sim[q.qid.to_numpy()[:, None] == ids[None]] = -2
         best = np.argsort(-sim, axis=1, kind="stable")[:, :k]
-        out = pd.DataFrame({"i": np.repeat(q.id.to_numpy(), best.shape[1]), "j": ids[best].ravel(), "sim": np.take_along_axis(sim, best, 1).ravel()})
+        out = pd.DataFrame({"i": np.repeat(q.qid.to_numpy(), best.shape[1]), "j": ids[best].ravel(), "sim": np.take_along_axis(sim, best, 1).ravel()})
         return out[out.sim > -2]
 
-    parts = grid(queries.select("id", "v"), "a", down, "b", across).groupBy("a", "b").cogroup(grid(all_.select("id", "v"), "b", across, "a", down).groupBy("a", "b")).applyInPandas(run, "i long, j long, sim double")
+    parts = grid(queries.select(F.col("id").alias("qid"), F.col("v").alias("qv")), "qid", "a", down, "b", across).groupBy("a", "b").cogroup(grid(all_.select("id", "v"), "id", "b", across, "a", down).groupBy("a", "b")).applyInPandas(run, "i long, j long, sim double")
     rank = F.row_number().over(Window.partitionBy("i").orderBy(F.desc("sim"), "j"))
     return parts.withColumn("r", rank).where(F.col("r") <= k).drop("r")

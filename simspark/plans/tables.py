@@ -244,9 +244,9 @@ def template_name_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), C.is_template_name(F.col("p_name")).alias("template"), C.is_driver_name(F.col("p_name")).alias("driver"))
 
 
-@query("WITH p AS (SELECT l_orderkey AS g, l_linenumber AS n, l_quantity AS q, lag(l_quantity) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS r FROM lineitem), f AS (SELECT *, greatest(q, r) / greatest(1, least(q, r)) AS ratio FROM p WHERE r IS NOT NULL) SELECT CASE WHEN ratio > 8 THEN 0.2 WHEN ratio > 4 THEN 0.4 WHEN ratio > 2 THEN 0.7 ELSE 1.0 END::DOUBLE AS factor, count(*) AS n FROM f GROUP BY ALL")
+@query("WITH p AS (SELECT l_orderkey AS g, l_linenumber AS n, l_quantity AS q, lag(l_quantity) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_quantity) AS r FROM lineitem), f AS (SELECT *, greatest(q, r) / greatest(1, least(q, r)) AS ratio FROM p WHERE r IS NOT NULL) SELECT CASE WHEN ratio > 8 THEN 0.2 WHEN ratio > 4 THEN 0.4 WHEN ratio > 2 THEN 0.7 ELSE 1.0 END::DOUBLE AS factor, count(*) AS n FROM f GROUP BY ALL")
 def func_length_ratio_penalty(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey")
+    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_quantity")
     p = table(spark, sf_dir, "lineitem").select("l_quantity", F.lag("l_quantity").over(w).alias("r")).where("r is not null")
     return p.groupBy(C.length_factor(F.col("l_quantity"), F.col("r")).alias("factor")).agg(F.count("*").alias("n"))
 
