@@ -11,9 +11,9 @@ from simspark.params import DEFAULT, Params
 
 
 def canonical(pairs: DataFrame) -> DataFrame:
-    """(prog_a, prog_b, fa, fb, la, lb, score) with prog_a < prog_b; the sides change places with the programs."""
+    """(prog_a, prog_b, fa, fb, la, lb, score) with prog_a < prog_b; the sides change places with the programs. So do na and nb, if there."""
     swap = F.col("prog_a") > F.col("prog_b")
-    sides = [("prog_a", "prog_b"), ("fa", "fb"), ("la", "lb")]
+    sides = [s for s in (("prog_a", "prog_b"), ("fa", "fb"), ("la", "lb"), ("na", "nb")) if s[0] in pairs.columns]
     return pairs.select(*(F.when(swap, F.col(y)).otherwise(F.col(x)).alias(x) for p in sides for x, y in (p, p[::-1])), "score")
 
 
@@ -25,13 +25,21 @@ def base_scores(pairs: DataFrame) -> DataFrame:
 
 
 def program_stats(pairs: DataFrame, totals: DataFrame, params: Params = DEFAULT) -> DataFrame:
-    """Statistics of each program pair. totals (prog, total_len, total_funcs)."""
+    """Statistics of each program pair. totals (prog, total_len, total_funcs).
+
+    A side of a pair is one function, or a class of copies: then na or nb has how many the program holds, la or lb their whole length.
+    """
     strong = F.col("score") >= params.high
-    top3 = F.slice(F.sort_array(F.collect_list("score"), asc=False), 1, 3)
-    stats = pairs.groupBy("prog_a", "prog_b").agg(F.max("score").alias("max_pair"), F.avg("score").alias("mean_pair"), top3.alias("t"), F.sum(strong.cast("int")).alias("hi_count"), F.count("*").alias("num_matches"), F.coalesce(F.avg(F.when(strong, F.col("score"))), F.lit(0.0)).alias("avg_high"))
+    if "na" not in pairs.columns:
+        pairs = pairs.withColumns({"na": F.lit(1).cast("long"), "nb": F.lit(1).cast("long")})
+    w = F.col("na") * F.col("nb")
+    mean = lambda w: F.sum(F.col("score") * w) / F.sum(w)
+    # three of a pair of classes are as many as the mean of the best three can need
+    top3 = F.slice(F.sort_array(F.flatten(F.collect_list(F.array_repeat("score", F.least(w, F.lit(3)).cast("int")))), asc=False), 1, 3)
+    stats = pairs.groupBy("prog_a", "prog_b").agg(F.max("score").alias("max_pair"), mean(w).alias("mean_pair"), top3.alias("t"), F.sum(F.when(strong, w).otherwise(0)).alias("hi_count"), F.sum(w).alias("num_matches"), F.coalesce(mean(F.when(strong, w)), F.lit(0.0)).alias("avg_high"))
     stats = stats.withColumn("top3_mean", F.aggregate("t", F.lit(0.0), lambda s, x: s + x) / F.size("t")).drop("t")
     for side in "ab":
-        covered = pairs.where(strong).select("prog_a", "prog_b", f"f{side}", f"l{side}").distinct().groupBy("prog_a", "prog_b").agg(F.sum(f"l{side}").alias(f"len_{side}"), F.count("*").alias(f"n_{side}"))
+        covered = pairs.where(strong).select("prog_a", "prog_b", f"f{side}", f"l{side}", f"n{side}").distinct().groupBy("prog_a", "prog_b").agg(F.sum(f"l{side}").alias(f"len_{side}"), F.sum(f"n{side}").alias(f"n_{side}"))
         whole = totals.select(F.col("prog").alias(f"prog_{side}"), F.col("total_len").alias(f"total_{side}"), F.col("total_funcs").alias(f"funcs_{side}"))
         stats = stats.join(covered, ["prog_a", "prog_b"], "left").join(whole, f"prog_{side}", "left")
         stats = stats.withColumn(f"cov_{side}", F.coalesce(F.col(f"len_{side}") / F.greatest(F.lit(1), f"total_{side}"), F.lit(0.0))).withColumn(f"func_cov_{side}", F.coalesce(F.col(f"n_{side}") / F.col(f"funcs_{side}"), F.lit(0.0)))
@@ -70,6 +78,36 @@ def greedy_matches(pairs: DataFrame) -> DataFrame:
     return rows.groupBy("prog_a", "prog_b").applyInPandas(match, rows.schema)
 
 
+def greedy_class_matches(pairs: DataFrame, members: DataFrame) -> DataFrame:
+    """The rows of greedy_matches where fa and fb of pairs are classes of copies. members (prog, f, ids): the functions of a class in a program.
+
+    Copies have equal scores, so of those left in a class the smallest id comes first: members are walked once and never paired up with
+    each other.
+    """
+    uses = lambda x: pairs.select("prog_a", "prog_b", F.col(f"prog_{x}").alias("prog"), F.col(f"f{x}").alias("f"))
+    held = uses("a").unionByName(uses("b")).distinct().join(members, ["prog", "f"]).select(F.col("prog_a").alias("a"), F.col("prog_b").alias("b"), "prog", "f", "ids")
+
+    def match(p: pd.DataFrame, m: pd.DataFrame) -> pd.DataFrame:
+        ids = {(prog, f): sorted(x) for prog, f, x in zip(m.prog, m.f, m.ids)}
+        at, out = dict.fromkeys(ids, 0), []
+        for score, tied in sorted(p.groupby("score"), key=lambda x: -x[0]):
+            a, b = tied.prog_a.iloc[0], tied.prog_b.iloc[0]
+            partners: dict = {}
+            for fa, fb in zip(tied.fa, tied.fb):
+                partners.setdefault((a, fa), []).append((b, fb))
+            for i, c in sorted((i, c) for c in partners for i in ids[c][at[c] :]):
+                open_ = [(ids[d][at[d]], d) for d in partners[c] if at[d] < len(ids[d])]
+                if open_:
+                    j, d = min(open_)
+                    at[c] += 1
+                    at[d] += 1
+                    out.append((a, b, i, j, score))
+        return pd.DataFrame(out, columns=["prog_a", "prog_b", "fa", "fb", "score"])
+
+    rows = pairs.select("prog_a", "prog_b", "fa", "fb", "score")
+    return rows.groupBy("prog_a", "prog_b").cogroup(held.groupBy("a", "b")).applyInPandas(match, rows.schema)
+
+
 def all_vs_all(matches: DataFrame, params: Params = DEFAULT) -> DataFrame:
     """(prog_a, prog_b, score, n_matches): mean of the matched scores, at least the threshold, the best first."""
     scored = matches.groupBy("prog_a", "prog_b").agg(F.avg("score").alias("score"), F.count("*").alias("n_matches")).where(F.col("score") >= params.prog_threshold)

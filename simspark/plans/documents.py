@@ -10,7 +10,7 @@ from simspark.operators import effects as E
 from simspark.operators import fingerprints, programs, recall
 from simspark.operators.graphs import materialised
 from simspark.params import DEFAULT
-from simspark.plans.registry import query, table
+from simspark.plans.registry import ORACLES, query, table
 
 #: A small rule base over words: the rule kinds and the vocabulary of effects are the engine's, the words are the test tables'.
 RULES = [
@@ -289,9 +289,77 @@ def badge_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return programs.base_scores(program_pairs(spark, sf_dir)).groupBy(C.badge(F.col("base")).alias("badge")).agg(F.count("*").alias("n"))
 
 
+# The queries above are bound by their SQL to one document of each shingle set, in one program. Those below are over all documents.
+
+
+def _with_copies(sql: str) -> str:
+    """The SQL with all documents where it has representatives: every copy is paired up with every other."""
+    every = f"{_SETS}, {_signature('sets')}, {_CANDS[_CANDS.index('cand AS') :]}"
+    return sql.replace(_CANDS, every).replace("JOIN reps", "JOIN sets").replace("FROM reps", "FROM sets")
+
+
+def members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(f, doc_id, prog, n, empty): every document, f its representative; empty: it has no shingles and so no pairs."""
+    sh = C.shingles(F.col("tokens"), DEFAULT.k)
+    docs = documents(spark, sf_dir).select("doc_id", F.col("source").alias("prog"), F.greatest(F.lit(1), F.size("tokens")).cast("long").alias("n"), F.xxhash64(F.array_sort(sh)).alias("c"), (F.size(sh) == 0).alias("empty"))
+    docs = materialised(docs, "classes")  # both sides of the join read it, and shingles are slow to make
+    return materialised(docs.join(docs.groupBy("c").agg(F.min("doc_id").alias("f")), "c").select("f", "doc_id", "prog", "n", "empty"), "members")
+
+
+def class_pairs(spark: SparkSession, sf_dir: str, rows: DataFrame) -> DataFrame:
+    """(prog_a, prog_b, fa, fb, la, lb, na, nb, score): pairs of classes, for each two programs that hold them; lengths and counts of all copies.
+
+    Classes are paired once, by their representatives; a class in two programs is a pair with itself of score 1.
+    """
+    held = rows.where("not empty and prog is not null").groupBy("f", "prog").agg(F.sum("n").alias("l"), F.count("*").alias("n"))
+    side = lambda x: held.select(F.col("f").alias(f"f{x}"), F.col("prog").alias(f"prog_{x}"), F.col("l").alias(f"l{x}"), F.col("n").alias(f"n{x}"))
+    reps = representatives(spark, sf_dir)
+    pairs = recall.with_jaccard(candidates(reps), reps, "doc_id").select(F.col("i").alias("fa"), F.col("j").alias("fb"), F.col("jaccard").alias("score"))
+    other = pairs.join(side("a"), "fa").join(side("b"), "fb").where("prog_a <> prog_b")
+    same = side("a").join(side("b"), F.col("fa") == F.col("fb")).where("prog_a < prog_b").withColumn("score", F.lit(1.0))
+    return programs.canonical(other.unionByName(same))
+
+
+def whole_programs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(pairs, totals) of programs with all their documents."""
+    rows = members(spark, sf_dir)
+    totals = rows.groupBy("prog").agg(F.sum("n").alias("total_len"), F.count("*").alias("total_funcs"))
+    return class_pairs(spark, sf_dir, rows).where("score > 0"), totals
+
+
+@query(f"WITH {_with_copies(_JACC)}, cls AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY list_sort(sh)) AS f FROM sets) SELECT least(si, sj) AS prog_a, greatest(si, sj) AS prog_b, CASE WHEN si < sj THEN x.f ELSE y.f END AS fa, CASE WHEN si < sj THEN y.f ELSE x.f END AS fb, count(*) AS n_pairs FROM jac JOIN cls x ON x.doc_id = i JOIN cls y ON y.doc_id = j WHERE si <> sj GROUP BY ALL")
+def exclude_same_program_with_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of different programs by classes, and how many pairs of documents each stands for; copy_classes has the members."""
+    return class_pairs(spark, sf_dir, members(spark, sf_dir)).select("prog_a", "prog_b", "fa", "fb", (F.col("na") * F.col("nb")).alias("n_pairs"))
+
+
+@query(_with_copies(ORACLES["program_pair_base_score"]))
+def program_pair_base_score_with_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return programs.base_scores(whole_programs(spark, sf_dir)[0]).select("prog_a", "prog_b", F.round("base", 6).alias("base"))
+
+
+@query(_with_copies(ORACLES["program_pair_stats"]))
+def program_pair_stats_with_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    plain = ["max_pair", "mean_pair", "top3_mean", "cov_a", "cov_b", "func_cov_a", "func_cov_b", "avg_high"]
+    return programs.program_stats(*whole_programs(spark, sf_dir)).select("prog_a", "prog_b", "hi_count", "num_matches", *(F.round(c, 6).alias(c) for c in plain))
+
+
+@query(_with_copies(ORACLES["program_pair_coverage_score"]))
+def program_pair_coverage_score_with_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return programs.program_scores(*whole_programs(spark, sf_dir)).select("prog_a", "prog_b", F.round("base", 6).alias("base"), F.round("score", 6).alias("score"))
+
+
+@query(_with_copies(ORACLES["badge_summary"]))
+def badge_summary_with_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return programs.base_scores(whole_programs(spark, sf_dir)[0]).groupBy(C.badge(F.col("base")).alias("badge")).agg(F.count("*").alias("n"))
+
+
 @query()
 def all_vs_all_greedy_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return programs.greedy_matches(program_pairs(spark, sf_dir).where(F.col("score") >= DEFAULT.func_threshold))
+    """One-to-one matches of all documents, copies included."""
+    rows = members(spark, sf_dir)
+    pairs = class_pairs(spark, sf_dir, rows).where(F.col("score") >= DEFAULT.func_threshold)
+    return programs.greedy_class_matches(pairs, rows.groupBy("prog", "f").agg(F.collect_list("doc_id").alias("ids")))
 
 
 @query()
