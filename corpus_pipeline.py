@@ -12,6 +12,10 @@ from simspark.llm import language, minhash, packing, substring_dedup
 from simspark.llm.common import Workspace, bounded_batches, table
 
 
+#: Passages of over 50 words that repeat go, whatever their length in bytes; so do strings of substring_dedup.LENGTH bytes.
+PASSAGE_WORDS = 51
+
+
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that have a language; those without a letter, null texts included, go."""
     bounded_batches(spark)
@@ -29,7 +33,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def drop_repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the strings that repeat; n_chars counts what is left."""
-    left = substring_dedup.dedup_documents(Workspace(spark, "pipeline-1"), docs)
+    left = substring_dedup.dedup_documents(Workspace(spark, "pipeline-1"), docs, words=PASSAGE_WORDS)
     if "n_chars" in docs.columns:
         left = left.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return left.select(*docs.columns)

@@ -10,6 +10,9 @@ are dealt by their cores instead, the bytes that CELL neighbouring windows share
 segments, window by window. So no shard depends on how often a passage occurs, and nothing is left out.
 Each shard finds the repeated windows by external induced sorting (suffix.py) and their places go back to all documents.
 
+Runs of words that repeat, whatever their bytes, are found in the same way: each word is written as a code of CODE bytes, a hash whose first
+byte only stands at the start of a code, and windows of so many codes are kept that start at a code.
+
 Cases: null and empty texts and those under LENGTH bytes keep all; very long texts are used whole; rows with equal id and text, and
 rows with a null id, are documents like others and repeat each other; an empty table gives an empty table. Other columns are
 kept by `dedup_documents` and ignored by the query. Segments count as equal if their 64-bit hashes and anchors are.
@@ -31,6 +34,8 @@ from simspark.llm.suffix import repeated_starts
 
 LENGTH, ANCHOR, HOT, CELL = 400, 96, 512, 32
 SHARD_BYTES = 1 << 20
+#: Bytes of a word's code: 6 bits of the hash in the first, 5 in the others.
+CODE = 6
 _BYTES, _UNIT = 1 << 20, 1 << 19
 _hash = RollingHash(1)
 
@@ -237,15 +242,73 @@ def repeated_windows(ws: Workspace, docs: DataFrame, length: int = LENGTH, ancho
     return seen.join(parents, ["key", "seg"]).groupBy("uid").agg(F.collect_set(F.struct("lo", "found")).alias("items"))
 
 
+def word_spans(body: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First bytes of words and the bytes behind them: words are what str.split() splits, and don't cross offsets."""
+    space = (body == 32) | (body >= 9) & (body <= 13) | (body >= 28) & (body <= 31)
+    lead = np.flatnonzero(np.isin(body, (0xC2, 0xE1, 0xE2, 0xE3)))
+    if len(lead):  # white space of more than one byte
+        a, b, c = (np.append(body, [0, 0])[lead + i].astype(np.int64) for i in range(3))
+        two = (a == 0xC2) & ((b == 0x85) | (b == 0xA0))
+        three = (a == 0xE1) & (b == 0x9A) & (c == 0x80) | (a == 0xE2) & (b == 0x81) & (c == 0x9F) | (a == 0xE3) & (b == 0x80) & (c == 0x80)
+        three |= (a == 0xE2) & (b == 0x80) & ((c >= 0x80) & (c <= 0x8A) | np.isin(c, (0xA8, 0xA9, 0xAF)))
+        for mask, n in ((two, 2), (three, 3)):
+            for i in range(n):
+                space[lead[mask] + i] = True
+    n = len(body)
+    edge = np.zeros(n + 1, bool)
+    edge[offsets] = True
+    before, after = np.append(True, space) | edge, np.append(space, True) | edge
+    return np.flatnonzero(~space & before[:n]), np.flatnonzero(~space & after[1:]) + 1
+
+
+def word_codes(docs: DataFrame) -> DataFrame:
+    """(uid, text): the codes of the words of each text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in slices(whole, "text", _BYTES):
+                body, offsets = text_buffer(batch.column("text"))
+                start, end = word_spans(body, offsets)
+                h = _hash.span(_hash.prefix(body), start, end)
+                codes = np.empty((len(h), CODE), np.uint8)
+                codes[:, 0] = 64 + (h & np.uint64(63))
+                for i in range(1, CODE):
+                    codes[:, i] = 32 + (h >> np.uint64(1 + 5 * i) & np.uint64(31))
+                at = (np.searchsorted(start, offsets) * CODE).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([batch.column("uid"), pa.StringArray.from_buffers(batch.num_rows, pa.py_buffer(at.tobytes()), pa.py_buffer(codes.tobytes()))], ["uid", "text"])
+
+    return docs.select("uid", "text").mapInArrow(run, "uid long, text string")
+
+
+def _found(items: list[dict]) -> np.ndarray:
+    """Repeated windows as pairs (first, behind last)."""
+    parts = [(item["lo"] + part["off"], part["found"]) for item in items for part in item["found"]]
+    pairs = np.frombuffer(b"".join(f for _, f in parts), "<i4").reshape(-1, 2).astype(np.int64)
+    return pairs + np.repeat(np.array([at for at, _ in parts], np.int64), [len(f) // 8 for _, f in parts])[:, None]
+
+
+def removed_words(body: np.ndarray, items: list[dict], words: int) -> np.ndarray:
+    """Which bytes belong to repeated runs of so many words, with the white space inside them."""
+    start, end = word_spans(body, np.array([0, len(body)]))
+    first, last = (_found(items) + [CODE - 1, CODE - 1]).T // CODE
+    change = np.zeros(len(start) + 1, np.int32)
+    some = last > first
+    np.add.at(change, first[some], 1)
+    np.add.at(change, last[some] - 1 + words, -1)
+    gone = np.cumsum(change[:-1]) > 0
+    inner = gone & np.append(gone[1:], False)
+    cut = np.zeros(len(body) + 1, np.int32)
+    np.add.at(cut, start[gone], 1)
+    np.add.at(cut, np.where(inner, np.append(start[1:], 0), end)[gone], -1)
+    return np.cumsum(cut[:-1]) > 0
+
+
 def removed_mask(n: int, items: list[dict], length: int = LENGTH) -> np.ndarray:
     """Which of n bytes are covered by repeated windows."""
     change = np.zeros(n + 1, np.int32)
-    parts = [(item["lo"] + part["off"], part["found"]) for item in items for part in item["found"]]
-    if parts:
-        pairs = np.frombuffer(b"".join(f for _, f in parts), "<i4").reshape(-1, 2).astype(np.int64)
-        pairs += np.repeat([at for at, _ in parts], [len(f) // 8 for _, f in parts])[:, None]
-        np.add.at(change, pairs[:, 0], 1)
-        np.add.at(change, pairs[:, 1] - 1 + length, -1)
+    pairs = _found(items)
+    np.add.at(change, pairs[:, 0], 1)
+    np.add.at(change, pairs[:, 1] - 1 + length, -1)
     return np.cumsum(change[:n]) > 0
 
 
@@ -255,8 +318,11 @@ def covered(ws: Workspace, docs: DataFrame, **options) -> DataFrame:
     return named.join(repeated_windows(ws, named, **options), "uid", "left")
 
 
-def dedup_documents(ws: Workspace, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """docs with the repeated bytes taken out of the text. A character that loses a byte loses all of them."""
+def dedup_documents(ws: Workspace, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 0, **options) -> DataFrame:
+    """docs with the repeated bytes taken out of the text. A character that loses a byte loses all of them.
+
+    words: runs of so many words that repeat go as well.
+    """
     rest = [c for c in docs.columns if c not in (id_col, text_col)]
     plain = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), *(F.col(c).alias(f"c{i}") for i, c in enumerate(rest)))
     length = options.get("length", LENGTH)
@@ -264,18 +330,27 @@ def dedup_documents(ws: Workspace, docs: DataFrame, id_col: str = "doc_id", text
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = []
-            for text, items in zip(batch.column("text").to_pylist(), batch.column("items").to_pylist()):
-                if items:
+            for text, items, runs in zip(*(batch.column(c).to_pylist() for c in ("text", "items", "runs"))):
+                if items or runs:
                     body = np.frombuffer(text.encode(), np.uint8)
-                    gone = removed_mask(len(body), items, length)
+                    gone = removed_mask(len(body), items or [], length)
+                    if runs:
+                        gone |= removed_words(body, runs, words)
                     lead = np.cumsum((body & 0xC0) != 0x80) - 1  # the character of each byte
                     gone = np.bincount(lead, gone)[lead] > 0
                     text = body[~gone].tobytes().decode()
                 texts.append(text)
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(batch.num_columns - 2)), pa.array(texts, pa.string())], [*batch.schema.names[:-2], "text"])
-
-    source = covered(ws, plain, **options).select("doc_id", *(f"c{i}" for i in range(len(rest))), "text", "items")
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in source.schema if f.name not in ("text", "items"))
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(batch.num_columns - 3)), pa.array(texts, pa.string())], [*batch.schema.names[:-3], "text"])
+
+    source = covered(ws, plain, **options)
+    if words:
+        apart = Workspace(ws.spark, "words")
+        codes = apart.save(word_codes(plain.withColumn("uid", uid())), "codes")
+        source = source.join(repeated_windows(apart, codes, length=words * CODE).withColumnRenamed("items", "runs"), "uid", "left")
+    else:
+        source = source.withColumn("runs", F.lit(None))
+    source = source.select("doc_id", *(f"c{i}" for i in range(len(rest))), "text", "items", "runs")
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in source.schema if f.name not in ("text", "items", "runs"))
     out = source.mapInArrow(run, f"{schema}, text string")
     names = {"doc_id": id_col, "text": text_col} | {f"c{i}": c for i, c in enumerate(rest)}
     back = {v: k for k, v in names.items()}

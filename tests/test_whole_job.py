@@ -51,3 +51,30 @@ def test_greedy_matching_takes_every_copy(spark, copies):
     got = sorted(map(tuple, D.all_vs_all_greedy_match(spark, copies).collect()))
     assert got == want
     assert ("A", "B", 1, 3, 1.0) in got and ("A", "C", 5, 4, 1.0) in got
+
+
+def test_passages_of_51_words_go_and_of_50_stay(spark):
+    import corpus_pipeline
+
+    rng = random.Random(4)
+    text = lambda n: " ".join("".join(rng.choice("abcdefghé") for _ in range(rng.randrange(2, 8))) for _ in range(n))
+    long, short = text(51), text(50)
+    spread = "　 ".join(long.split())  # the same words with other white space
+    parts = [(text(90), p, text(90)) for p in (long, long, spread, short, short)]
+    rows = [(i, " ".join(p)) for i, p in enumerate(parts)]
+    assert len(long.encode()) < 400
+    left = dict(map(tuple, corpus_pipeline.drop_repeated_strings(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()))
+    assert all(left[i] == f"{parts[i][0]}  {parts[i][2]}" for i in range(3))
+    assert all(left[i] == rows[i][1] for i in (3, 4))
+
+
+def test_word_spans_are_those_of_split():
+    import numpy as np
+
+    from simspark.llm.substring_dedup import word_spans
+
+    rng = random.Random(5)
+    for _ in range(300):
+        texts = ["".join(rng.choice("ab é 　  \x1c\n日\u0085") for _ in range(rng.randrange(12))) for _ in range(3)]
+        body, offsets = np.frombuffer("".join(texts).encode(), np.uint8), np.cumsum([0, *(len(t.encode()) for t in texts)])
+        assert [bytes(body[a:b]).decode() for a, b in zip(*word_spans(body, offsets))] == [w for t in texts for w in t.split()]
