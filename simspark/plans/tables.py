@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from simspark.functions import columns as C
 from simspark.operators import distance as D
+from simspark.operators import effects as E
 from simspark.operators import align, fingerprints, graphs, recall
 from simspark.params import DEFAULT
 from simspark.plans.registry import query, table
@@ -333,3 +334,18 @@ def recall_supplement(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _vectors(spark, sf_dir)
     small = rows.groupBy("g").agg(F.count("*").alias("n")).where("n < 50")
     return align.supplement(rows.join(small, "g", "left_semi"), rows, 50)
+
+
+@query()
+def recall_supplement_deficient(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The supplement for queries with fewer candidates than min_candidates and their copies: the 50 nearest of all documents, by effects."""
+    from simspark.plans import documents as docs
+
+    rows = graphs.materialised(docs.effect_signatures(spark, sf_dir).select(F.col("doc_id").alias("id"), E.effect_vector().alias("v")), "effects")
+    few = docs.deficient_queries(spark, sf_dir).select(F.col("doc_id").alias("rep_id"))
+    asked = docs.copy_classes(spark, sf_dir).join(few, "rep_id", "left_semi").select(F.col("doc_id").alias("id"))
+    # a document without words has no effects; its vector is 0
+    zero = F.array(*[F.lit(0.0)] * len(E.COUNTERS))
+    ids = docs.documents(spark, sf_dir).select(F.col("doc_id").alias("id"))
+    every = graphs.materialised(ids.join(rows, "id", "left").select("id", F.coalesce(F.col("v").cast("array<double>"), zero).alias("v")), "all-effects")
+    return align.supplement(every.join(asked, "id", "left_semi"), every, max(5 * DEFAULT.min_candidates, 50))

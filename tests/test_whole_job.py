@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from simspark.operators import programs
 from simspark.plans import documents as D
+from simspark.plans import tables  # noqa: F401  registers its queries
 from simspark.plans.registry import ORACLES, QUERIES
 
 
@@ -78,3 +79,12 @@ def test_word_spans_are_those_of_split():
         texts = ["".join(rng.choice("ab é 　  \x1c\n日\u0085") for _ in range(rng.randrange(12))) for _ in range(3)]
         body, offsets = np.frombuffer("".join(texts).encode(), np.uint8), np.cumsum([0, *(len(t.encode()) for t in texts)])
         assert [bytes(body[a:b]).decode() for a, b in zip(*word_spans(body, offsets))] == [w for t in texts for w in t.split()]
+
+
+def test_supplement_is_for_queries_with_few_candidates(spark, copies):
+    few = {r.doc_id for r in D.deficient_queries(spark, copies).collect()}
+    got = QUERIES["recall_supplement_deficient"](spark, copies).collect()
+    few = {r.doc_id for r in D.copy_classes(spark, copies).collect() if r.rep_id in few}
+    assert few == set(range(1, 17)) and {r.i for r in got} == few
+    assert all({r.j for r in got if r.i == i} == set(range(1, 17)) - {i} for i in few)
+    assert all(r.sim == 1.0 for r in got if (r.i, r.j) in {(1, 3), (4, 5)})
