@@ -14,6 +14,7 @@ from simspark.operators import distance as D
 from simspark.operators import effects as E
 from simspark.operators import align, fingerprints, graphs, recall
 from simspark.params import DEFAULT
+from simspark.plans.documents import _signature
 from simspark.plans.registry import query, table
 
 _NODES = "nodes AS (SELECT l_orderkey AS g, l_linenumber AS n, max(l_returnflag) AS kind, max(l_linestatus) AS status FROM lineitem GROUP BY ALL)"
@@ -87,6 +88,34 @@ def graph_lsh_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sets.groupBy(F.md5(F.concat_ws(",", "sh")).alias("c"), F.size("sh").cast("long").alias("n_shingles")).agg(F.min("g").alias("rep"), F.count("*").alias("size")).select("rep", "size", "n_shingles")
 
 
+_GRAPHS = f"{_WL}, {_KPATH}, gs AS (SELECT g, label AS s FROM wl UNION SELECT g, path FROM kp), sets AS (SELECT g, list_sort(list(s)) AS sh FROM gs GROUP BY g)"
+_GREPS = f"{_GRAPHS}, reps AS (SELECT min(g) AS g, sh FROM sets GROUP BY sh)"
+
+
+def graph_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(g, rep, shingles): each graph, the smallest one with its shingle set, and the set where the graph is that one."""
+    sets = _graph_shingles(spark, sf_dir).groupBy("g").agg(F.sort_array(F.collect_list("s")).alias("shingles"))
+    sets = graphs.materialised(sets.withColumn("c", F.md5(F.concat_ws(",", "shingles"))), "graph-sets")
+    named = sets.join(sets.groupBy("c").agg(F.min("g").alias("rep")), "c")
+    return named.select("g", "rep", F.when(F.col("g") == F.col("rep"), F.col("shingles")).alias("shingles"))
+
+
+@query(f"WITH {_GREPS} SELECT sets.g, reps.g AS rep FROM sets JOIN reps ON sets.sh = reps.sh")
+def graph_copy_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The members of what graph_lsh_candidate_pairs pairs up."""
+    return graph_classes(spark, sf_dir).select("g", "rep")
+
+
+@query(f"WITH {_GREPS}, {_signature('reps', key='g')} SELECT DISTINCT x.g AS i, y.g AS j FROM sigb x JOIN sigb y ON x.band = y.band AND x.bucket = y.bucket AND x.g < y.g")
+def graph_lsh_candidate_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of different graphs, each for its class, that share a bucket of the graph view."""
+    reps = graph_classes(spark, sf_dir).where("g = rep").select("g", "shingles")
+    signed = reps.withColumn("signature", C.minhash(F.col("shingles"), DEFAULT.num_perm))
+    # both sides of the join read these rows
+    marked = graphs.materialised(signed.withColumn("bands", C.band_keys(F.col("signature"), DEFAULT.bands, DEFAULT.num_perm)), "graph-signatures")
+    return recall.candidate_pairs(fingerprints.buckets(marked, "g"), "g")
+
+
 @query(f"WITH {_ADJ}, d AS (SELECT nodes.g, nodes.n, count(v) AS d FROM nodes LEFT JOIN adj ON adj.g = nodes.g AND adj.u = nodes.n GROUP BY ALL), f AS (SELECT g, count(*)::DOUBLE AS a, sum(d)::DOUBLE / 2 AS b, avg(d) AS c, stddev_pop(d) AS e, max(d)::DOUBLE AS m FROM d GROUP BY g) SELECT g, round(a / (sqrt(a*a+b*b+c*c+e*e+m*m) + 1e-8), 6) AS nodes, round(b / (sqrt(a*a+b*b+c*c+e*e+m*m) + 1e-8), 6) AS edges, round(c / (sqrt(a*a+b*b+c*c+e*e+m*m) + 1e-8), 6) AS mean FROM f")
 def structural_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
     st = fingerprints.degree_stats(*order_graph(spark, sf_dir))

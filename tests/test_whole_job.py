@@ -88,3 +88,15 @@ def test_supplement_is_for_queries_with_few_candidates(spark, copies):
     assert few == set(range(1, 17)) and {r.i for r in got} == few
     assert all({r.j for r in got if r.i == i} == set(range(1, 17)) - {i} for i in few)
     assert all(r.sim == 1.0 for r in got if (r.i, r.j) in {(1, 3), (4, 5)})
+
+
+def test_similar_graphs_are_paired(spark, tmp_path):
+    kinds = {1: "ANRANRA", 2: "ANRANRN", 3: "ANRANRA", 4: "NNNN", 5: "RARARAR", 6: "NNNNN"}
+    lines = [(g, n, k, "O") for g, row in kinds.items() for n, k in enumerate(row, 1)]
+    spark.createDataFrame(lines, "l_orderkey long, l_linenumber int, l_returnflag string, l_linestatus string").write.parquet(f"{tmp_path}/lineitem.parquet")
+    with duckdb.connect() as db:
+        db.sql(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet/*.parquet'")
+        for name in ("graph_lsh_candidate_pairs", "graph_copy_classes"):
+            got = sorted(map(tuple, QUERIES[name](spark, str(tmp_path)).collect()))
+            assert got == sorted(db.sql(ORACLES[name]).fetchall())
+            assert ((1, 2) if name == "graph_lsh_candidate_pairs" else (3, 1)) in got
