@@ -1,13 +1,13 @@
-"""Main text of web pages by host suffix arrays.
+"""Main text of web pages by runs of tokens that repeat on a host.
 
 A page is split into blocks of text, each with the page's own marks: inside an article, inside something that is never main
-text (menu, header, footer, sidebar, notice, advert, form, comments), or neither. The token streams of a host's pages are
-concatenated and their suffix array is built up to MIN_TOKENS tokens; runs that start in two or more distinct pages are the
-host's boilerplate, and what they cover is removed. Unique runs stay. Blocks inside a page's own article are text by the page's
-word and stay whole, also where they quote or repeat; outside of it only pages without an article keep anything.
+text (menu, header, footer, sidebar, notice, advert, form, comments), or neither. Runs of MIN_TOKENS tokens that stand on two or
+more distinct pages of a host are the host's boilerplate, and what they cover is removed. Unique runs stay. Blocks inside a page's own
+article are text by the page's word and stay whole, also where they quote or repeat; outside of it only pages without an article keep
+anything.
 
-A host's pages are dealt into groups of about GROUP pages by a hash of their id, so a host that holds a third of all pages is
-spread; boilerplate stands on most pages of a host and is found in each group.
+The distinct runs of each page are counted over all pages of the host, by the hash of host and run, so neither a large host nor a
+common run is in one task. Only hosts with a page that doesn't mark its text need that. Runs count as equal if their 64-bit hashes are.
 
 Cases: a null or empty html gives an empty text; a null url counts as one host; a host with a single page has no repeats, and
 only the marks decide; very long pages are used whole; pages with equal html give equal text; an empty table gives an empty
@@ -27,9 +27,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from simspark.llm.common import table
+from simspark.llm.common import RollingHash, Workspace, mix64, table
 
-MIN_TOKENS, MIN_PAGES, GROUP = 8, 2, 256
+MIN_TOKENS, MIN_PAGES = 8, 2
 #: A block outside an article goes if boilerplate covers this share of its tokens.
 COVERED = 0.5
 
@@ -48,6 +48,7 @@ _TAG = re.compile(r"<!--.*?(?:--!?>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\
 _ATTR = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'=<>`]+)))?")
 _SPLIT = re.compile(r"[^a-z0-9]+|(?<=[a-z])(?=[0-9])")
 _TOKEN = re.compile(r"\w+")
+_hash = RollingHash(0, 0)
 
 
 @dataclass
@@ -185,41 +186,11 @@ def token_ids(text: str) -> list[int]:
     return [zlib.crc32(t.encode()) for t in _TOKEN.findall(text.lower())]
 
 
-def repeated_tokens(tokens: np.ndarray, page: np.ndarray, length: int = MIN_TOKENS, pages: int = MIN_PAGES) -> np.ndarray:
-    """Which tokens a run of `length` tokens covers that starts in `pages` distinct pages. page rises and numbers the pages.
-
-    The suffix array is sorted by doubling the compared prefix until it has `length` tokens; neighbours that agree so far form
-    an interval of one run.
-    """
-    n = len(tokens)
-    cover = np.zeros(n, bool)
-    if n < length:
-        return cover
-    _, rank = np.unique(tokens, return_inverse=True)
-    rank, have = rank.ravel().astype(np.int64) + 1, 1
-    order = np.arange(n)
-    while have < length:
-        step = min(have, length - have)
-        key = rank * (n + 2)
-        key[: n - step] += rank[step:]
-        order = np.argsort(key, kind="stable")
-        rank = np.empty(n, np.int64)
-        rank[order] = np.append(1, 1 + np.cumsum(np.diff(key[order]) != 0))
-        have += step
-    inside = np.zeros(n, bool)
-    inside[: n - length + 1] = page[: n - length + 1] == page[length - 1 :]
-    order = order[inside[order]]
-    if not len(order):
-        return cover
-    first = np.flatnonzero(np.append(True, np.diff(rank[order]) != 0))
-    of = np.cumsum(np.append(True, np.diff(rank[order]) != 0)) - 1
-    different = np.unique(of * (int(page[-1]) + 1) + page[order]) // (int(page[-1]) + 1)
-    common = np.bincount(different, minlength=len(first)) >= pages
-    change = np.zeros(n + 1, np.int32)
-    starts = order[common[of]]
-    np.add.at(change, starts, 1)
-    np.add.at(change, starts + length, -1)
-    return np.cumsum(change[:n]) > 0
+def run_keys(found: list[Block], host: int, length: int = MIN_TOKENS) -> np.ndarray:
+    """A hash of each run of `length` tokens of a page, over all its blocks, and of its host."""
+    ids = np.array([t for b in found for t in token_ids(b.text)], np.int64)
+    start = np.arange(max(0, len(ids) - length + 1))
+    return mix64(_hash.span(_hash.prefix(ids), start, start + length) ^ np.uint64(host & (1 << 64) - 1)).view(np.int64)
 
 
 def _pack(found: list[Block]) -> bytes:
@@ -238,56 +209,65 @@ def _unpack(data: bytes) -> list[Block]:
     return [Block(text.decode(), int(article), main == b"1", out == b"1") for article, main, out, text in rows]
 
 
-def extract_group(pages: list[list[Block]]) -> list[str]:
-    """The texts of pages of one host."""
-    streams, page, spans = [], [], []
-    at = 0
-    for i, found in enumerate(pages):
-        mine = []
-        for b in found:
-            ids = token_ids(b.text)
-            mine.append((at, at + len(ids)))
-            streams.append(ids)
-            page.append(np.full(len(ids), i))
-            at += len(ids)
-        spans.append(mine)
-    flat = np.array([t for s in streams for t in s], np.int64)
-    cover = repeated_tokens(flat, np.concatenate(page) if page else np.zeros(0, np.int64))
-    covered = np.concatenate([[0], np.cumsum(cover)])
-    texts = []
-    for found, mine in zip(pages, spans):
-        kept = []
-        for i, protected in choose(found):
-            a, b = mine[i]
-            if protected or a == b or covered[b] - covered[a] < COVERED * (b - a):
-                kept.append(found[i].text)
-        texts.append("\n\n".join(kept))
-    return texts
-
-
-def extract(pages: DataFrame, group: int = GROUP) -> DataFrame:
+def page_text(found: list[Block], starts: list[int], length: int = MIN_TOKENS) -> str:
+    """The text of a page. starts: the tokens, counted over all blocks, where boilerplate of `length` tokens starts."""
+    at = np.cumsum([0, *(len(token_ids(b.text)) for b in found)]) if starts else np.zeros(len(found) + 1, np.int64)
+    change = np.zeros(int(at[-1]) + 1, np.int32)
+    np.add.at(change, np.array(starts, np.int64), 1)
+    np.add.at(change, np.array(starts, np.int64) + length, -1)
+    covered = np.concatenate([[0], np.cumsum(np.cumsum(change[:-1]) > 0)])
+    kept = []
+    for i, protected in choose(found):
+        a, b = at[i], at[i + 1]
+        if protected or a == b or covered[b] - covered[a] < COVERED * (b - a):
+            kept.append(found[i].text)
+    return "\n\n".join(kept)
+
+
+def extract(pages: DataFrame) -> DataFrame:
     """(page_id, url, text, n_chars) of pages (page_id, url, html)."""
+    ws = Workspace(pages.sparkSession, "op2")
+    kinds = ", ".join(f"{c} {pages.schema[c].dataType.simpleString()}" for c in ("page_id", "url"))
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start in range(0, batch.num_rows, 500):
                 part = batch.slice(start, 500)
-                data = [_pack(blocks(h or "")) for h in part.column("html").to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column("page_id"), part.column("url"), part.column("host"), pa.array(data, pa.binary())], ["page_id", "url", "host", "blocks"])
+                found = [blocks(h or "") for h in part.column("html").to_pylist()]
+                unmarked = [any(not protected for _, protected in choose(f)) for f in found]
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("page_id", "url", "host", "no")), pa.array(unmarked, pa.bool_()), pa.array([_pack(f) for f in found], pa.binary())], ["page_id", "url", "host", "no", "unmarked", "blocks"])
 
-    def run(t: pa.Table) -> pa.Table:
-        texts = extract_group([_unpack(x) for x in t.column("blocks").to_pylist()])
-        return pa.table([t.column("page_id"), t.column("url"), pa.array(texts, pa.string()), pa.array([len(x) for x in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
+    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for host, data in zip(batch.column("host").to_pylist(), batch.column("blocks").to_pylist()):
+                yield pa.RecordBatch.from_arrays([pa.array(np.unique(run_keys(_unpack(data), host)))], ["key"])
+
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for no, host, data in zip(*(batch.column(c).to_pylist() for c in ("no", "host", "blocks"))):
+                keys = run_keys(_unpack(data), host)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), no)), pa.array(np.arange(len(keys), dtype=np.int32)), pa.array(keys)], ["no", "at", "key"])
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [page_text(_unpack(data), starts or []) for data, starts in zip(batch.column("blocks").to_pylist(), batch.column("starts").to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(x) for x in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     host = F.lower(F.coalesce(F.regexp_extract(F.col("url").cast("string"), "^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1), F.lit("")))
-    rows = pages.select("page_id", "url", "html", host.alias("host"))
-    sizes = rows.groupBy("host").agg(F.greatest(F.lit(1), F.round(F.count("*") / group)).cast("long").alias("parts"))
-    kinds = ", ".join(f"{c} {pages.schema[c].dataType.simpleString()}" for c in ("page_id", "url"))
-    parsed = rows.mapInArrow(parse, f"{kinds}, host string, blocks binary").join(sizes, "host")
-    dealt = parsed.withColumn("part", F.pmod(F.xxhash64("page_id", "url"), F.col("parts")))
-    # the join may leave rows dealt by host alone, which would do for the grouping but put a large host into one task
-    spread = dealt.select("page_id", "url", "host", "part", "blocks").repartition("host", "part")
-    return spread.groupBy("host", "part").applyInArrow(run, f"{kinds}, text string, n_chars long")
+    rows = pages.select("page_id", "url", "html", F.xxhash64(host).alias("host"), F.monotonically_increasing_id().alias("no"))
+    parsed = ws.save(rows.mapInArrow(parse, f"{kinds}, host long, no long, unmarked boolean, blocks binary"), "pages")
+    none = F.lit(None).cast("array<int>").alias("starts")
+    unmarked = parsed.where("unmarked")
+    if unmarked.isEmpty():
+        source = parsed.select("page_id", "url", "blocks", none)
+    else:
+        near = parsed.select("host", "blocks").join(unmarked.select("host").distinct(), "host", "left_semi")
+        # a page gives a run once, so these are counts of pages
+        common = near.mapInArrow(runs, "key long").groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") >= MIN_PAGES)
+        found = unmarked.select("no", "host", "blocks").mapInArrow(places, "no long, at int, key long").join(common, "key", "left_semi")
+        cut = unmarked.join(found.groupBy("no").agg(F.collect_list("at").alias("starts")), "no", "left")
+        source = parsed.where("not unmarked").select("page_id", "url", "blocks", none).unionByName(cut.select("page_id", "url", "blocks", "starts"))
+    return source.mapInArrow(write, f"{kinds}, text string, n_chars long")
 
 
 def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -100,3 +100,18 @@ def test_similar_graphs_are_paired(spark, tmp_path):
             got = sorted(map(tuple, QUERIES[name](spark, str(tmp_path)).collect()))
             assert got == sorted(db.sql(ORACLES[name]).fetchall())
             assert ((1, 2) if name == "graph_lsh_candidate_pairs" else (3, 1)) in got
+
+
+PAGES = "page_id long, url string, html string"
+
+
+def test_boilerplate_on_few_pages_of_a_large_host_goes(spark):
+    from simspark.llm import html
+
+    rng = random.Random(6)
+    text = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(n))
+    rare = text(12)
+    own = {i: text(12) for i in range(1200)}
+    rows = [(i, "http://big/x", f"<div>{own[i]}</div>" + (f"<div>{rare}</div>" if i in (3, 700) else "")) for i in own]
+    got = {r.page_id: r.text for r in html.extract(spark.createDataFrame(rows, PAGES)).collect()}
+    assert got == own
