@@ -30,8 +30,6 @@ from pyspark.sql import functions as F
 from simspark.llm.common import RollingHash, Workspace, mix64, table
 
 MIN_TOKENS, MIN_PAGES = 8, 2
-#: A block outside an article goes if boilerplate covers this share of its tokens.
-COVERED = 0.5
 
 #: Element names of the HTML standard.
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul".split())
@@ -183,7 +181,15 @@ def choose(found: list[Block]) -> list[tuple[int, bool]]:
 
 
 def token_ids(text: str) -> list[int]:
-    return [zlib.crc32(t.encode()) for t in _TOKEN.findall(text.lower())]
+    return [zlib.crc32(t.lower().encode()) for t in _TOKEN.findall(text)]
+
+
+def uncovered(text: str, gone: np.ndarray) -> str:
+    """The text without the tokens that are gone. What stands between tokens goes with the one before it, or the first one."""
+    start = [m.start() for m in _TOKEN.finditer(text)]
+    edge = [0, *start[1:], len(text)]
+    cut = np.flatnonzero(np.diff(np.concatenate([[True], gone, [True]]).astype(np.int8)))
+    return " ".join(x for a, b in cut.reshape(-1, 2).tolist() if (x := text[edge[a] : edge[b]].strip()))
 
 
 def run_keys(found: list[Block], host: int, length: int = MIN_TOKENS) -> np.ndarray:
@@ -215,13 +221,12 @@ def page_text(found: list[Block], starts: list[int], length: int = MIN_TOKENS) -
     change = np.zeros(int(at[-1]) + 1, np.int32)
     np.add.at(change, np.array(starts, np.int64), 1)
     np.add.at(change, np.array(starts, np.int64) + length, -1)
-    covered = np.concatenate([[0], np.cumsum(np.cumsum(change[:-1]) > 0)])
+    covered = np.cumsum(change[:-1]) > 0
     kept = []
     for i, protected in choose(found):
-        a, b = at[i], at[i + 1]
-        if protected or a == b or covered[b] - covered[a] < COVERED * (b - a):
-            kept.append(found[i].text)
-    return "\n\n".join(kept)
+        gone = covered[at[i] : at[i + 1]]
+        kept.append(found[i].text if protected or not gone.any() else uncovered(found[i].text, gone))
+    return "\n\n".join(x for x in kept if x)
 
 
 def extract(pages: DataFrame) -> DataFrame:

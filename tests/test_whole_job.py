@@ -115,3 +115,12 @@ def test_boilerplate_on_few_pages_of_a_large_host_goes(spark):
     rows = [(i, "http://big/x", f"<div>{own[i]}</div>" + (f"<div>{rare}</div>" if i in (3, 700) else "")) for i in own]
     got = {r.page_id: r.text for r in html.extract(spark.createDataFrame(rows, PAGES)).collect()}
     assert got == own
+
+
+def test_blocks_lose_boilerplate_and_keep_the_rest(spark):
+    from simspark.llm import html
+
+    many, few = "one two three, four five six seven eight nine ten.", "red orange yellow green blue indigo violet black"
+    rows = [(1, "http://h/1", f"<div>Only (here)! {many} The end.</div>"), (2, "http://h/2", f"<div>{many}</div><p>{few} a b c d e f g h i j k l</p>"), (3, "http://h/3", f"<div>{few}</div><div>...</div>")]
+    got = {r.page_id: r.text for r in html.extract(spark.createDataFrame(rows, PAGES)).collect()}
+    assert got == {1: "Only (here)! The end.", 2: "a b c d e f g h i j k l", 3: "..."}
