@@ -9,6 +9,9 @@ anything.
 The distinct runs of each page are counted over all pages of the host, by the hash of host and run, so neither a large host nor a
 common run is in one task. Only hosts with a page that doesn't mark its text need that. Runs count as equal if their 64-bit hashes are.
 
+An element that is never text, such as button or svg, goes with all in it; where it isn't closed, only its tag goes. Raw text, such as a
+script, that isn't closed reaches to the end of the page, as in browsers.
+
 Cases: a null or empty html gives an empty text; a null url counts as one host; a host with a single page has no repeats, and
 only the marks decide; very long pages are used whole; pages with equal html give equal text; an empty table gives an empty
 table. Other columns are ignored.
@@ -78,6 +81,21 @@ def _marked(name: str, source: str, in_article: bool) -> bool:
     return not WORDS.isdisjoint(_SPLIT.split(named))
 
 
+def closings(source: str, name: str) -> dict[int, int]:
+    """Where elements of a name end, by where they start. A closing tag belongs to the last one open; elements without one aren't in it."""
+    ends: dict[int, int] = {}
+    opened: list[int] = []
+    raw = "|".join(sorted(RAW))
+    tags = re.compile(rf"<!--.*?(?:--!?>|\Z)|<({raw})(?=[\s/>])[^>]*>.*?(?:</\1(?=[\s/>])|\Z)|<(/?){re.escape(name)}(?=[\s/>])((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S | re.I)
+    for m in tags.finditer(source):
+        if m[2]:
+            if opened:
+                ends[opened.pop()] = m.end()
+        elif m[2] is not None and not m[3].rstrip().endswith("/"):
+            opened.append(m.start())
+    return ends
+
+
 def blocks(source: str) -> list[Block]:
     """The blocks of text of a page, in order."""
     out: list[Block] = []
@@ -85,6 +103,7 @@ def blocks(source: str) -> list[Block]:
     stack: list[tuple[str, bool, int, bool, bool]] = []  # name, out, article, main, in a header of an article
     state = ("", False, 0, False, False)
     articles = 0
+    hidden: dict[str, dict[int, int]] = {}
 
     def close() -> None:
         if held:
@@ -122,11 +141,13 @@ def blocks(source: str) -> list[Block]:
                 close()
             continue
         if name in RAW or name in HIDDEN:
-            end = re.compile(rf"</{re.escape(name)}(?=[\s/>])", re.I).search(source, at)
-            if name == "head" and end is None:
-                continue
-            if not m[3].rstrip().endswith("/") or name in RAW:
+            if name in RAW:
+                end = re.compile(rf"</{re.escape(name)}(?=[\s/>])", re.I).search(source, at)
                 at = n if end is None else source.find(">", end.end()) + 1 or n
+            else:
+                if name not in hidden:
+                    hidden[name] = closings(source, name)
+                at = hidden[name].get(m.start(), at)  # one that isn't closed hides its tag only
             held.append(" ")
             continue
         if name in VOID:

@@ -124,3 +124,15 @@ def test_blocks_lose_boilerplate_and_keep_the_rest(spark):
     rows = [(1, "http://h/1", f"<div>Only (here)! {many} The end.</div>"), (2, "http://h/2", f"<div>{many}</div><p>{few} a b c d e f g h i j k l</p>"), (3, "http://h/3", f"<div>{few}</div><div>...</div>")]
     got = {r.page_id: r.text for r in html.extract(spark.createDataFrame(rows, PAGES)).collect()}
     assert got == {1: "Only (here)! The end.", 2: "a b c d e f g h i j k l", 3: "..."}
+
+
+def test_unclosed_hidden_elements_hide_their_tag_only():
+    from simspark.llm.html import HIDDEN, blocks
+
+    text = lambda source: " ".join(b.text for b in blocks(source))
+    for name in HIDDEN - {"head"}:
+        assert text(f"<{name} class='x'><article>first<p>last</article>") == "first last"
+        assert text(f"<p>a<{name}>b<p>c<{name}>gone</{name}>d") == "a b c d"
+        assert text(f"<p>a<{name}>gone <{name}>gone</{name}> gone</{name}>b<{name}/>c") == "a b c"
+        assert text(f"<!-- <{name}> --><p>a<{name}>gone<!-- </{name}> --><script></{name}></script> gone</{name}>b") == "a b"
+    assert text("<p>a<script>gone<p>gone") == "a"
