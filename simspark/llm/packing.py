@@ -31,8 +31,6 @@ CAPACITY, END_ID = 2_048, 0
 SHARD = 40_000
 #: Bins under this share of the capacity take part in the second round.
 UNDERFULL = 0.98
-#: Exchanges that one shard may make, and the largest pieces of a bin that are paired up for two-for-one exchanges.
-MAX_STEPS, PAIRED = 4_000, 12
 _BYTES = 2_000_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -82,17 +80,23 @@ def best_fit(lengths: list[int], capacity: int = CAPACITY) -> list[list[int]]:
     return bins
 
 
-def improve(bins: list[list[int]], lengths: list[int], capacity: int = CAPACITY, max_steps: int = MAX_STEPS) -> list[list[int]]:
-    """Local search: empties bins by exchanges that raise the sum of squared fills."""
+def _pairs(items: list[int], lengths: list[int]) -> list[tuple[int, int]]:
+    """Two pieces of a bin for each two lengths in it; a bin of `capacity` ids has few different lengths."""
+    by: dict[int, list[int]] = {}
+    for i in sorted(items, key=lambda i: (-lengths[i], i)):
+        by.setdefault(lengths[i], []).append(i)
+    return [(x[0], y[0]) for x, y in combinations(by.values(), 2)] + [(x[0], x[1]) for x in by.values() if len(x) > 1]
+
+
+def improve(bins: list[list[int]], lengths: list[int], capacity: int = CAPACITY) -> list[list[int]]:
+    """Local search: empties bins by exchanges that raise the sum of squared fills, until none does."""
     fill = [sum(lengths[i] for i in b) for b in bins]
     live = [k for k in range(len(bins)) if 0 < fill[k] < capacity]
-    steps = 0
     # options: what a bin can give back for what it gets; nothing, one piece, or two
     where, gives, value = [], [], []
 
     def options(b: int) -> list[tuple]:
-        large = sorted(bins[b], key=lambda i: (-lengths[i], i))[:PAIRED]
-        return [(), *((i,) for i in bins[b]), *combinations(large, 2)]
+        return [(), *((i,) for i in bins[b]), *_pairs(bins[b], lengths)]
 
     for b in live:
         for o in options(b):
@@ -100,39 +104,39 @@ def improve(bins: list[list[int]], lengths: list[int], capacity: int = CAPACITY,
     where_, value_ = np.array(where, np.int64), np.array(value, np.int64)
     kind = np.array([len(o) for o in gives], np.int64)
     fills = np.array(fill, np.int64)
-    for donor in sorted(live, key=lambda b: (fill[b], b)):
-        while bins[donor] and fills[donor] < capacity and steps < max_steps:
-            best, act = 0, None
-            room = capacity - fills[where_]
-            other = where_ != donor
-            taken = {(lengths[i],): (i,) for i in bins[donor]}
-            large = sorted(bins[donor], key=lambda i: (-lengths[i], i))[:PAIRED]
-            taken |= {(lengths[i], lengths[j]): (i, j) for i, j in combinations(large, 2)}
-            for sizes, items in taken.items():
-                gain = sum(sizes) - value_
-                rise = gain * (fills[where_] - fills[donor] + gain)
-                rise[~(other & (gain > 0) & (gain <= room) & ((kind == 1) if len(items) == 2 else True))] = 0
-                k = int(np.argmax(rise)) if len(rise) else 0
-                if len(rise) and rise[k] > best:
-                    best, act = rise[k], (items, k)
-            if act is None:
-                break
-            steps += 1
-            items, k = act
-            b, back = int(where_[k]), gives[k]
-            bins[donor] = [i for i in bins[donor] if i not in items] + list(back)
-            bins[b] = [i for i in bins[b] if i not in back] + list(items)
-            moved = sum(lengths[i] for i in items) - int(value_[k])
-            fills[donor] -= moved
-            fills[b] += moved
-            stay = np.flatnonzero((where_ != donor) & (where_ != b))
-            more = [(x, o) for x in (donor, b) if bins[x] and fills[x] < capacity for o in options(x)]
-            where_ = np.concatenate([where_[stay], np.array([x for x, _ in more], np.int64)])
-            value_ = np.concatenate([value_[stay], np.array([sum(lengths[i] for i in o) for _, o in more], np.int64)])
-            kind = np.concatenate([kind[stay], np.array([len(o) for _, o in more], np.int64)])
-            gives = [gives[i] for i in stay.tolist()] + [o for _, o in more]
-        if steps >= max_steps:
-            break
+    again = True
+    while again:
+        again = False
+        for donor in sorted(live, key=lambda b: (fills[b], b)):
+            while bins[donor] and fills[donor] < capacity:
+                best, act = 0, None
+                room = capacity - fills[where_]
+                other = where_ != donor
+                taken = {(lengths[i],): (i,) for i in bins[donor]}
+                taken |= {(lengths[i], lengths[j]): (i, j) for i, j in _pairs(bins[donor], lengths)}
+                for sizes, items in taken.items():
+                    gain = sum(sizes) - value_
+                    rise = gain * (fills[where_] - fills[donor] + gain)
+                    rise[~(other & (gain > 0) & (gain <= room) & ((kind == 1) if len(items) == 2 else True))] = 0
+                    k = int(np.argmax(rise)) if len(rise) else 0
+                    if len(rise) and rise[k] > best:
+                        best, act = rise[k], (items, k)
+                if act is None:
+                    break
+                again = True
+                items, k = act
+                b, back = int(where_[k]), gives[k]
+                bins[donor] = [i for i in bins[donor] if i not in items] + list(back)
+                bins[b] = [i for i in bins[b] if i not in back] + list(items)
+                moved = sum(lengths[i] for i in items) - int(value_[k])
+                fills[donor] -= moved
+                fills[b] += moved
+                stay = np.flatnonzero((where_ != donor) & (where_ != b))
+                more = [(x, o) for x in (donor, b) if bins[x] and fills[x] < capacity for o in options(x)]
+                where_ = np.concatenate([where_[stay], np.array([x for x, _ in more], np.int64)])
+                value_ = np.concatenate([value_[stay], np.array([sum(lengths[i] for i in o) for _, o in more], np.int64)])
+                kind = np.concatenate([kind[stay], np.array([len(o) for _, o in more], np.int64)])
+                gives = [gives[i] for i in stay.tolist()] + [o for _, o in more]
     return [b for b in bins if b]
 
 

@@ -136,3 +136,12 @@ def test_unclosed_hidden_elements_hide_their_tag_only():
         assert text(f"<p>a<{name}>gone <{name}>gone</{name}> gone</{name}>b<{name}/>c") == "a b c"
         assert text(f"<!-- <{name}> --><p>a<{name}>gone<!-- </{name}> --><script></{name}></script> gone</{name}>b") == "a b"
     assert text("<p>a<script>gone<p>gone") == "a"
+
+
+def test_pairs_beyond_the_largest_pieces_are_exchanged():
+    from simspark.llm.packing import improve
+
+    lengths = [6] * 13 + [2, 3, 22]
+    got = improve([list(range(15)), [15]], lengths, 100)
+    assert sorted(i for b in got for i in b) == list(range(16))
+    assert sorted(sum(lengths[i] for i in b) for b in got) == [5, 100]
