@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -26,9 +27,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Only a session on one machine may leave it unset, as in tests."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = f"file://{os.path.join(tempfile.gettempdir(), 'simspark-shared')}"
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
@@ -39,11 +42,12 @@ class Workspace:
 
     def __init__(self, spark: SparkSession, tag: str):
         bounded_batches(spark)
-        self.spark, self.path = spark, f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+        self.spark, self.path, self.names = spark, f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}", set()
 
     def save(self, df: DataFrame, name: str, **options: str) -> DataFrame:
         path = f"{self.path}/{name}"
         df.write.mode("overwrite").options(**options).parquet(path)
+        self.names.add(name)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, name: str) -> None:
@@ -51,6 +55,12 @@ class Workspace:
         jvm = self.spark._jvm
         where = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
         where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
+        self.names.discard(name)
+
+    def keep(self, *names: str) -> None:
+        """Delete all tables but these."""
+        for name in self.names - set(names):
+            self.drop(name)
 
 
 def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -81,6 +91,23 @@ def slices(batch: pa.RecordBatch, column: str, limit: int):
         at = min(end, n)
 
 
+def grouped(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[tuple[int, ...], pa.Table]]:
+    """(key values, rows) of each group in a stream of rows that is sorted by whole-number keys; one group is held at a time."""
+    now, parts = None, []
+    for batch in batches:
+        names = np.stack([np.asarray(batch.column(x)).astype(np.int64) for x in keys], 1)
+        cuts = [0, *(np.flatnonzero((names[1:] != names[:-1]).any(axis=1)) + 1).tolist()] if len(names) else []
+        for a, b in zip(cuts, [*cuts[1:], batch.num_rows]):
+            name = tuple(names[a].tolist())
+            if name != now and parts:
+                yield now, pa.Table.from_batches(parts)
+                parts = []
+            now = name
+            parts.append(batch.slice(a, b - a))
+    if parts:
+        yield now, pa.Table.from_batches(parts)
+
+
 _MIX1, _MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 

@@ -6,14 +6,15 @@ chunk with at most ERRORS (one) differing symbols; the allowed error is enumerat
 turn, so such a pair shares a key. For a pair at the threshold 0.8 a chunk of six qualifies with probability 0.66, so that all ten
 fail with probability 2e-5. Links are confirmed on the full sets.
 
-Documents with equal sets are one class from the start. Buckets of a key are not expanded into all pairs: first each member is
-held against the bucket's smallest and largest class. Only buckets whose classes are then still in several components are gone
-through again, in tiles of bounded size: signatures are compared inside a tile, and a pair leaves it only if its classes are in
-different components, its signatures are close, and no earlier key of the two leads to the same pair.
+Documents with equal sets are one class from the start. Buckets of a key are not expanded into pairs: first, in STARS rounds, each
+class meets one class of another component in its buckets. Only buckets whose classes are then still in several components are gone
+through in full, in tiles of bounded size: signatures are compared inside a tile; the classes of pairs that are close, in different
+components and under no earlier key of the two get their full sets, and the tile gives a spanning forest of the links it confirms.
 
 Cases: null and empty texts and texts without a word have an empty set and link with nothing; fewer than `width` words form one
 shingle; very long texts are used whole; rows with a null doc_id link with nothing, their component is null and kept is false;
-rows that repeat are returned as often as they come; an empty table gives an empty table. Other columns are ignored.
+rows that repeat are returned as often as they come; rows that share a doc_id are documents of their own; an empty table gives an empty
+table. Other columns are ignored. Shingles and sets count as equal if their hashes, of 64 and 128 bits, are.
 """
 
 from __future__ import annotations
@@ -22,10 +23,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+import xxhash
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from simspark.llm.common import RollingHash, Workspace, mix64, slices, table, text_buffer
+from simspark.llm.common import RollingHash, Workspace, grouped, mix64, slices, table, text_buffer
 from simspark.llm.components import connected_components
 
 WIDTH, PERCENT = 4, 80
@@ -33,7 +35,9 @@ CHUNKS, CHUNK_SYMBOLS = 10, 6
 SYMBOLS = CHUNKS * CHUNK_SYMBOLS
 #: All symbols of a signature, those that a star is filtered by, and the deviations that a pair at the threshold may lie off.
 TOTAL, STAR, DEVIATIONS = 8 * SYMBOLS, 2 * SYMBOLS, 5.0
-TILE = 1_024
+#: Classes of one part of a bucket, their shingles together, and rounds in which each class meets one other before parts are compared.
+TILE, TILE_SHINGLES, STARS = 1_024, 4_000_000, 2
+LONG_WORD = 32
 _BYTES = 2_000_000
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -63,6 +67,9 @@ def shingle_sets(body: np.ndarray, offsets: np.ndarray, width: int = WIDTH) -> t
     closes[:-1] &= blank[1:] | edge[1:-1]
     first, last = np.flatnonzero(opens), np.flatnonzero(closes) + 1
     word = _words.span(_words.prefix(body), first, last)
+    for i in np.flatnonzero(last - first > LONG_WORD).tolist():
+        # sums of powers of two's modulus cancel out for certain long strings
+        word[i] = xxhash.xxh3_64_intdigest(body[first[i] : last[i]].tobytes(), seed=3)
     at = np.searchsorted(first, offsets)  # words before each text
     count = np.diff(at)
     size = np.where(count >= width, count - width + 1, np.minimum(count, 1))
@@ -110,6 +117,15 @@ def index_keys(symbols: np.ndarray) -> np.ndarray:
     return mix64(key)
 
 
+def set_names(h: np.ndarray, at: np.ndarray) -> list[pa.Array]:
+    """Two 64-bit names of each set, which together stand for it."""
+    names = []
+    for seed in (0x1234567, 0x89ABCDE):
+        total = np.concatenate([[np.uint64(0)], np.cumsum(mix64(h ^ np.uint64(seed)))])
+        names.append(pa.array((total[at[1:]] - total[at[:-1]]).view(np.int64)))
+    return names
+
+
 def sketch(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH) -> DataFrame:
     """(doc_id, n_shingles, h1, h2, sig): h1 and h2 name the set."""
 
@@ -117,20 +133,12 @@ def sketch(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", widt
         for whole in batches:
             for batch in slices(whole, "text", _BYTES):
                 h, at = shingle_sets(*text_buffer(batch.column("text")), width)
-                names = []
-                for seed in (0x1234567, 0x89ABCDE):
-                    total = np.concatenate([[np.uint64(0)], np.cumsum(mix64(h ^ np.uint64(seed)))])
-                    names.append(pa.array((total[at[1:]] - total[at[:-1]]).view(np.int64)))
                 sig = [x.tobytes() for x in signatures(h, at)]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.diff(at), pa.int64()), *names, pa.array(sig, pa.binary())], ["doc_id", "n_shingles", "h1", "h2", "sig"])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.diff(at), pa.int64()), *set_names(h, at), pa.array(sig, pa.binary())], ["doc_id", "n_shingles", "h1", "h2", "sig"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, n_shingles long, h1 long, h2 long, sig binary")
 
 
-def _matrix(column: pa.Array, symbols: int) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(len(column), symbols)
-
-
 def _keys(rows: DataFrame) -> DataFrame:
     """(key, id) of (id, sig), sig being the first SYMBOLS symbols."""
 
@@ -144,139 +152,175 @@ def _keys(rows: DataFrame) -> DataFrame:
     return rows.select("id", "sig").mapInArrow(run, "key long, id long")
 
 
-def _close(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
-    """Of pairs (a, b), those whose sizes and signatures allow a link."""
-    side = lambda x: reps.select(F.col("id").alias(x), F.col("n_shingles").alias(f"n{x}"), F.substring("sig", 1, 2 * STAR).alias(f"s{x}"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b").where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
-    distance = max_distance(STAR, percent)
+def _matrix(column: pa.Array, symbols: int) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(len(column), symbols)
+
+
+def _sets(docs: DataFrame, members: DataFrame, width: int) -> DataFrame:
+    """(id, set) of the members (id, doc_id, h1, h2), from their whole texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            near = pa.array(np.flatnonzero((_matrix(batch.column("sa"), STAR) != _matrix(batch.column("sb"), STAR)).sum(axis=1) <= distance))
-            yield pa.RecordBatch.from_arrays([batch.column("a").take(near), batch.column("b").take(near)], ["a", "b"])
+        for whole in batches:
+            for batch in slices(whole, "text", _BYTES):
+                h, at = shingle_sets(*text_buffer(batch.column("text")), width)
+                sets = pa.array([h[a:b].tobytes() for a, b in zip(at.tolist(), at[1:].tolist())], pa.binary())
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *set_names(h, at), sets], ["doc_id", "h1", "h2", "set"])
 
-    return both.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
+    texts = docs.join(members.select("doc_id").distinct(), "doc_id", "left_semi")
+    made = texts.mapInArrow(run, "doc_id long, h1 long, h2 long, set binary")
+    return made.join(members, ["doc_id", "h1", "h2"]).dropDuplicates(["id"]).select("id", "set")
 
 
-def _tile_pairs(key: int, tile: tuple[int, int], t: np.ndarray, ids: np.ndarray, c: np.ndarray, n: np.ndarray, sig: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """(a, b) of a tile of a bucket: in different components, close, and not to be met under an earlier key."""
-    left, right = np.flatnonzero(t == tile[0]), np.flatnonzero(t == tile[1])
-    keys = index_keys(sig[:, :SYMBOLS]).view(np.int64)
-    limit = max_distance(TOTAL, percent)
-    out = []
-    for i in left.tolist():
-        other = right if tile[0] != tile[1] else right[right > i]
-        other = other[(c[other] != c[i]) & (100 * np.minimum(n[other], n[i]) >= percent * np.maximum(n[other], n[i]))]
-        if len(other):
-            other = other[(sig[other] != sig[i]).sum(axis=1) <= limit]
-        if len(other):
-            first = (keys[other] == keys[i]).argmax(axis=1)
-            other = other[keys[i][first] == key]
-            out.append((np.full(len(other), ids[i]), ids[other]))
-    if not out:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    a, b = (np.concatenate(x) for x in zip(*out))
-    return np.minimum(a, b), np.maximum(a, b)
-
-
-def _open_pairs(rows: DataFrame, percent: int) -> DataFrame:
-    """(a, b) of rows (key, n, id, c, n_shingles, sig) of buckets with n members."""
-    tiles = F.ceil(F.col("n") / TILE).cast("int")
-    dealt = rows.withColumn("tiles", tiles).withColumn("t", F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int"))
-    dealt = dealt.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    dealt = dealt.select("key", F.least("t", "o").alias("i"), F.greatest("t", "o").alias("j"), "t", "id", "c", "n_shingles", "sig")
+def shared(x: np.ndarray, y: np.ndarray) -> int:
+    """How many values two rising arrays have in common."""
+    both = np.concatenate([x, y])
+    both.sort(kind="stable")
+    return int((both[1:] == both[:-1]).sum())
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def one(key: int, i: int, j: int, parts: list[pa.RecordBatch]) -> pa.RecordBatch:
-            t = pa.Table.from_batches(parts).combine_chunks()
-            column = lambda x: np.asarray(t.column(x))
-            found = _tile_pairs(key, (i, j), column("t"), column("id"), column("c"), column("n_shingles"), _matrix(t.column("sig"), TOTAL), percent)
-            return pa.RecordBatch.from_arrays([pa.array(x) for x in found], ["a", "b"])
 
-        now, parts = None, []
-        for batch in batches:
-            names = np.stack([np.asarray(batch.column(x)).astype(np.int64) for x in ("key", "i", "j")], 1)
-            cuts = np.append(0, np.flatnonzero((names[1:] != names[:-1]).any(axis=1)) + 1) if len(names) else []
-            for a, b in zip(cuts, [*cuts[1:], batch.num_rows]):
-                name = tuple(names[a].tolist())
-                if name != now and parts:
-                    yield one(*now, parts)
-                    parts = []
-                now = name
-                parts.append(batch.slice(a, b - a))
-        if parts:
-            yield one(*now, parts)
+def _linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    n = shared(x, y)
+    return 100 * n >= percent * (len(x) + len(y) - n) > 0
 
-    return dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(run, "a long, b long")
 
+def _confirmed(pairs: DataFrame, reps: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Of pairs (a, b), the links: percent of the union is shared, on the full sets. Signatures spare most others that look-up."""
+    distance = max_distance(STAR, percent)
 
-def _sets(docs: DataFrame, members: DataFrame, width: int) -> DataFrame:
-    """(doc_id, set) of the members, from their whole texts."""
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = pa.array(np.flatnonzero((_matrix(batch.column("sa"), STAR) != _matrix(batch.column("sb"), STAR)).sum(axis=1) <= distance))
+            yield pa.RecordBatch.from_arrays([batch.column("a").take(keep), batch.column("b").take(keep)], ["a", "b"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for batch in slices(whole, "text", _BYTES):
-                h, at = shingle_sets(*text_buffer(batch.column("text")), width)
-                at = at.tolist()
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([h[a:b].tobytes() for a, b in zip(at, at[1:])], pa.binary())], ["doc_id", "set"])
+    def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            both = zip(batch.column("x"), batch.column("y"))
+            keep = pa.array([i for i, v in enumerate(both) if _linked(*(np.frombuffer(w.as_buffer(), np.uint64) for w in v), percent)], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("a").take(keep), batch.column("b").take(keep)], ["src", "dst"])
 
-    return docs.join(members, "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInArrow(run, "doc_id long, set binary")
+    side = lambda x: reps.select(F.col("id").alias(x), F.col("n_shingles").alias(f"n{x}"), F.substring("sig", 1, 2 * STAR).alias(f"s{x}"))
+    text = lambda x, s: sets.select(F.col("id").alias(x), F.col("set").alias(s))
+    alike = pairs.join(side("a"), "a").join(side("b"), "b").where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
+    found = alike.select("a", "b", "sa", "sb").mapInArrow(near, "a long, b long")
+    return found.join(text("a", "x"), "a").join(text("b", "y"), "b").select("a", "b", "x", "y").mapInArrow(exact, "src long, dst long")
+
+
+def _star(live: DataFrame, groups: DataFrame, tried: DataFrame) -> DataFrame:
+    """A pair (a, b) for each class at most: with a class of another component in one of its buckets that it hasn't met."""
+    own = live.join(groups, "id", "left").select("key", "id", F.coalesce("component", "id").alias("c"))
+    # the two ends of a bucket by component; the members of one end meet a class of the other
+    ends = own.groupBy("key").agg(F.min("c").alias("c1"), F.max("c").alias("c2"), F.min_by("id", "c").alias("e1"), F.max_by("id", "c").alias("e2")).where("c1 < c2")
+    other = own.join(ends, "key").select("id", F.when(F.col("c") == F.col("c1"), F.col("e2")).otherwise(F.col("e1")).alias("end"))
+    pairs = other.distinct().select(F.least("id", "end").alias("a"), F.greatest("id", "end").alias("b"), "id").join(tried, ["a", "b"], "left_anti")
+    return pairs.withColumn("end", F.when(F.col("a") == F.col("id"), F.col("b")).otherwise(F.col("a"))).groupBy("id").agg(F.min("end").alias("end")).select(F.least("id", "end").alias("a"), F.greatest("id", "end").alias("b")).distinct()
+
+
+class _Tile:
+    """Two parts of a bucket: which pairs across them are still to be looked at."""
+
+    def __init__(self, name: tuple[int, int, int], t: pa.Table, percent: int):
+        self.key, i, j = name
+        column = lambda x: np.asarray(t.column(x))
+        part, self.ids, self.c, self.n = column("t"), column("id"), column("c"), column("n_shingles")
+        self.sig = _matrix(t.column("sig").combine_chunks(), TOTAL)
+        self.keys = index_keys(self.sig[:, :SYMBOLS]).view(np.int64)
+        self.left, self.right, self.same = np.flatnonzero(part == i), np.flatnonzero(part == j), i == j
+        self.percent, self.limit = percent, max_distance(TOTAL, percent)
+
+    def partners(self, i: int, component: np.ndarray) -> np.ndarray:
+        """Rows that i may link with: of another component, of like size and signature, and not met under an earlier key."""
+        other = self.right[self.right > i] if self.same else self.right
+        other = other[(component[other] != component[i]) & (100 * np.minimum(self.n[other], self.n[i]) >= self.percent * np.maximum(self.n[other], self.n[i]))]
+        if len(other):
+            other = other[(self.sig[other] != self.sig[i]).sum(axis=1) <= self.limit]
+        if len(other):
+            first = (self.keys[other] == self.keys[i]).argmax(axis=1)
+            other = other[self.keys[i][first] == self.key]
+        return other
 
 
-def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Of pairs (a, b), the links: percent of the union is shared, on the full sets."""
+def _wanted(rows: DataFrame, percent: int) -> DataFrame:
+    """(key, i, j, id): the rows of each tile that have a partner in it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for i, (x, y) in enumerate(zip(batch.column("x"), batch.column("y"))):
-                x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
-                both = np.concatenate([x, y])
-                both.sort(kind="stable")
-                shared = int((both[1:] == both[:-1]).sum())
-                if 100 * shared >= percent * (len(both) - shared) > 0:
-                    keep.append(i)
-            keep = pa.array(keep, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column("a").take(keep), batch.column("b").take(keep)], ["src", "dst"])
+        for name, t in grouped(batches, ["key", "i", "j"]):
+            tile = _Tile(name, t, percent)
+            hit = np.zeros(len(tile.ids), bool)
+            for i in tile.left.tolist():
+                if len(other := tile.partners(i, tile.c)):
+                    hit[i] = hit[other] = True
+            ids = tile.ids[hit]
+            yield pa.RecordBatch.from_arrays([*(pa.array(np.full(len(ids), x)) for x in name), pa.array(ids)], ["key", "i", "j", "id"])
 
-    side = lambda x, s: sets.select(F.col("doc_id").alias(x), F.col("set").alias(s))
-    joined = pairs.join(side("a", "x"), "a").join(side("b", "y"), "b").select("a", "b", "x", "y")
-    return joined.mapInArrow(run, "src long, dst long")
+    return rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(run, "key long, i long, j long, id long")
 
 
-def _ordered(a: str, b: str) -> tuple[Column, Column]:
-    return F.least(a, b).alias("a"), F.greatest(a, b).alias("b")
+def _tile_links(rows: DataFrame, percent: int) -> DataFrame:
+    """(src, dst): links of each tile, on the full sets, that join two components; no more of them than rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for name, t in grouped(batches, ["key", "i", "j"]):
+            tile = _Tile(name, t, percent)
+            sets = [np.frombuffer(v.as_buffer(), np.uint64) for v in t.column("set")]
+            component = np.unique(tile.c, return_inverse=True)[1].ravel()
+            out = []
+            for i in tile.left.tolist():
+                for k in tile.partners(i, component).tolist():
+                    if component[k] != component[i] and _linked(sets[i], sets[k], percent):
+                        component[component == component[k]] = component[i]
+                        out.append((tile.ids[i], tile.ids[k]))
+            found = np.array(out, np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], ["src", "dst"])
+
+    return rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(run, "src long, dst long")
+
+
+def _open_tiles(live: DataFrame, groups: DataFrame, reps: DataFrame) -> DataFrame:
+    """(key, i, j, t, id, c, n_shingles, sig): buckets that hold several components, in pairs of parts of bounded size."""
+    own = live.join(groups, "id", "left").select("key", "id", F.coalesce("component", "id").alias("c"))
+    rows = own.join(reps.select("id", "n_shingles"), "id")
+    open_ = rows.groupBy("key").agg(F.min("c").alias("c1"), F.max("c").alias("c2"), F.ceil(F.greatest(F.count("*") / TILE, F.sum("n_shingles") / TILE_SHINGLES)).alias("tiles")).where("c1 < c2").select("key", "tiles")
+    dealt = own.join(open_, "key").withColumn("t", F.pmod(F.xxhash64("id"), F.col("tiles")))
+    dealt = dealt.withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)))
+    dealt = dealt.select("key", F.least("t", "o").alias("i"), F.greatest("t", "o").alias("j"), "t", "id", "c")
+    return dealt.join(reps, "id").select("key", "i", "j", "t", "id", "c", "n_shingles", "sig")
 
 
 def near_duplicates(ws: Workspace, documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for each row of documents."""
     docs = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    sketches = ws.save(sketch(docs, width=width), "sketches")
-    some = sketches.where("n_shingles > 0 and doc_id is not null")
-    classes = some.groupBy("h1", "h2").agg(F.min("doc_id").alias("id"))
-    firsts = some.select("h1", "h2", "doc_id", F.substring("sig", 1, 2 * SYMBOLS).alias("sig")).join(classes.withColumnRenamed("id", "doc_id"), ["h1", "h2", "doc_id"], "left_semi")
+    # `no` names a row from here on: ids may repeat with other texts
+    sketches = ws.save(sketch(docs, width=width).withColumn("no", F.monotonically_increasing_id()), "sketches")
+    linkable = F.expr("n_shingles > 0 and doc_id is not null")
+    some = sketches.where(linkable)
+    classes = ws.save(some.groupBy("h1", "h2").agg(F.min("no").alias("id"), F.min("doc_id").alias("least")), "classes")
+    firsts = some.join(classes.select(F.col("id").alias("no")), "no", "left_semi").withColumnRenamed("no", "id")
     # buckets: keys that two classes or more share
-    keys = _keys(firsts.dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("id"), "sig"))
+    keys = _keys(firsts.select("id", F.substring("sig", 1, 2 * SYMBOLS).alias("sig")))
     ends = keys.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high")
-    live = ws.save(keys.join(ends, "key"), "live")
-    members = live.select(F.col("id").alias("doc_id")).distinct()
-    reps = ws.save(some.select("doc_id", "n_shingles", "sig").join(members, "doc_id", "left_semi").dropDuplicates(["doc_id"]).withColumnRenamed("doc_id", "id"), "reps")
-    star = live.select("id", F.explode(F.array("low", "high")).alias("end")).where("id <> end").select(*_ordered("id", "end")).distinct()
-    tried = ws.save(_close(star, reps, percent), "tried")
-    sets = ws.save(_sets(docs, members, width), "sets")
-    links = ws.save(_confirmed(tried, sets, percent), "links-1")
-    groups = connected_components(ws, links, "cc-1")
-    # what the stars left open: buckets whose classes are in several components
-    own = live.select("key", "id").join(groups, "id", "left").select("key", "id", F.coalesce("component", "id").alias("c"))
-    split = own.groupBy("key").agg(F.min("c").alias("c1"), F.max("c").alias("c2"), F.count("*").alias("n")).where("c1 < c2").select("key", "n")
-    open_ = own.join(split, "key").join(reps, "id").select("key", "n", "id", "c", "n_shingles", "sig")
-    fresh = ws.save(_open_pairs(open_, percent).join(tried, ["a", "b"], "left_anti"), "fresh")
-    more = ws.save(_confirmed(fresh, sets, percent), "links-2")
-    groups = connected_components(ws, links.unionByName(more), "cc-2")
-    named = classes.join(groups, "id", "left").select("h1", "h2", F.coalesce("component", "id").alias("component"))
-    out = sketches.select("doc_id", "n_shingles", *(F.when(F.expr("n_shingles > 0 and doc_id is not null"), F.col(h)).alias(h) for h in ("h1", "h2"))).join(named, ["h1", "h2"], "left")
-    component = F.coalesce("component", "doc_id")
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(False)).alias("kept"))
+    live = ws.save(keys.join(ends, "key").select("key", "id"), "live")
+    members = live.select("id").distinct()
+    reps = ws.save(firsts.join(members, "id", "left_semi").select("id", "n_shingles", "sig"), "reps")
+    sets = ws.save(_sets(docs, firsts.join(members, "id", "left_semi").select("id", "doc_id", "h1", "h2"), width), "sets")
+    groups = tried = ws.spark.createDataFrame([], "a long, b long")
+    groups = groups.select(F.col("a").alias("id"), F.col("b").alias("component"))
+    edges = groups.select(F.col("id").alias("src"), F.col("component").alias("dst"))
+    for turn in range(STARS):
+        pairs = ws.save(_star(live, groups, tried), f"pairs-{turn}")
+        edges = edges.unionByName(ws.save(_confirmed(pairs, reps, sets, percent), f"links-{turn}"))
+        groups, tried = connected_components(ws, edges, f"cc-{turn}"), tried.unionByName(pairs)
+    # what the stars left open, in full
+    tiles = ws.save(_open_tiles(live, groups, reps), "tiles")
+    wanted = _wanted(tiles, percent).join(sets, "id")
+    more = ws.save(_tile_links(tiles.join(wanted, ["key", "i", "j", "id"]), percent), "links-tiles")
+    groups = ws.save(connected_components(ws, edges.unionByName(more), "cc-last"), "groups")
+    ws.keep("sketches", "classes", "groups")
+    named = classes.join(groups, "id", "left").select("h1", "h2", "least", F.coalesce("component", "id").alias("c"))
+    first = named.groupBy("c").agg(F.min("least").alias("component"))
+    named = named.join(first, "c").select("h1", "h2", "component")
+    rest = sketches.where(~F.coalesce(linkable, F.lit(False))).select("doc_id", "n_shingles", F.col("doc_id").alias("component"))
+    out = some.select("doc_id", "n_shingles", "h1", "h2").join(named, ["h1", "h2"]).select("doc_id", "n_shingles", "component").unionByName(rest)
+    return out.select("doc_id", "n_shingles", F.col("component").alias("component_id"), F.coalesce(F.col("component") == F.col("doc_id"), F.lit(False)).alias("kept"))
 
 
 def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
