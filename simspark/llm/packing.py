@@ -8,17 +8,20 @@ shards is dealt and packed once more.
 
 Cases: a null or empty text is a document of the single id 0; documents of any length are packed whole; rows that repeat are
 packed as often as they come; equal lengths go by id; a null doc_id is kept; an empty table gives an empty table. Other columns
-are ignored. Strings of special tokens in a text are ordinary text.
+are ignored. Strings of special tokens in a text become those tokens, as the tokenizer file asks for.
 """
 
 from __future__ import annotations
 
+import json
 import math
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import combinations
 
 import numpy as np
+import public_tokenizers
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -35,13 +38,20 @@ _BYTES = 2_000_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
+@lru_cache(2)
+def special_tokens(tokenizer_path: str | None = None) -> dict[str, int]:
+    """The strings that a tokenizer file takes for tokens wherever they stand, with their ids."""
+    with open(tokenizer_path or public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as f:
+        return {t["content"]: t["id"] for t in json.load(f)["added_tokens"]}
+
+
 def cut(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, ranks_path: str | None = None) -> DataFrame:
     """The pieces of each document. The rank file and the tokenizer file of the vocabulary give the same ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, "text", _BYTES):
-                ids, at = encoder(ranks_path).encode([t or "" for t in batch.column("text").to_pylist()])
+                ids, at = encoder(ranks_path).encode_around([t or "" for t in batch.column("text").to_pylist()], special_tokens())
                 size = np.diff(at) + 1
                 full = np.insert(ids, at[1:], END_ID).astype("<u4")
                 begin = np.concatenate([[0], np.cumsum(size)])
@@ -171,7 +181,8 @@ def pack_documents(ws: Workspace, docs: DataFrame, id_col: str = "doc_id", text_
     """(doc_id, piece, start, length, ids_crc32, sequence_id, offset)."""
     pieces = ws.save(cut(docs, id_col, text_col, capacity, ranks_path), "pieces")
     n = pieces.count()
-    first = ws.save(pack(pieces.repartition(max(1, math.ceil(n / shard)), F.xxhash64("doc_id", "piece")), capacity), "round-1")
+    # dealt in turn: ids may be null or repeat
+    first = ws.save(pack(pieces.repartition(max(1, math.ceil(n / shard))), capacity), "round-1")
     enough = F.col("fill") >= UNDERFULL * capacity
     left = first.where(~enough)
     again = pack(left.repartition(max(1, math.ceil(left.count() / shard))), capacity, 1)

@@ -19,10 +19,11 @@ LETTER, NUMBER, OTHER, SPACE = 0, 1, 2, 3
 MARGIN = 4
 CHUNK, OVERLAP = 16_384, 512
 _RESET = 150_000
+_spans = RollingHash(11, 0)
 
 
 @lru_cache(1)
-def _classes() -> np.ndarray:
+def character_classes() -> np.ndarray:
     """The class of each code point."""
     import regex
 
@@ -40,7 +41,7 @@ def boundaries(codes: np.ndarray, segments: np.ndarray) -> np.ndarray:
     n = len(codes)
     if not n:
         return np.zeros(0, np.int64)
-    kind = _classes()[codes]
+    kind = character_classes()[codes]
     new = np.empty(n, bool)
     new[0] = True
     np.not_equal(kind[1:], kind[:-1], out=new[1:])
@@ -132,6 +133,34 @@ def gather(offsets: np.ndarray, data: np.ndarray, index: np.ndarray) -> tuple[np
     return data[where], at
 
 
+def distinct_spans(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(key, first, back): hash and number of one span of each kind, and the kind of each span. Spans of one kind have equal codes."""
+    key, first, back = np.unique(_spans.span(_spans.prefix(codes), starts, ends), return_index=True, return_inverse=True)
+    back = back.ravel()
+    size = ends - starts
+    like = first[back]
+    # a hash only proposes; spans that aren't the first of their hash are held against it
+    check = np.flatnonzero((like != np.arange(len(starts))) & (size == size[like]))
+    bad = np.flatnonzero(size != size[like])
+    if len(check):
+        n = size[check]
+        at = np.cumsum(n) - n
+        within = np.arange(int(n.sum())) - np.repeat(at, n)
+        differs = codes[np.repeat(starts[check], n) + within] != codes[np.repeat(starts[like[check]], n) + within]
+        if differs.any():
+            bad = np.concatenate([bad, check[np.logical_or.reduceat(differs, at)]])
+    kinds: dict[bytes, int] = {}
+    for i in bad.tolist():
+        name = codes[starts[i] : ends[i]].tobytes()
+        if name not in kinds:
+            kinds[name] = len(first) + len(kinds)
+        back[i] = kinds[name]
+    if kinds:
+        own = np.unique(back[bad], return_index=True)[1]
+        key, first = np.append(key, key[np.searchsorted(key, _spans.span(_spans.prefix(codes), starts[bad[own]], ends[bad[own]]))]), np.append(first, bad[own])
+    return key, first, back
+
+
 class Encoder:
     """Encodes batches of texts by a rank file. Distinct pieces are encoded once and kept up to a bound."""
 
@@ -143,12 +172,34 @@ class Encoder:
         # pieces are handed over in one string with a separator between them
         self.encoding = tiktoken.Encoding("pieces", pat_str=r"\x00|[^\x00]+", mergeable_ranks=self.ranks, special_tokens={})
         self.separator = self.ranks[b"\x00"]
-        self.hash = RollingHash(11, 0)
         self._forget()
 
+    def encode_around(self, texts: list[str], special: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
+        """encode(), where special strings in a text become their own id and part what is on either side."""
+        import regex
+
+        found = [s for s in special if any(s in t for t in texts)]
+        if not found:
+            return self.encode(texts)
+        split = regex.compile("(" + "|".join(regex.escape(s) for s in sorted(special, key=len, reverse=True)) + ")")
+        parts = [split.split(t) for t in texts]  # every other part is a special string
+        ids, at = self.encode([x for p in parts for x in p[::2]])
+        out, k = [], 0
+        for p in parts:
+            mine = []
+            for i, x in enumerate(p):
+                if i % 2:
+                    mine.append(np.array([special[x]], np.uint32))
+                else:
+                    mine.append(ids[at[k] : at[k + 1]])
+                    k += 1
+            out.append(np.concatenate(mine))
+        return np.concatenate(out), np.concatenate([[0], np.cumsum([len(x) for x in out])])
+
     def _forget(self) -> None:
         self.known: dict[int, int] = {}
-        self.ids, self.offsets = np.zeros(1 << 16, np.uint32), np.zeros(1 << 16, np.int64)
+        self.ids, self.offsets, self.size = np.zeros(1 << 16, np.uint32), np.zeros(1 << 16, np.int64), 0
+        self.texts: list[str] = []
 
     def _add(self, pieces: list[str]) -> None:
         """Append the ids of new pieces to the pool, in order."""
@@ -161,34 +212,38 @@ class Encoder:
             parts = np.split(flat, np.cumsum(sizes)[:-1])
             parts = [np.array(self.encoding._encode_single_piece(p), np.uint32) if "\x00" in p else x for p, x in zip(pieces, parts)]
             flat, sizes = np.concatenate(parts).astype(np.uint32), np.array([len(x) for x in parts])
-        n, at = len(self.known), self.offsets[len(self.known)]
+        n, at = self.size, self.offsets[self.size]
         while n + len(pieces) + 1 > len(self.offsets):
             self.offsets = np.concatenate([self.offsets, np.zeros_like(self.offsets)])
         while at + len(flat) > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
         self.offsets[n + 1 : n + 1 + len(pieces)] = at + np.cumsum(sizes)
         self.ids[at : at + len(flat)] = flat
+        self.texts += pieces
+        self.size += len(pieces)
 
     def pieces(self, codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids, where each piece's ids start) of codes[starts[i]:ends[i]]."""
         if not len(starts):
             return np.zeros(0, np.uint32), np.zeros(1, np.int64)
-        prefix = self.hash.prefix(codes)
-        key, first, back = np.unique(self.hash.span(prefix, starts, ends), return_index=True, return_inverse=True)
-        if len(self.known) > _RESET:
+        if self.size > _RESET:
             self._forget()
-        index = np.array([self.known.get(k, -1) for k in key.tolist()], np.int64)
-        new = np.flatnonzero(index < 0)
-        if len(new):
-            a, b = starts[first[new]], ends[first[new]]
-            flat, at = gather(np.stack([a, b], 1).ravel(), codes, np.arange(0, 2 * len(a), 2))
-            text = flat.astype("<u4").tobytes().decode("utf-32-le", "surrogatepass")
-            at = at.tolist()
-            self._add([text[x:y] for x, y in zip(at, at[1:])])
-            n = len(self.known)
-            index[new] = np.arange(n, n + len(new))
-            self.known.update(zip(key[new].tolist(), range(n, n + len(new))))
-        return gather(self.offsets, self.ids, index[back.ravel()])
+        key, first, back = distinct_spans(codes, starts, ends)
+        a, b = starts[first], ends[first]
+        flat, at = gather(np.stack([a, b], 1).ravel(), codes, np.arange(0, 2 * len(a), 2))
+        text, at = flat.astype("<u4").tobytes().decode("utf-32-le", "surrogatepass"), at.tolist()
+        index, new = np.empty(len(first), np.int64), []
+        for i, k in enumerate(key.tolist()):
+            piece, known = text[at[i] : at[i + 1]], self.known.get(k, -1)
+            # a piece that shares its hash with another is encoded by itself each time
+            if known < 0 or known >= self.size or self.texts[known] != piece:
+                known = self.size + len(new)
+                self.known.setdefault(k, known)
+                new.append(piece)
+            index[i] = known
+        if new:
+            self._add(new)
+        return gather(self.offsets, self.ids, index[back])
 
     def encode(self, texts: list[str], chunk: int = CHUNK, overlap: int = OVERLAP) -> tuple[np.ndarray, np.ndarray]:
         """(all ids, where each text's ids start)."""
