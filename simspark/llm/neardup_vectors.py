@@ -9,8 +9,8 @@ each pair of tiles is one unit of work, so a group that holds a third of all row
 counts and a spanning forest of its links, never the links themselves.
 
 Cases: vectors that are null, empty, zero or hold null or non-finite components, and rows with a null label, link with nothing;
-rows that share an id count once (smallest label, then smallest vector); rows with a null id are left out; an empty table gives
-an empty table. Other columns are ignored.
+rows that share an id are vectors of their own and get a row each; rows with a null id link like others, but don't name a component,
+whose id is null if it has no other; an empty table gives an empty table. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -85,8 +85,8 @@ def link_tiles(x: np.ndarray, y: np.ndarray | None, threshold: float = THRESHOLD
 
 def near_duplicate_vectors(ws: Workspace, df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", group_col: str = "label", threshold: float = THRESHOLD) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for each vector."""
-    rows = df.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.struct(F.col(group_col).alias("g"), F.col(vector_col).cast("array<double>").alias("v")).alias("r"))
-    rows = ws.save(rows.groupBy("id").agg(F.min("r").alias("r")).select("id", "r.g", "r.v"), "rows")
+    # `id` names a row, as ids may be null or repeat
+    rows = ws.save(df.select(F.monotonically_increasing_id().alias("id"), F.col(id_col).cast("long").alias("vec_id"), F.col(group_col).alias("g"), F.col(vector_col).cast("array<double>").alias("v")), "rows")
     usable = rows.where(F.col("g").isNotNull() & finite(F.col("v")) & F.exists("v", lambda x: x != 0)).withColumn("d", F.size("v"))
     tiles = usable.groupBy("g", "d").agg(F.ceil(F.count("*") / TILE).alias("tiles"))
     dealt = usable.join(tiles, ["g", "d"]).withColumn("t", F.pmod(F.xxhash64("id"), F.col("tiles")))
@@ -111,11 +111,12 @@ def near_duplicate_vectors(ws: Workspace, df: DataFrame, id_col: str = "vec_id",
         return pa.table([ids[got], ids[root[got]], links[got]], ["id", "root", "links"])
 
     found = ws.save(units.groupBy("g", "d", "a", "b").applyInArrow(run, "id long, root long, links long"), "links")
-    groups = connected_components(ws, found.where("id <> root").select(F.col("id").alias("src"), F.col("root").alias("dst")))
+    groups = ws.save(connected_components(ws, found.where("id <> root").select(F.col("id").alias("src"), F.col("root").alias("dst"))), "groups")
+    ws.keep("rows", "links", "groups")
     counts = found.groupBy("id").agg(F.sum("links").alias("n_links"))
-    out = rows.select("id").join(counts, "id", "left").join(groups, "id", "left")
-    component = F.coalesce("component", "id")
-    return out.select(F.col("id").alias("vec_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), (component == F.col("id")).alias("kept"))
+    out = rows.select("id", "vec_id").join(counts, "id", "left").join(groups, "id", "left").withColumn("c", F.coalesce("component", "id"))
+    named = out.join(out.groupBy("c").agg(F.min("vec_id").alias("component_id")), "c")
+    return named.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "component_id", F.coalesce(F.col("component_id") == F.col("vec_id"), F.lit(False)).alias("kept"))
 
 
 def op5_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
