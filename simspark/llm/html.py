@@ -38,14 +38,20 @@ MIN_TOKENS, MIN_PAGES = 8, 2
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript".split())
-HIDDEN = frozenset("head template svg math object select button datalist canvas audio video map".split())
+HIDDEN = frozenset("head template svg object select button datalist canvas audio video map".split())
 ASIDE = frozenset("nav aside footer form menu dialog search".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
 CLOSES_P = BLOCKS - {"body", "html", "caption", "tbody", "td", "tfoot", "th", "thead", "tr", "dd", "dt", "li"}
 #: Roles and words of class and id that mark what isn't main text.
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar form toolbar".split())
 WORDS = frozenset("ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices disclaimer menu menubar navbar nav navigation breadcrumb breadcrumbs sidebar aside footer masthead topbar header pageheader siteheader comment comments commentlist disqus respond replies related recommended share sharing social newsletter subscribe subscription signup login popup modal overlay widget pagination pager toolbar skip".split())
-_TAG = re.compile(r"<!--.*?(?:--!?>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>", re.S)
+#: Words that only place or shape what they name.
+PLAIN = frozenset("box block container wrapper wrap list section area bar item inner outer top bottom left right site page global main primary secondary button buttons link links text slot unit row col column panel module component article post posts entry user reader legal privacy policy print mobile desktop sticky fixed inline js".split())
+_OPEN = re.compile(r"<(?=[a-zA-Z/!?])")
+_TAG = re.compile(r"<!--.*?(?:--!?>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<[!?/][^>]*>", re.S)
+#: A tag whose quotes don't close before the page ends, and how many of them show that a page's quotes mean nothing.
+_LOOSE = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>")
+LOOSE_TAGS = 16
 _ATTR = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'=<>`]+)))?")
 _SPLIT = re.compile(r"[^a-z0-9]+|(?<=[a-z])(?=[0-9])")
 _TOKEN = re.compile(r"\w+")
@@ -77,8 +83,10 @@ def _marked(name: str, source: str, in_article: bool) -> bool:
         return True
     if name in ("body", "html", "article", "main"):
         return False
-    named = f"{have.get('class', '')} {have.get('id', '')}".lower()
-    return not WORDS.isdisjoint(_SPLIT.split(named))
+    names = f"{have.get('class', '')} {have.get('id', '')}".lower().split()
+    # inside an article a name must say nothing else: a notice-box, but not a notice-of-meeting
+    parts = [[w for w in _SPLIT.split(n) if w and not w.isdigit()] for n in names]
+    return any(not WORDS.isdisjoint(p) and (not in_article or all(w in WORDS or w in PLAIN for w in p)) for p in parts)
 
 
 def closings(source: str, name: str) -> dict[int, int]:
@@ -117,9 +125,20 @@ def blocks(source: str) -> list[Block]:
         del stack[depth:]
         state = stack[-1] if stack else ("", False, 0, False, False)
 
-    at, n = 0, len(source)
+    at, n, loose = 0, len(source), 0
+
+    def next_tag(at: int) -> re.Match | None:
+        nonlocal loose
+        for place in _OPEN.finditer(source, at):
+            m = _TAG.match(source, place.start()) if loose < LOOSE_TAGS or source.startswith("<!--", place.start()) else None
+            if m is None and (m := _LOOSE.match(source, place.start())) is not None:
+                loose += 1
+            if m is not None:
+                return m
+        return None
+
     while at < n:
-        m = _TAG.search(source, at)
+        m = next_tag(at)
         if m is None:
             held.append(html.unescape(source[at:]))
             break
@@ -188,14 +207,8 @@ def blocks(source: str) -> list[Block]:
 def choose(found: list[Block]) -> list[tuple[int, bool]]:
     """(number, protected) of the blocks that may be main text; protected: the page marks it as its article."""
     live = [i for i, b in enumerate(found) if not b.out]
-    sizes: dict[int, int] = {}
-    for i in live:
-        if found[i].article:
-            sizes[found[i].article] = sizes.get(found[i].article, 0) + len(found[i].text)
-    if sizes:
-        best = max(sizes, key=lambda k: (sizes[k], -k))
-        keep = {best} if 2 * sizes[best] >= sum(sizes.values()) else set(sizes)
-        return [(i, True) for i in live if found[i].article in keep]
+    if any(found[i].article for i in live):
+        return [(i, True) for i in live if found[i].article]
     if any(found[i].main for i in live):
         return [(i, True) for i in live if found[i].main]
     return [(i, False) for i in live]
