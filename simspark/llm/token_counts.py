@@ -25,7 +25,8 @@ from pyspark.sql import functions as F
 from simspark.llm.common import slices, table
 from simspark.llm.pretoken import MARGIN, encoder, split_texts
 
-LEAF = 8
+#: Pre-tokens of a leaf, and how many times as many it may come to hold before the tree is given more leaves.
+LEAF, FULL = 8, 4
 _BYTES = 2_000_000
 _PATTERN = regex.compile(public_tokenizers.PATTERN)
 
@@ -97,26 +98,46 @@ class CountTree:
             self.__init__([""], [0], [0], self.counts)
         first, begin = self._leaf(max(0, start - MARGIN))
         # the leaf's start is a boundary that shows MARGIN characters before the edit, or the text's start
-        last, end = self._leaf(stop)
-        end += len(self.texts[last])
+        last, _ = self._leaf(stop)
         head = "".join(self.texts[first : last + 1])
         text = head[: start - begin] + new + head[stop - begin :]
-        shift = len(new) - (stop - start)
+        edges, more = [(last, len(text))], 1  # leaves that the region may end with, and where in the text they end
         while True:
-            more = last + 1
-            while more < len(self.texts) and not self.texts[more]:
-                more += 1
-            found = [(m.start(), m.end()) for m in _PATTERN.finditer(text + (self.texts[more] if more < len(self.texts) else ""))]
-            edge = end + shift - begin
-            if more >= len(self.texts) or any(a == edge for a, _ in found) and edge >= start + len(new) - begin:
-                break
-            last, end, text = more, end + len(self.texts[more]), text + self.texts[more]
-        pieces = [text[a:b] for a, b in found if b <= len(text)]
+            found = [(m.start(), m.end()) for m in _PATTERN.finditer(text)]
+            starts, done = {a for a, _ in found}, edges[-1][0] + 1 >= len(self.texts)
+            # the region ends where the leaf behind it starts with a boundary; the last edge shows nothing behind it
+            for leaf, edge in edges if done else edges[:-1]:
+                if edge == len(text) and done or edge in starts and edge + MARGIN <= len(text) and edge >= start + len(new) - begin:
+                    break
+            else:
+                for leaf in range(edges[-1][0] + 1, min(edges[-1][0] + 1 + more, len(self.texts))):
+                    text += self.texts[leaf]
+                    edges.append((leaf, len(text)))
+                more *= 2
+                continue
+            break
+        self._replace(first, leaf, [text[a:b] for a, b in found if b <= edge])
+
+    def _replace(self, first: int, last: int, pieces: list[str]) -> None:
+        """Put pieces, encoded anew, into the leaves first to last; where they would grow too full, the tree gets more leaves."""
         self.reencoded += len(pieces)
-        for leaf in range(first + 1, last + 1):
-            if self.texts[leaf]:
-                self._put(leaf, "", 0, 0)
-        self._put(first, text, sum(map(self.counts.__getitem__, pieces)), len(pieces))
+        slots = last - first + 1
+        each = max(LEAF, -(-len(pieces) // slots))
+        grown = each > FULL * LEAF
+        parts = [pieces[i : i + (LEAF if grown else each)] for i in range(0, len(pieces), LEAF if grown else each)]
+        leaves = [("".join(p), sum(map(self.counts.__getitem__, p)), len(p)) for p in parts]
+        if grown:
+            old = [heap[self.size : self.size + len(self.texts)] for heap in self.sums]
+            texts = self.texts[:first] + [x[0] for x in leaves] + self.texts[last + 1 :]
+            tokens, counts = (old[k][:first] + [x[k] for x in leaves] + old[k][last + 1 :] for k in (1, 2))
+            done = self.reencoded
+            self.__init__(texts, tokens, counts, self.counts)
+            self.reencoded = done
+            return
+        for i in range(slots):
+            leaf = leaves[i] if i < len(leaves) else ("", 0, 0)
+            if leaf[0] or self.texts[first + i]:
+                self._put(first + i, *leaf)
 
 
 def edited_counts(df: DataFrame, edits: str = "edits", id_col: str = "doc_id", text_col: str = "text", ranks_path: str | None = None) -> DataFrame:
