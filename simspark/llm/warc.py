@@ -144,10 +144,11 @@ def mark_revisits(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("payload"))
     # the digests are made in the same pass on both sides of the join; only those that repeat come back to the payloads
     key = F.sha1(F.col("payload").cast("binary"))
-    seen = rows.where(F.octet_length("payload") >= min_bytes).select(key.alias("digest"), "page_id")
-    first = seen.groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1 and first is not null").drop("n")
+    other_key = F.md5(F.col("payload").cast("binary"))  # tells payloads apart that were made to share a digest
+    seen = rows.where(F.octet_length("payload") >= min_bytes).select(key.alias("digest"), other_key.alias("check"), "page_id")
+    first = seen.groupBy("digest", "check").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1 and first is not null").drop("n")
     other = F.coalesce(F.col("page_id") != F.col("first"), F.col("first").isNotNull())
-    joined = rows.withColumn("digest", key).join(first, "digest", "left")
+    joined = rows.withColumns({"digest": key, "check": other_key}).join(first, ["digest", "check"], "left")
     return joined.select("page_id", "url", "payload", "digest", F.when(other, F.col("first")).alias("refers_to"))
 
 
