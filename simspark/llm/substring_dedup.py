@@ -33,7 +33,7 @@ from simspark.llm.common import RollingHash, Workspace, mix64, slices, table, te
 from simspark.llm.suffix import repeated_starts
 
 LENGTH, ANCHOR, HOT, CELL = 400, 96, 512, 32
-SHARD_BYTES = 1 << 20
+SHARD_BYTES = 1 << 21
 #: Bytes of a word's code: 6 bits of the hash in the first, 5 in the others.
 CODE = 6
 _BYTES, _UNIT = 1 << 20, 1 << 19
@@ -45,6 +45,14 @@ def uid() -> Column:
     return F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("doc_id").isNull(), F.col("text"))
 
 
+def span_name(prefix: np.ndarray, start: np.ndarray, end: np.ndarray, parts: int = 8) -> np.ndarray:
+    """A hash of each span that isn't a sum over it: certain long strings, taken whole, cancel out in sums modulo a power of two."""
+    size, name = end - start, np.zeros(len(start), np.uint64)
+    for k in range(parts):
+        name = mix64(name ^ _hash.span(prefix, start + size * k // parts, start + size * (k + 1) // parts))
+    return name
+
+
 def segments(body: np.ndarray, offsets: np.ndarray, length: int = LENGTH, anchor: int = ANCHOR):
     """(text number, first window, windows, anchor place, anchor hash, segment hash) of each segment; places are within the text."""
     width = length - anchor + 1
@@ -73,7 +81,7 @@ def segments(body: np.ndarray, offsets: np.ndarray, length: int = LENGTH, anchor
         cut = np.flatnonzero((np.diff(at) != 0) | (np.diff(start) != 1) | (np.diff(own) != 0)) + 1
         first, last = np.append(0, cut), np.append(cut, len(start)) - 1
         a, b, m, d = start[first], start[last], at[first], own[first]
-        for c, v in zip(columns, (d, a - offsets[d], b - a + 1, m - offsets[d], _hash.span(prefix, m, m + anchor), _hash.span(prefix, a, b + length))):
+        for c, v in zip(columns, (d, a - offsets[d], b - a + 1, m - offsets[d], _hash.span(prefix, m, m + anchor), span_name(prefix, a, b + length))):
             c.append(v)
     return [np.concatenate(c) if c else np.zeros(0, np.int64 if i < 4 else np.uint64) for i, c in enumerate(columns)]
 
@@ -152,7 +160,7 @@ def _split(docs: DataFrame, hot: DataFrame, cell: int, length: int) -> DataFrame
                 a = first[at] + k * cell
                 start, stop = np.maximum(a, lo[at]), np.minimum(a + cell, (lo + n)[at])
                 core = _hash.span(prefix, base[at] + a + cell - 1, base[at] + a + length) if cell > 1 else _hash.span(prefix, base[at] + a, base[at] + a + length)
-                seg = _hash.span(prefix, base[at] + start, base[at] + stop - 1 + length)
+                seg = span_name(prefix, base[at] + start, base[at] + stop - 1 + length)
                 key = mix64(core ^ (a - mark[at]).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ it["key"][at].view(np.uint64)) if cell > 1 else core
                 take = pa.array(at)
                 yield pa.RecordBatch.from_arrays([pa.array(it[c][at]) for c in ("pkey", "pseg")] + [pa.array(start - it["plo"][at]), pa.array(key.view(np.int64)), pa.array(seg.view(np.int64)), pa.array(it["uid"]).take(take), pa.array(start), pa.array((stop - start).astype(np.int32)), pa.array((mark[at] - start).astype(np.int32)), pa.array(it["n"]).take(take)], ["pkey", "pseg", "off", "key", "seg", "uid", "lo", "windows", "ahead", "n"])
@@ -239,6 +247,8 @@ def repeated_windows(ws: Workspace, docs: DataFrame, length: int = LENGTH, ancho
             lifted = lifted.unionByName(w)
         lifted = lifted.join(found, ["key", "seg"]).groupBy("pkey", "pseg").agg(F.collect_list(F.struct("off", "found")).alias("found"))
         parents = parents.join(classes.where(~F.col("hot")).select("key", "seg"), ["key", "seg"], "left_semi").unionByName(lifted.select(F.col("pkey").alias("key"), F.col("pseg").alias("seg"), "found"))
+    for name in ("anchors-classes", "cool"):
+        ws.drop(name)
     return seen.join(parents, ["key", "seg"]).groupBy("uid").agg(F.collect_set(F.struct("lo", "found")).alias("items"))
 
 
@@ -358,7 +368,7 @@ def dedup_documents(ws: Workspace, docs: DataFrame, id_col: str = "doc_id", text
 
 
 def digests(ws: Workspace, docs: DataFrame, **options) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) of docs (doc_id, text)."""
+    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, text) of docs (doc_id, text); text: what is left, without parts of characters."""
     length = options.get("length", LENGTH)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -367,17 +377,17 @@ def digests(ws: Workspace, docs: DataFrame, **options) -> DataFrame:
             body, offsets = text_buffer(batch.column("text"))
             for items, a, b in zip(batch.column("items"), offsets.tolist(), offsets[1:].tolist()):
                 mine = body[a:b]
-                if not items.is_valid:
-                    out.append((b - a, 0, 0, hashlib.sha256(mine).hexdigest()))
-                    continue
-                gone = removed_mask(b - a, items.as_py(), length)
-                spans = int((gone[1:] & ~gone[:-1]).sum() + gone[:1].sum()) if b > a else 0
-                out.append((b - a, int(gone.sum()), spans, hashlib.sha256(mine[~gone]).hexdigest()))
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, t) for c, t in zip(zip(*out) if out else [()] * 4, kinds))], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+                gone, spans = np.zeros(b - a, bool), 0
+                if items.is_valid and b > a:
+                    gone = removed_mask(b - a, items.as_py(), length)
+                    spans = int((gone[1:] & ~gone[:-1]).sum() + gone[:1].sum())
+                left = mine[~gone].tobytes() if spans else mine.tobytes()
+                out.append((b - a, int(gone.sum()), spans, hashlib.sha256(left).hexdigest(), left.decode(errors="ignore")))
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, t) for c, t in zip(zip(*out) if out else [()] * 5, kinds))], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "text"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return covered(ws, docs.select("doc_id", "text"), **options).select("doc_id", "text", "items").mapInArrow(run, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return covered(ws, docs.select("doc_id", "text"), **options).select("doc_id", "text", "items").mapInArrow(run, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, text string")
 
 
 def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -19,7 +19,7 @@ import numpy as np
 from simspark.llm.common import RollingHash
 
 #: Tuples that a queue keeps in memory, and names up to which a reduced string is sorted in memory.
-IN_MEMORY, BASE = 1 << 24, 1 << 22
+IN_MEMORY, BASE = 1 << 18, 1 << 22
 _hash = RollingHash(7, 0)
 
 
@@ -181,7 +181,7 @@ def _order_names(names: np.ndarray) -> np.ndarray:
         second = np.zeros(n, np.int64)
         second[: max(0, n - step)] = rank[step:] + 1
         key = rank * (n + 2) + second
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         key = key[order]
         fresh = np.append(0, np.cumsum(key[1:] != key[:-1]))
         rank = np.empty(n, np.int64)
@@ -206,19 +206,17 @@ def suffix_array(text: np.ndarray, cap: int, limit: int = IN_MEMORY, base: int =
         used, text = np.unique(text, return_inverse=True)
         text, buckets = text.ravel().astype(np.uint8 if len(used) <= 256 else np.int32), len(used)
     # type of each suffix: that of the first later place where neighbours differ; separators are S
-    change = np.flatnonzero(text[1:] != text[:-1])
-    nxt = np.searchsorted(change, np.arange(n))
-    last = np.append(change, n - 1)[nxt]  # last place of the run that a place stands in
-    run = last - np.arange(n) + 1
-    after = np.append(text, 0)[last + 1]
+    change = np.append(np.flatnonzero(text[1:] != text[:-1]), n - 1)
+    size = np.diff(change, prepend=-1)
+    last = np.repeat(change.astype(np.int32 if n < 2**31 else np.int64), size)  # last place of the run that a place stands in
+    run = last - np.arange(n, dtype=last.dtype) + 1
+    after = np.repeat(np.append(text, text.dtype.type(0))[change + 1], size)
+    del last
     small = (after > text) | (text == 0)
     small[-1] = True
     zero = text == 0
     run[zero] = 1
-    seeds = np.flatnonzero(small & np.append(False, ~small[:-1]))
-    if zero[0]:
-        seeds = np.append(0, seeds[seeds > 0])
-    seeds = np.union1d(seeds, np.flatnonzero(zero))
+    seeds = np.flatnonzero((small & np.append(False, ~small[:-1])) | zero)
     rough = seeds[np.argsort(text[seeds], kind="stable")]
     cap_ = np.uint16(cap)
     order, _ = _induce(text, small, run, rough, np.zeros(len(rough), np.uint16), buckets, cap, limit)
@@ -245,11 +243,11 @@ def suffix_array(text: np.ndarray, cap: int, limit: int = IN_MEMORY, base: int =
             sorted_ = seeds[inner]
     # common prefixes of neighbours among them, by bisection on hashes within their strings
     ends = np.flatnonzero(zero)
-    to_end = ends[np.searchsorted(ends, np.arange(n))] - np.arange(n) if not names else None
     lcp = np.zeros(len(sorted_), np.uint16)
     if not names and len(sorted_) > 1:
         a, b = sorted_[1:], sorted_[:-1]
-        low, high = np.zeros(len(a), np.int64), np.minimum(np.minimum(to_end[a], to_end[b]), cap)
+        to_end = ends[np.searchsorted(ends, sorted_)] - sorted_
+        low, high = np.zeros(len(a), np.int64), np.minimum(np.minimum(to_end[1:], to_end[:-1]), cap)
         while (open_ := low < high).any():
             mid = (low + high + 1) // 2
             same = _hash.span(prefix, a, a + mid) == _hash.span(prefix, b, b + mid)
