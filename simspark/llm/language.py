@@ -3,9 +3,12 @@
 Words that the model knows are scored by their log frequency in each language; for an unseen word the score backs off to the
 longest character n-grams it has in the model, from MAX_GRAM characters down to one.
 
-The model is fitted on labelled texts. Fitting may use a bounded sample: MAX_TRAINING_ROWS rows, those with the smallest hash
-of their id, so that the sample is the same on every run; and its vocabulary is bounded by MAX_WORDS words and MAX_GRAMS
-n-grams of each length, the most frequent ones. So the model's size has a bound and it is sent to the executors as it is.
+The model is fitted on labelled texts. Fitting may use a bounded sample: MAX_TRAINING_ROWS rows in equal shares of the languages, as far
+as they go, those with the smallest hash of their id, so that the sample is the same on every run. Its vocabulary is bounded by MAX_WORDS
+words and MAX_GRAMS n-grams of each length, the most frequent ones, and by MAX_CELLS numbers of all languages together. So the model's
+size has a bound whatever the number of languages, and it is sent to the executors as it is.
+
+The words of a batch of texts are found by array operations, and each different word is looked up once.
 
 Cases: texts that are null or have no letter get `und` with score 0; very long texts are scored whole; repeated rows get the
 same result; with no labelled rows everything is `und`; an empty table gives an empty table; ties go to the first language
@@ -14,23 +17,24 @@ by name. Other columns of the input don't matter.
 
 from __future__ import annotations
 
-import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+import regex
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from simspark.llm.common import slices, table
+from simspark.llm.pretoken import LETTER, character_classes, distinct_spans
 
 MAX_TRAINING_ROWS = 6_000
-MAX_WORDS, MAX_GRAMS, MAX_GRAM = 60_000, 20_000, 4
+MAX_WORDS, MAX_GRAMS, MAX_GRAM, MAX_CELLS = 60_000, 20_000, 4, 4_000_000
 #: Weight of the evidence of an unseen word against a known one, by n-gram.
 BACKOFF = 0.4
 UNKNOWN = "und"
-_WORD = re.compile(r"[^\W\d_]+")
+_WORD = regex.compile(r"\p{L}+")
 _BYTES = 4_000_000
 
 
@@ -68,35 +72,47 @@ class Model:
             self._memo[word] = score
         return score
 
-    def predict(self, text: str | None) -> tuple[str, float]:
-        words = words_of(text) if text else []
-        if not words or not self.languages:
-            return UNKNOWN, 0.0
-        total = np.zeros(len(self.languages))
-        index, known, times = self.index[0].get, [], []
-        for word, k in Counter(words).items():
-            if (i := index(word)) is not None:
-                known.append(i)
-                times.append(k)
-            else:
-                total += k * self.unseen(word)
-        if known:
-            total += np.asarray(times) @ self.rows[0][known]
+    def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
+        """(language, score) of each text."""
+        n = len(texts)
+        low = [(t or "").lower() for t in texts]
+        codes = np.frombuffer("".join(low).encode("utf-32-le"), np.uint32)
+        if not self.languages or not len(codes):
+            return [UNKNOWN] * n, np.zeros(n)
+        offsets = np.concatenate([[0], np.cumsum([len(t) for t in low])])
+        letter = character_classes()[codes] == LETTER
+        edge = np.zeros(len(codes) + 1, bool)
+        edge[offsets] = True
+        starts = np.flatnonzero(letter & (np.append(True, ~letter[:-1]) | edge[:-1]))
+        ends = np.flatnonzero(letter & (np.append(~letter[1:], True) | edge[1:])) + 1
+        if not len(starts):
+            return [UNKNOWN] * n, np.zeros(n)
+        owner = np.searchsorted(offsets, starts, side="right") - 1
+        _, first, back = distinct_spans(codes, starts, ends)
+        rows = np.empty((len(first), len(self.languages)))
+        for i, (a, b) in enumerate(zip(starts[first].tolist(), ends[first].tolist())):
+            word = codes[a:b].tobytes().decode("utf-32-le")
+            known = self.index[0].get(word)
+            rows[i] = self.unseen(word) if known is None else self.rows[0][known]
+        words = np.bincount(owner, minlength=n)
+        total = np.stack([np.bincount(owner, weights=rows[back, k], minlength=n) for k in range(len(self.languages))], 1)
         # the evidence of neighbouring words isn't independent: the posterior is taken over the root of their number
-        total *= 3.0 / max(1.0, len(words) ** 0.5)
-        p = np.exp(total - total.max())
-        best = int(np.argmax(total))
-        return self.languages[best], float(p[best] / p.sum())
+        total *= 3.0 / np.sqrt(np.maximum(words, 1))[:, None]
+        p = np.exp(total - total.max(axis=1, keepdims=True))
+        best = np.argmax(total, axis=1)
+        score = p[np.arange(n), best] / p.sum(axis=1)
+        return [self.languages[k] if w else UNKNOWN for k, w in zip(best.tolist(), words.tolist())], np.where(words > 0, score, 0.0)
 
 
 def fit(df: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", max_rows: int = MAX_TRAINING_ROWS) -> Model:
     """Fit on the rows of df with a language. Counting runs on the executors; the driver gets the bounded vocabulary only."""
     labelled = df.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    keys = labelled.select(F.col(id_col).alias("id"), F.xxhash64(F.col(id_col).cast("string"), F.lit(8)).alias("h"))
-    bound = keys.orderBy("h", "id").limit(max_rows).agg(F.max("h")).first()[0]
-    if bound is None:
-        return Model([], {}, [{} for _ in range(MAX_GRAM)])
-    sample = labelled.where(F.xxhash64(F.col(id_col).cast("string"), F.lit(8)) <= bound).select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
+    h = F.xxhash64(F.col(id_col).cast("string"), F.lit(8)).alias("h")
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
+    first = labelled.select(F.col(lang_col).alias("lang"), h).withColumn("rank", rank).where(F.col("rank") <= max_rows)
+    bounds = first.orderBy("rank", "h").limit(max_rows).groupBy("lang").agg(F.max("h").alias("bound"))
+    # max_rows languages at most, so this goes to the executors
+    sample = labelled.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), h).join(F.broadcast(bounds), "lang").where("h <= bound").select("text", "lang")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[tuple[int, str], Counter] = defaultdict(Counter)
@@ -117,8 +133,9 @@ def fit(df: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: s
         totals = {(r["n"], r["lang"]): (r["k"], r["m"]) for r in counts.groupBy("n", "lang").agg(F.sum("k").alias("k"), F.count("*").alias("m")).collect()}
         languages = sorted({lang for _, lang in totals})
         tables: list[dict[str, np.ndarray]] = []
+        share = max(100, MAX_CELLS // ((MAX_GRAM + 1) * max(1, len(languages))))
         for n in range(MAX_GRAM + 1):
-            best = counts.where(F.col("n") == n).groupBy("item").agg(F.sum("k").alias("all"), F.collect_list(F.struct("lang", "k")).alias("by")).where(F.col("all") >= (2 if n == 0 else 1)).orderBy(F.desc("all"), "item").limit(MAX_WORDS if n == 0 else MAX_GRAMS)
+            best = counts.where(F.col("n") == n).groupBy("item").agg(F.sum("k").alias("all"), F.collect_list(F.struct("lang", "k")).alias("by")).where(F.col("all") >= (2 if n == 0 else 1)).orderBy(F.desc("all"), "item").limit(min(share, MAX_WORDS if n == 0 else MAX_GRAMS))
             rows = {}
             distinct = max((totals.get((n, x), (0, 0))[1] for x in languages), default=1)
             for r in best.collect():
@@ -144,8 +161,8 @@ def predict(df: DataFrame, model: Model, text_col: str = "text", keep: list[str]
         model = sent.value
         for whole in batches:
             for batch in slices(whole, "text", _BYTES):
-                found = [model.predict(t) for t in batch.column("text").to_pylist()]
-                yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in sent_back), pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())], [*(f.name for f in sent_back), "lang_pred", "score"])
+                found, score = model.predict(batch.column("text").to_pylist())
+                yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in sent_back), pa.array(found, pa.string()), pa.array(score, pa.float64())], [*(f.name for f in sent_back), "lang_pred", "score"])
 
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in sent_back)
     out = kept.mapInArrow(run, f"{schema}, lang_pred string, score double" if schema else "lang_pred string, score double")

@@ -24,7 +24,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from simspark.llm.common import RollingHash, Workspace, grouped, mix64, slices, table, text_buffer
@@ -286,13 +286,12 @@ def _open_tiles(live: DataFrame, groups: DataFrame, reps: DataFrame) -> DataFram
     return dealt.join(reps, "id").select("key", "i", "j", "t", "id", "c", "n_shingles", "sig")
 
 
-def near_duplicates(ws: Workspace, documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) for each row of documents."""
+def classes_and_groups(ws: Workspace, documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
+    """(sketches of all rows, (h1, h2, least, c) of each class of equal sets: its smallest doc_id and its component)."""
     docs = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     # `no` names a row from here on: ids may repeat with other texts
     sketches = ws.save(sketch(docs, width=width).withColumn("no", F.monotonically_increasing_id()), "sketches")
-    linkable = F.expr("n_shingles > 0 and doc_id is not null")
-    some = sketches.where(linkable)
+    some = sketches.where(_linkable())
     classes = ws.save(some.groupBy("h1", "h2").agg(F.min("no").alias("id"), F.min("doc_id").alias("least")), "classes")
     firsts = some.join(classes.select(F.col("id").alias("no")), "no", "left_semi").withColumnRenamed("no", "id")
     # buckets: keys that two classes or more share
@@ -315,13 +314,63 @@ def near_duplicates(ws: Workspace, documents: DataFrame, id_col: str = "doc_id",
     more = ws.save(_tile_links(tiles.join(wanted, ["key", "i", "j", "id"]), percent), "links-tiles")
     groups = ws.save(connected_components(ws, edges.unionByName(more), "cc-last"), "groups")
     ws.keep("sketches", "classes", "groups")
-    named = classes.join(groups, "id", "left").select("h1", "h2", "least", F.coalesce("component", "id").alias("c"))
+    return sketches, classes.join(groups, "id", "left").select("h1", "h2", "least", F.coalesce("component", "id").alias("c"))
+
+
+def _linkable() -> Column:
+    return F.coalesce(F.expr("n_shingles > 0 and doc_id is not null"), F.lit(False))
+
+
+def near_duplicates(ws: Workspace, documents: DataFrame, **options) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) for each row of documents."""
+    sketches, named = classes_and_groups(ws, documents, **options)
     first = named.groupBy("c").agg(F.min("least").alias("component"))
     named = named.join(first, "c").select("h1", "h2", "component")
-    rest = sketches.where(~F.coalesce(linkable, F.lit(False))).select("doc_id", "n_shingles", F.col("doc_id").alias("component"))
-    out = some.select("doc_id", "n_shingles", "h1", "h2").join(named, ["h1", "h2"]).select("doc_id", "n_shingles", "component").unionByName(rest)
+    rest = sketches.where(~_linkable()).select("doc_id", "n_shingles", F.col("doc_id").alias("component"))
+    out = sketches.where(_linkable()).select("doc_id", "n_shingles", "h1", "h2").join(named, ["h1", "h2"]).select("doc_id", "n_shingles", "component").unionByName(rest)
     return out.select("doc_id", "n_shingles", F.col("component").alias("component_id"), F.coalesce(F.col("component") == F.col("doc_id"), F.lit(False)).alias("kept"))
 
 
+def with_names(documents: DataFrame, text_col: str = "text", width: int = WIDTH) -> DataFrame:
+    """documents with n_shingles, h1 and h2 as __n, __h1 and __h2."""
+    # columns go by number, as any name may be taken
+    plain = documents.select(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(documents.columns)))
+    text = f"c{documents.columns.index(text_col)}"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in slices(whole, text, _BYTES):
+                h, at = shingle_sets(*text_buffer(batch.column(text)), width)
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.diff(at), pa.int64()), *set_names(h, at)], [*batch.schema.names, "n", "h1", "h2"])
+
+    made = plain.mapInArrow(run, ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in plain.schema), "n long, h1 long, h2 long"]))
+    return made.select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(documents.columns)), *(F.col(x).alias(f"__{x}") for x in ("n", "h1", "h2")))
+
+
+def one_of_each(ws: Workspace, documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
+    """documents without all but one row of each component, one with the smallest id. Rows without an id or a word all stay."""
+    _, named = classes_and_groups(ws, documents, id_col=id_col, text_col=text_col, width=width, percent=percent)
+    first = named.groupBy("c").agg(F.min(F.struct("least", "h1", "h2")).alias("f")).select(F.col("f.least").alias("__id"), F.col("f.h1").alias("__h1"), F.col("f.h2").alias("__h2"))
+    rows = with_names(documents, text_col, width).withColumn("__id", F.col(f"`{id_col}`").cast("long"))
+    free = F.col("__id").isNull() | (F.col("__n") == 0)
+    kept = rows.where(~free).join(first, ["__id", "__h1", "__h2"], "left_semi").dropDuplicates(["__id", "__h1", "__h2"])
+    return kept.unionByName(rows.where(free)).select(*(F.col(f"`{c}`") for c in documents.columns))
+
+
 def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(Workspace(spark, "op10"), table(spark, sf_dir, "documents"))
+
+
+#: DuckDB's version of op10_minhash_near_dedup: all pairs that share a shingle, and what is reached by links.
+ORACLE_SQL = f"""
+WITH RECURSIVE t AS (
+  SELECT row_number() OVER () AS no, doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \\t-\\r]+'), lambda x: x <> '') AS w FROM documents),
+s AS (
+  SELECT no, doc_id, CASE WHEN len(w) >= {WIDTH} THEN list_distinct(list_transform(range(1, len(w) - {WIDTH - 2}), lambda i: array_to_string(w[i:i + {WIDTH - 1}], ' '))) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS sh FROM t),
+x AS (SELECT no, len(sh) AS n, unnest(sh) AS g FROM s WHERE doc_id IS NOT NULL),
+p AS (SELECT a.no AS i, b.no AS j, a.n AS ni, b.n AS nj, count(*) AS shared FROM x a JOIN x b ON a.g = b.g AND a.no <> b.no GROUP BY ALL),
+l AS (SELECT i, j FROM p WHERE 100 * shared >= {PERCENT} * (ni + nj - shared)),
+reach(a, b) AS (SELECT no, no FROM s UNION SELECT r.a, l.j FROM reach r JOIN l ON l.i = r.b),
+c AS (SELECT a, min(doc_id) AS component_id FROM reach JOIN s ON s.no = reach.b GROUP BY a)
+SELECT doc_id, len(sh) AS n_shingles, component_id, coalesce(component_id = doc_id, false) AS kept FROM s JOIN c ON c.a = s.no
+"""

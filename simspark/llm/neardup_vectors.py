@@ -121,3 +121,17 @@ def near_duplicate_vectors(ws: Workspace, df: DataFrame, id_col: str = "vec_id",
 
 def op5_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicate_vectors(Workspace(spark, "op5"), table(spark, sf_dir, "embeddings"))
+
+
+#: DuckDB's version of op5_embedding_near_dedup: all pairs of a label, and what is reached by links.
+ORACLE_SQL = f"""
+WITH RECURSIVE v AS (SELECT row_number() OVER () AS no, vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+u AS (
+  SELECT * FROM v WHERE label IS NOT NULL AND e IS NOT NULL AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(e, lambda x: x <> 0)) > 0),
+l AS (SELECT a.no AS i, b.no AS j FROM u a JOIN u b ON a.label = b.label AND a.no <> b.no AND len(a.e) = len(b.e) WHERE list_cosine_similarity(a.e, b.e) >= {THRESHOLD}),
+n AS (SELECT i, count(*) AS n_links FROM l GROUP BY i),
+reach(a, b) AS (SELECT no, no FROM v UNION SELECT r.a, l.j FROM reach r JOIN l ON l.i = r.b),
+c AS (SELECT a, min(vec_id) AS component_id FROM reach JOIN v ON v.no = reach.b GROUP BY a)
+SELECT vec_id, coalesce(n_links, 0) AS n_links, component_id, coalesce(component_id = vec_id, false) AS kept FROM v JOIN c ON c.a = v.no LEFT JOIN n ON n.i = v.no
+"""

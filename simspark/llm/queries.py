@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from simspark.llm import topk
+from simspark.llm import minhash, neardup_vectors, topk
 from simspark.llm.bpe import op9_byte_bpe
 from simspark.llm.html import op2_html_extraction
 from simspark.llm.language import op8_language_id
@@ -24,4 +24,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_exact_topk": topk.ORACLE_SQL}
+    return {"op5_embedding_near_dedup": neardup_vectors.ORACLE_SQL, "op7_exact_topk": topk.ORACLE_SQL, "op10_minhash_near_dedup": minhash.ORACLE_SQL}

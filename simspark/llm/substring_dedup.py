@@ -367,8 +367,8 @@ def dedup_documents(ws: Workspace, docs: DataFrame, id_col: str = "doc_id", text
     return out.select(*(F.col(back[c]).alias(c) for c in docs.columns))
 
 
-def digests(ws: Workspace, docs: DataFrame, **options) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, text) of docs (doc_id, text); text: what is left, without parts of characters."""
+def digests(ws: Workspace, docs: DataFrame, with_text: bool = False, **options) -> DataFrame:
+    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) of docs (doc_id, text), and if asked the text that is left, without parts of characters."""
     length = options.get("length", LENGTH)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -387,8 +387,9 @@ def digests(ws: Workspace, docs: DataFrame, **options) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, t) for c, t in zip(zip(*out) if out else [()] * 5, kinds))], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "text"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return covered(ws, docs.select("doc_id", "text"), **options).select("doc_id", "text", "items").mapInArrow(run, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, text string")
+    out = covered(ws, docs.select("doc_id", "text"), **options).select("doc_id", "text", "items").mapInArrow(run, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, text string")
+    return out if with_text else out.drop("text")
 
 
 def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return digests(Workspace(spark, "op1"), table(spark, sf_dir, "documents"))
+    return digests(Workspace(spark, "op1"), table(spark, sf_dir, "documents"), with_text=True)

@@ -19,7 +19,7 @@ import numpy as np
 from simspark.llm.common import RollingHash
 
 #: Tuples that a queue keeps in memory, and names up to which a reduced string is sorted in memory.
-IN_MEMORY, BASE = 1 << 18, 1 << 22
+IN_MEMORY, BASE = 1 << 17, 1 << 22
 _hash = RollingHash(7, 0)
 
 

@@ -33,8 +33,9 @@ def finite(vector: Column) -> Column:
 
 
 def quantised(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = SCALE) -> DataFrame:
-    """(no, id, weights): floor(scale * x) of each component. no names a row, as ids may repeat; save the table before it is read twice."""
-    return df.where(finite(F.col(vector_col))).select(F.monotonically_increasing_id().alias("no"), F.col(id_col).cast("long").alias("id"), F.transform(vector_col, lambda x: F.floor(F.lit(scale) * x.cast("double"))).alias("weights"))
+    """(no, id, weights): floor(scale * x) of each component. no names a row, as ids may repeat; the table is saved, so that it stays."""
+    rows = df.where(finite(F.col(vector_col))).select(F.monotonically_increasing_id().alias("no"), F.col(id_col).cast("long").alias("id"), F.transform(vector_col, lambda x: F.floor(F.lit(scale) * x.cast("double"))).alias("weights"))
+    return Workspace(df.sparkSession, "quantised").save(rows, "rows")
 
 
 def _matrix(t: pa.Table, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -139,7 +140,7 @@ def top_k(ws: Workspace, queries: DataFrame, candidates: DataFrame, k: int = K)
 
 def op7_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     ws = Workspace(spark, "op7")
-    rows = ws.save(quantised(table(spark, sf_dir, "embeddings")), "rows")
+    rows = quantised(table(spark, sf_dir, "embeddings"))
     return top_k(ws, rows.where(F.col("id") % EVERY == 0), rows)
 
 
