@@ -1,6 +1,10 @@
 """A training corpus from documents: language ID, near-duplicate removal, removal of repeated strings, packing.
 
 Each stage takes (spark, docs, sf_dir) and works on all that the one before has kept. All but the last return the columns of documents.
+
+Cases: null texts and texts without a letter go in the first stage; empty texts that the third stage leaves are kept and packed as a
+document of the end id; very long texts are used whole; rows that repeat are near duplicates of each other; rows without a doc_id pass
+through; extra columns are carried up to packing, whatever their names; an empty table gives an empty table at each stage.
 """
 
 from __future__ import annotations
@@ -17,18 +21,20 @@ PASSAGE_WORDS = 51
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that have a language; those without a letter, null texts included, go."""
+    """Documents that have a language, which stands in where `lang` is null; those without a letter, null texts included, go."""
     bounded_batches(spark)
     model = language.fit(docs.where(~language.held_out()))
     found = language.predict(docs, model, keep=[c for c in docs.columns if c != "text"], carry_text=True)
-    return found.where(F.col("lang_pred") != language.UNKNOWN).select(*docs.columns)
+    known = found.where(F.col("lang_pred") != language.UNKNOWN)
+    if "lang" in docs.columns:
+        known = known.withColumn("lang", F.coalesce("lang", "lang_pred"))
+    return known.select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates, that with the smallest doc_id. Rows without a doc_id stay; of rows that share one, one stays."""
-    kept = minhash.near_duplicates(Workspace(spark, "pipeline-10"), docs).where("kept").select("doc_id").distinct()
-    named = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.unionByName(docs.where(F.col("doc_id").isNull())).select(*docs.columns)
+    """One document of each group of near duplicates, one with the smallest doc_id. Rows without a doc_id or a word stay, as they link
+    with nothing; rows that share a doc_id are documents of their own."""
+    return minhash.one_of_each(Workspace(spark, "pipeline-10"), docs)
 
 
 def drop_repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
