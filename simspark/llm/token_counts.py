@@ -3,7 +3,7 @@
 Each document keeps a tree over its pre-tokens: a leaf holds LEAF pre-tokens, a node the characters, tokens and pre-tokens below
 it. An edit re-splits the text from the last leaf that starts MARGIN characters before it, as far as a leaf behind it whose start is
 a pre-token boundary again; only the pre-tokens in between are encoded anew, and the sums on the paths to the root are
-updated. The rest of the document is never read again.
+updated. The rest of the document is never encoded again. Trees are rows, saved and edited again later.
 
 Cases: null and empty texts are trees without leaves and can be edited like others; edits beyond the end are cut to it and those
 whose stop lies before their start insert; a null edit, or one without text, is nothing or a deletion; edits apply in their order,
@@ -22,12 +22,13 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from simspark.llm.common import slices, table
+from simspark.llm.common import Workspace, slices, table
 from simspark.llm.pretoken import MARGIN, encoder, split_texts
 
 #: Pre-tokens of a leaf, and how many times as many it may come to hold before the tree is given more leaves.
 LEAF, FULL = 8, 4
-_BYTES = 2_000_000
+COUNTS = ["n_tokens", "n_tokens_edited", "n_chars_edited", "n_pieces_edited", "n_reencoded"]
+_BYTES, _ROWS = 2_000_000, 200
 _PATTERN = regex.compile(public_tokenizers.PATTERN)
 
 
@@ -140,12 +141,21 @@ class CountTree:
                 self._put(first + i, *leaf)
 
 
-def edited_counts(df: DataFrame, edits: str = "edits", id_col: str = "doc_id", text_col: str = "text", ranks_path: str | None = None) -> DataFrame:
-    """(doc_id, n_tokens, n_tokens_edited, n_chars_edited, n_pieces_edited, n_reencoded) of rows with edits array<struct<start, stop, text>>."""
+TREE = "leaves array<string>, tokens array<int>, pieces array<int>"
+
+
+def _lists(values: list[list], kind: pa.DataType) -> pa.Array:
+    ends = np.cumsum([0, *(len(v) for v in values)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array([x for v in values for x in v], kind))
+
+
+def count_trees(df: DataFrame, keep: list[str], text_col: str = "text", ranks_path: str | None = None) -> DataFrame:
+    """The columns `keep` of df with the tree of each whole text: its leaves, and the tokens and pre-tokens of each. Save it to edit it later."""
+    # columns go by number, as any name may be taken
+    rows = df.select(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(keep)), F.col(f"`{text_col}`").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code = encoder(ranks_path)
-        counts = PieceCounts(code.encoding)
         for whole in batches:
             for batch in slices(whole, "text", _BYTES):
                 texts = [t or "" for t in batch.column("text").to_pylist()]
@@ -153,28 +163,57 @@ def edited_counts(df: DataFrame, edits: str = "edits", id_col: str = "doc_id", t
                 offsets = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
                 starts = split_texts(codes, offsets)
                 _, at = code.pieces(codes, starts, np.append(starts[1:], len(codes)))
-                tokens = np.diff(at)
-                cut = np.searchsorted(starts, offsets)
-                out = []
-                for i, (text, edits) in enumerate(zip(texts, batch.column("edits").to_pylist())):
+                tokens, cut = np.diff(at), np.searchsorted(starts, offsets)
+                out: list[list[list]] = [[], [], []]
+                for i, text in enumerate(texts):
                     a, b = cut[i], cut[i + 1]
-                    if b > a:
-                        lead = np.arange(0, b - a, LEAF)
-                        edge = [*(starts[a:b][lead] - offsets[i]).tolist(), len(text)]
-                        tree = CountTree([text[x:y] for x, y in zip(edge, edge[1:])], np.add.reduceat(tokens[a:b], lead).tolist(), np.diff(np.append(lead, b - a)).tolist(), counts)
-                    else:
-                        tree = CountTree([], [], [], counts)
+                    lead = np.arange(0, b - a, LEAF)
+                    edge = [*(starts[a:b][lead] - offsets[i]).tolist(), len(text)]
+                    out[0].append([text[x:y] for x, y in zip(edge, edge[1:])])
+                    out[1].append(np.add.reduceat(tokens[a:b], lead).tolist() if b > a else [])
+                    out[2].append(np.diff(np.append(lead, b - a)).tolist())
+                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *(_lists(x, k) for x, k in zip(out, (pa.string(), pa.int32(), pa.int32())))], [*batch.schema.names[:-1], "leaves", "tokens", "pieces"])
+
+    kinds = [f"{f.name} {f.dataType.simpleString()}" for f in rows.schema if f.name != "text"]
+    made = rows.mapInArrow(run, ", ".join([*kinds, TREE]))
+    return made.select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(keep)), "leaves", "tokens", "pieces")
+
+
+def edit_trees(trees: DataFrame, edits: str = "edits", id_col: str = "doc_id", ranks_path: str | None = None) -> DataFrame:
+    """(doc_id, leaves, tokens, pieces, n_tokens, n_tokens_edited, n_chars_edited, n_pieces_edited, n_reencoded) of trees with
+    edits array<struct<start, stop, text>>: the trees after the edits, ready for more, with the counts before and after."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = PieceCounts(encoder(ranks_path).encoding)
+        for whole in batches:
+            for k in range(0, whole.num_rows, _ROWS):
+                batch = whole.slice(k, _ROWS)
+                out, shape = [], ([], [], [])
+                for leaves, tokens, pieces, edits_ in zip(*(batch.column(c).to_pylist() for c in ("leaves", "tokens", "pieces", "edits"))):
+                    tree = CountTree(leaves, tokens, pieces, counts)
                     before = tree.total[1]
-                    for e in edits or ():
+                    for e in edits_ or ():
                         if e is not None and e["start"] is not None:
                             tree.edit(e["start"], e["start"] if e["stop"] is None else e["stop"], e["text"] or "")
-                    chars, after, pieces = tree.total
-                    out.append((before, after, chars, pieces, tree.reencoded))
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, pa.int64()) for c in (zip(*out) if out else [()] * 5))], ["doc_id", "n_tokens", "n_tokens_edited", "n_chars_edited", "n_pieces_edited", "n_reencoded"])
+                    chars, after, n = tree.total
+                    out.append((before, after, chars, n, tree.reencoded))
+                    shape[0].append(tree.texts)
+                    for values, heap in zip(shape[1:], tree.sums[1:]):
+                        values.append(heap[tree.size : tree.size + len(tree.texts)])
+                lists = [_lists(x, kind) for x, kind in zip(shape, (pa.string(), pa.int32(), pa.int32()))]
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *lists, *(pa.array(c, pa.int64()) for c in (zip(*out) if out else [()] * 5))], ["doc_id", "leaves", "tokens", "pieces", *COUNTS])
 
-    kind = df.schema[id_col].dataType.simpleString()
+    kind = trees.schema[id_col].dataType.simpleString()
+    rows = trees.select(F.col(id_col).alias("doc_id"), "leaves", "tokens", "pieces", F.col(edits).alias("edits"))
+    return rows.mapInArrow(run, f"doc_id {kind}, {TREE}, " + ", ".join(f"{c} long" for c in COUNTS))
+
+
+def edited_counts(df: DataFrame, edits: str = "edits", id_col: str = "doc_id", text_col: str = "text", ranks_path: str | None = None) -> DataFrame:
+    """(doc_id, n_tokens, n_tokens_edited, n_chars_edited, n_pieces_edited, n_reencoded) of rows with edits: the trees are made and saved
+    first, and edited from what was saved."""
     rows = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(edits).alias("edits"))
-    return rows.mapInArrow(run, f"doc_id {kind}, n_tokens long, n_tokens_edited long, n_chars_edited long, n_pieces_edited long, n_reencoded long")
+    trees = Workspace(df.sparkSession, "op3").save(count_trees(rows, ["doc_id", "edits"], ranks_path=ranks_path), "trees")
+    return edit_trees(trees, ranks_path=ranks_path).select("doc_id", *COUNTS)
 
 
 def sample_edits(text: Column) -> Column:

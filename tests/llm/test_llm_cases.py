@@ -251,6 +251,22 @@ def test_counts_of_repeated_and_long_texts(spark):
     assert tree.reencoded < 50 * 60 and max(tree.sums[2][tree.size :]) <= token_counts.LEAF * token_counts.FULL
 
 
+def test_trees_are_kept_between_edits(spark):
+    rng = random.Random(12)
+    rows = [(i, words(rng, rng.randrange(0, 200))) for i in range(20)] + [(30, None), (31, "")]
+    docs = spark.createDataFrame([(*r, "clash") for r in rows], "doc_id long, text string, leaves string")
+    ws = Workspace(spark, "t")
+    trees = ws.save(token_counts.count_trees(docs, ["doc_id"]), "0")
+    text = {i: t or "" for i, t in rows}
+    edit = F.array(F.struct(F.lit(40).alias("start"), F.lit(45).alias("stop"), F.lit("new  words's").alias("text")))
+    for turn in range(3):
+        trees = ws.save(token_counts.edit_trees(trees.withColumn("edits", edit)), str(turn + 1))
+        text = {i: t[:40] + "new  words's" + t[45:] for i, t in text.items()}
+        for r in trees.collect():
+            ids = pretoken.encoder().encode([text[r.doc_id]])[0]
+            assert ("".join(r.leaves), r.n_tokens_edited, sum(r.tokens)) == (text[r.doc_id], len(ids), len(ids))
+
+
 def test_queues_of_a_shard_spill():
     """With the constants of production a shard's queue goes to disk."""
     rng = np.random.default_rng(1)
