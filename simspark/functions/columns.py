@@ -1,4 +1,4 @@
-"""Column expressions: all JVM-side, so plans stay inside whole-stage code generation where Spark allows it."""
+"""Column expressions. All are JVM-side but for shingles, MinHash signatures and band keys, which are Arrow functions over whole batches."""
 
 from __future__ import annotations
 
@@ -20,12 +20,31 @@ def tokens(text: Column) -> Column:
     return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), "[^a-z0-9]+"), lambda x: x != "")
 
 
+def _shingles(seqs: pa.Array, k: int) -> pa.Array:
+    items = seqs.flatten().to_pylist()
+    size = [0 if n is None else n for n in pc.list_value_length(seqs).to_pylist()]
+    out, ends, at = [], [0], 0
+    for n in size:
+        t = items[at : at + n]
+        out.extend(dict.fromkeys(map("|".join, zip(*(t[i:] for i in range(k))))))
+        ends.append(len(out))
+        at += n
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(out, pa.string()))
+
+
 def shingles(seq: Column, k: int = 5) -> Column:
-    """Distinct runs of k tokens, joined by |; none for shorter sequences."""
+    """Distinct runs of k tokens, joined by |; none for shorter sequences.
+
+    In an Arrow function: Spark interprets array lambdas and puts the expression of the sequence into them, to be worked out for each run.
+    """
     if k <= 0:
         raise ValueError("k must be positive")
-    at = F.sequence(F.lit(1), F.size(seq) - (k - 1))
-    return F.when(F.size(seq) >= k, F.array_distinct(F.transform(at, lambda i: F.concat_ws("|", F.slice(seq, i, k))))).otherwise(F.array().cast("array<string>"))
+
+    @F.arrow_udf("array<string>")
+    def runs(a: pa.Array) -> pa.Array:
+        return _shingles(a, k)
+
+    return runs(seq)
 
 
 def hash_words(s: Column) -> Column:
@@ -59,13 +78,26 @@ def minhash(items: Column, num_perm: int = 128) -> Column:
     return signature(items)
 
 
+def _band_keys(signatures: pa.Array, bands: int) -> pa.Array:
+    sigs = signatures.to_pylist()
+    keys = []
+    for sig in sigs:
+        words = [str(x) for x in sig]
+        rows = len(words) // bands
+        keys += [hashlib.md5(",".join(words[b * rows : (b + 1) * rows]).encode()).hexdigest() for b in range(bands)]
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(sigs) + 1, dtype=np.int32) * bands), pa.array(keys, pa.string()))
+
+
 def band_keys(signature: Column, bands: int = 32, num_perm: int = 128) -> Column:
+    """The md5 of each band's numbers, as DuckDB computes it too; in an Arrow function, as array lambdas are interpreted."""
     if num_perm % bands:
         raise ValueError("bands must divide the number of permutations")
-    rows = num_perm // bands
-    keys = lambda sig: F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda b: F.md5(F.concat_ws(",", F.transform(F.slice(sig, b * rows + 1, rows), lambda x: x.cast("string")))))
-    # the signature is made once, as the item of an outer array, and not anew for each band
-    return F.transform(F.array(signature), keys)[0]
+
+    @F.arrow_udf("array<string>")
+    def keys(a: pa.Array) -> pa.Array:
+        return _band_keys(a, bands)
+
+    return keys(signature)
 
 
 def jaccard(a: Column, b: Column, empty: float = 0.0) -> Column:
@@ -155,18 +187,53 @@ def func_pair_score(sim: Column, name_a: Column, name_b: Column, len_a: Column,
     """Similarity weighed down by length ratio, names, degrees and template flags."""
     name = F.coalesce(F.lit(0.5) + F.lit(0.5) * name_factor(name_a, name_b), F.lit(1.0))
     s = clamp(sim) * length_factor(len_a, len_b) * name * degree_factor(deg_a) * degree_factor(deg_b) * F.when(template, 0.3).otherwise(1.0)
-    s = F.when(is_driver_name(name_a) & is_driver_name(name_b), F.least(s, F.lit(0.8))).otherwise(s)
-    return F.when((s < 1e-4) | (s < 0.5 * threshold), 0.0).otherwise(s)
+    capped = lambda x: F.when(is_driver_name(name_a) & is_driver_name(name_b), F.least(x, F.lit(0.8))).otherwise(x)
+    kept = lambda x: F.when((x < 1e-4) | (x < 0.5 * threshold), 0.0).otherwise(x)
+    # bound by lambdas, as the product would else be written out, and worked out, for each use
+    return F.transform(F.transform(F.array(s), capped), kept)[0]
+
+
+#: Words of a name that say nothing about what a function does.
+GENERIC_NAME_WORDS = ("main", "solution", "sol", "helper", "util", "utils", "function", "func", "student", "answer", "result", "res", "tmp")
 
 
-def name_tokens(name: Column, generic: tuple[str, ...] = ("get", "set", "do", "run", "func", "function", "main", "test", "tmp", "helper")) -> Column:
-    return F.array_distinct(F.filter(F.split(F.lower(F.coalesce(name, F.lit(""))), "[^a-z0-9]+"), lambda x: (F.length(x) > 1) & ~x.isin(*generic)))
+def name_tokens(name: Column, generic: tuple[str, ...] = GENERIC_NAME_WORDS) -> Column:
+    return F.array_distinct(F.filter(F.split(F.lower(F.trim(F.coalesce(name, F.lit("")))), "[^a-z0-9]+"), lambda x: (F.length(x) > 1) & ~x.isin(*generic)))
 
 
 def name_similarity(a: Column, b: Column) -> Column:
-    x, y = plain_name(a), plain_name(b)
+    """1 for equal names, 0.8 if one starts with the other (three characters at least), else the Jaccard similarity of their words."""
+    x, y = F.trim(F.coalesce(a, F.lit(""))), F.trim(F.coalesce(b, F.lit("")))
     prefix = (F.length(x) >= 3) & (F.length(y) >= 3) & (x.startswith(y) | y.startswith(x))
-    return F.when((x == "") | (y == ""), 0.0).when(x == y, 1.0).when(prefix, 0.8).otherwise(jaccard(name_tokens(a), name_tokens(b)))
+    words, other = name_tokens(a), name_tokens(b)
+    return F.when((x == "") | (y == ""), 0.0).when(x == y, 1.0).when(prefix, 0.8).when((F.size(words) == 0) | (F.size(other) == 0), 0.0).otherwise(jaccard(words, other))
+
+
+def effect_tags(text: Column) -> Column:
+    """Lower-case tags of a text that lists them; a signature of counts has none."""
+    return F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), "[;,/]"), lambda x: F.lower(F.trim(x))), lambda x: x != "")
+
+
+def first_number(*values: Column) -> Column:
+    """The first of several numbers that is there, else 0: degrees and call counts go by several names."""
+    return F.coalesce(*values, F.lit(0)).cast("int")
+
+
+def effect_similarity(a: Column, b: Column) -> Column:
+    """Jaccard similarity of tags; no tags on a side are no evidence."""
+    return F.when((F.size(a) == 0) | (F.size(b) == 0), 0.0).otherwise(jaccard(F.array_distinct(a), F.array_distinct(b)))
+
+
+def task_similarity(sim: Column, name: Column, effect: Column) -> Column:
+    """Structural similarity let through as far as names and effects agree; nothing if neither does."""
+    agree = 0.7 * name + 0.3 * effect
+    return F.when((sim <= 0) | (agree <= 0.05), 0.0).otherwise(clamp(clamp(sim) * (0.2 + 0.8 * agree)))
+
+
+def weighted_program_score(score: Column, len_a: Column, len_b: Column, least: float = 0.0) -> Column:
+    """An aggregate: the mean of scores of at least `least`, weighed by the longer side of each pair; 0 without any."""
+    w = F.when(score >= least, F.greatest(len_a, len_b))
+    return F.coalesce(F.try_divide(F.sum(score * w), F.sum(w)), F.lit(0.0))
 
 
 def func_similarity(token_jaccard: Column, effect_cosine: Column, unknown: Column, alpha: float = 0.7, penalty: float = 0.05) -> Column:

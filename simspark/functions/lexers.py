@@ -5,22 +5,22 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Fixed value: words before a parenthesis that aren't calls.
-KEYWORDS = ["if", "for", "while", "switch", "return", "sizeof", "catch", "new", "else", "do"]
+from simspark.sources.lines import LEXEMES, NO_CALLS
 
 
-def strip_comments(code: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(code, r"(?s)/\*.*?\*/", " "), r"(?m)//.*$", "")
+def strip_comments(code: Column, every_line: bool = True) -> Column:
+    """Without comments; line comments on every line, or only on the last one, as in the published tokens."""
+    return F.regexp_replace(F.regexp_replace(code, r"(?s)/\*.*?\*/", " "), r"(?m)//.*$" if every_line else r"//.*\z", "")
 
 
-def lexemes(code: Column) -> Column:
-    """Names, numbers as <NUM>, strings and operators, in order."""
-    found = F.regexp_extract_all(strip_comments(code), F.lit(r"""[A-Za-z_][A-Za-z0-9_]*|[0-9]+|"[^"\n]*"|'[^'\n]*'|[-+*/%=<>!&|^~]+|[(){}\[\];,.?:]"""), F.lit(0))
+def lexemes(code: Column, lang: str = "c", every_line: bool = True) -> Column:
+    """Names, numbers as <NUM> and operators, in order."""
+    found = F.regexp_extract_all(strip_comments(code, every_line), F.lit(LEXEMES[lang]), F.lit(0))
     return F.transform(found, lambda t: F.when(t.rlike("^[0-9]+$"), "<NUM>").otherwise(t))
 
 
-def calls(line: Column) -> Column:
-    """Names called on a line; strings and characters are masked first."""
-    masked = F.regexp_replace(line, r"""\"[^\"]*\"|'[^']*'""", "")
-    names = F.transform(F.regexp_extract_all(masked, F.lit(r"([A-Za-z_][A-Za-z0-9_.]*)\s*\("), F.lit(1)), lambda x: x)
-    return F.filter(names, lambda x: ~x.isin(*KEYWORDS))
+def calls(line: Column, lang: str = "c") -> Column:
+    """Names called on a line; line comments, strings and characters are masked first."""
+    masked = F.regexp_replace(F.regexp_replace(F.regexp_replace(line, r"//.*$", ""), r'"(?:[^"\\]|\\.)*"', '"STR"'), r"'(?:[^'\\]|\\.)*'", "'CHR'")
+    names = F.regexp_extract_all(masked, F.lit(r"\b([A-Za-z_][A-Za-z0-9_" + ("." if lang == "java" else "") + r"]*)\s*\("), F.lit(1))
+    return F.filter(names, lambda x: ~x.isin(*NO_CALLS[lang]))

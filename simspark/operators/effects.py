@@ -11,19 +11,30 @@ COUNTERS = ["R_STACK", "W_STACK", "R_GLOBAL", "W_GLOBAL", "R_HEAP", "W_HEAP", "F
 TIERS = {"fqname": 0, "regex": 1, "module": 2}
 
 
+#: A rule base is data of the program: more rows than this aren't taken for one, as rules are broadcast.
+MAX_RULES = 10_000
+
+
+def small(rules: DataFrame) -> DataFrame:
+    """rules, once their number is checked."""
+    if rules.limit(MAX_RULES + 1).count() > MAX_RULES:
+        raise ValueError(f"a rule base has {MAX_RULES} rules at most")
+    return rules
+
+
 def match_rules(calls: DataFrame, rules: DataFrame) -> DataFrame:
     """calls with rule_id: exact name, then regular expressions in their order, then module prefixes, then the default rule.
 
-    rules (rule_id, kind, pattern, ...) is data of the program, a few hundred rows, so it is broadcast. Exact names are an
+    rules (rule_id, kind, pattern, ...) is data of the program, MAX_RULES rows at most, so it is broadcast. Exact names are an
     equi-join; only names that have none go through the patterns, and each distinct name once.
     """
     names = calls.select("call").distinct()
-    small = rules.select("rule_id", "kind", "pattern")
-    exact = names.join(F.broadcast(small.where("kind = 'fqname'").groupBy(F.col("pattern").alias("call")).agg(F.max("rule_id").alias("rule_id"))), "call")
+    few = small(rules.select("rule_id", "kind", "pattern"))
+    exact = names.join(F.broadcast(few.where("kind = 'fqname'").groupBy(F.col("pattern").alias("call")).agg(F.max("rule_id").alias("rule_id"))), "call")
     open_ = names.join(exact, "call", "left_anti")
     hit = F.when(F.col("kind") == "regex", F.expr("call rlike concat('^(?:', pattern, ')')")).otherwise(F.expr("startswith(call, concat(pattern, '.'))"))
-    loose = open_.join(F.broadcast(small.where("kind in ('regex', 'module')")), hit).groupBy("call").agg(F.min_by("rule_id", F.struct(F.when(F.col("kind") == "regex", 1).otherwise(2), "rule_id")).alias("rule_id"))
-    default = small.where("kind = 'default'").agg(F.max("rule_id").alias("default_id"))
+    loose = open_.join(F.broadcast(few.where("kind in ('regex', 'module')")), hit).groupBy("call").agg(F.min_by("rule_id", F.struct(F.when(F.col("kind") == "regex", 1).otherwise(2), "rule_id")).alias("rule_id"))
+    default = few.where("kind = 'default'").agg(F.max("rule_id").alias("default_id"))
     found = exact.unionByName(loose)
     return calls.join(found, "call", "left").join(F.broadcast(default)).withColumn("rule_id", F.coalesce("rule_id", "default_id")).drop("default_id")
 
@@ -41,7 +52,7 @@ def counter_of(resource: Column, tag: Column) -> Column:
 def signatures(effects: DataFrame, id_col: str) -> DataFrame:
     """One count for each counter and the sorted flags of each id, from effects (id, resource, tag)."""
     counter = counter_of(F.col("resource"), F.col("tag"))
-    flags = F.sort_array(F.collect_set(F.when(F.col("resource").startswith("FLAG:"), F.substring("resource", 6, 200))))
+    flags = F.sort_array(F.collect_set(F.when(F.col("resource").startswith("FLAG:"), F.expr("substring(resource, 6)"))))
     return effects.withColumn("__c", counter).groupBy(id_col).agg(*(F.count(F.when(F.col("__c") == c, 1)).alias(c) for c in COUNTERS), flags.alias("flags"))
 
 
@@ -49,10 +60,14 @@ def effect_vector() -> Column:
     return F.array(*(F.col(c).cast("double") for c in COUNTERS))
 
 
+def resource_kind() -> Column:
+    """The kind of the node that stands for a resource and what is done to it."""
+    group = F.regexp_extract("resource", "^(STACK|GLOBAL|HEAP|FILE|NET|DB|ENV|RNG|TIME)", 1)
+    return F.when(F.col("resource").startswith("FLAG:"), F.concat(F.lit("RES_FLAG_"), F.upper(F.expr("substring(resource, 6)")))).otherwise(F.concat_ws("_", F.lit("RES"), F.when(group != "", group), F.col("tag")))
+
+
 def resource_nodes(effects: DataFrame, sizes: DataFrame, id_col: str) -> DataFrame:
     """(id, kind, nid): a node for each distinct resource kind and tag, numbered after the id's own nodes. sizes (id, max_nid)."""
-    group = F.regexp_extract("resource", "^(STACK|GLOBAL|HEAP|FILE|NET|DB|ENV|RNG|TIME)", 1)
-    kind = F.when(F.col("resource").startswith("FLAG:"), F.concat(F.lit("RES_FLAG_"), F.upper(F.substring("resource", 6, 200)))).otherwise(F.concat_ws("_", F.lit("RES"), F.when(group != "", group), F.col("tag")))
-    distinct = effects.select(id_col, kind.alias("kind")).distinct()
+    distinct = effects.select(id_col, resource_kind().alias("kind")).distinct()
     rank = F.row_number().over(Window.partitionBy(id_col).orderBy("kind"))
     return distinct.withColumn("__r", rank).join(sizes, id_col).select(id_col, "kind", (F.col("max_nid") + F.col("__r")).cast("long").alias("nid"))

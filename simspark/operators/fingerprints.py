@@ -25,7 +25,9 @@ def representatives(df: DataFrame, id_col: str, by: str = "shingles") -> DataFra
 
 def buckets(df: DataFrame, id_col: str) -> DataFrame:
     """(band, bucket, id) of fingerprinted rows that have shingles: the index as a table."""
-    return df.where(F.size("shingles") > 0).select(id_col, F.posexplode("bands").alias("band", "bucket")).select("band", "bucket", id_col)
+    # outer, as a filter on the exploded array would make its Arrow functions run again for each use
+    rows = df.where(F.size("shingles") > 0).select(id_col, F.posexplode_outer("bands").alias("band", "bucket"))
+    return rows.select("band", "bucket", id_col)
 
 
 def adjacency(nodes: DataFrame, edges: DataFrame) -> DataFrame:

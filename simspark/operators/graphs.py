@@ -8,10 +8,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -81,15 +81,39 @@ def postdominators(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return per_graph(nodes, edges, lambda ns, es: ((n, p) for n, ps in _postdominators(ns, es).items() for p in ps), f"g {kind['g']}, n {kind['n']}, p {kind['n']}")
 
 
-def control_dependence(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(g, src, dst): dst runs or not as src branches: it postdominates a successor of src, but not src."""
+def control_edges(ns: Iterable[int], es: list[tuple[int, int]]) -> set[tuple[int, int]]:
+    """(src, dst): dst runs or not as src branches: it postdominates a successor of src, but not src."""
+    post = _postdominators([{"n": n} for n in ns], es)
+    return {(a, n) for a, b in es if a in post and b in post for n in post[b] - post[a] if n != a}
 
-    def solve(ns: list[dict], es: list[tuple[int, int]]) -> Iterator[tuple]:
-        post = _postdominators(ns, es)
-        return iter({(a, n) for a, b in es if a in post and b in post for n in post[b] - post[a] if n != a})
 
+def control_dependence(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(g, src, dst) of control_edges of each graph."""
     kind = dict(nodes.dtypes)
-    return per_graph(nodes, edges, solve, f"g {kind['g']}, src {kind['n']}, dst {kind['n']}")
+    return per_graph(nodes, edges, lambda ns, es: iter(control_edges([x["n"] for x in ns], es)), f"g {kind['g']}, src {kind['n']}, dst {kind['n']}")
+
+
+def last_definitions(nodes: DataFrame) -> DataFrame:
+    """(g, def, use, var): the last node before each that wrote what it reads. nodes (g, n, var, writes, reads): one row a variable of a node."""
+    w = Window.partitionBy("g", "var").orderBy("n").rowsBetween(Window.unboundedPreceding, -1)
+    found = nodes.withColumn("def", F.last(F.when(F.col("writes"), F.col("n")), ignorenulls=True).over(w))
+    return found.where("reads and def is not null").select("g", "def", F.col("n").alias("use"), "var")
+
+
+def small_components(ns: list[int], es: list[tuple[int, int]]) -> list[list[int]]:
+    """The nodes of each component of a small graph, by their smallest node."""
+    level, groups = bfs_levels(ns, es), []
+    near: dict[int, set[int]] = {}
+    for a, b in es:
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+    for start in (n for n in sorted(ns) if level[n] == 0):
+        group, front = {start}, {start}
+        while front:
+            front = {m for n in front for m in near.get(n, ())} - group
+            group |= front
+        groups.append(sorted(group))
+    return groups
 
 
 def bfs_levels(ns: list[int], es: list[tuple[int, int]]) -> dict[int, int]:
@@ -108,11 +132,20 @@ def bfs_levels(ns: list[int], es: list[tuple[int, int]]) -> dict[int, int]:
     return level
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """spark.checkpoint.dir. Only a session on one machine may leave it unset, as in tests: it gets a folder there."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        base = f"file://{tempfile.gettempdir()}/simspark-shared"
+    return base.rstrip("/")
+
+
 def materialised(df: DataFrame, tag: str) -> DataFrame:
     """df written to the folder that the cluster shares (spark.checkpoint.dir) and read again: cuts lineage, survives lost executors."""
     spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/simspark-shared"
-    path = f"{base.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -34,10 +34,13 @@ def program_stats(pairs: DataFrame, totals: DataFrame, params: Params = DEFAULT)
         pairs = pairs.withColumns({"na": F.lit(1).cast("long"), "nb": F.lit(1).cast("long")})
     w = F.col("na") * F.col("nb")
     mean = lambda w: F.sum(F.col("score") * w) / F.sum(w)
-    # three of a pair of classes are as many as the mean of the best three can need
-    top3 = F.slice(F.sort_array(F.flatten(F.collect_list(F.array_repeat("score", F.least(w, F.lit(3)).cast("int")))), asc=False), 1, 3)
-    stats = pairs.groupBy("prog_a", "prog_b").agg(F.max("score").alias("max_pair"), mean(w).alias("mean_pair"), top3.alias("t"), F.sum(F.when(strong, w).otherwise(0)).alias("hi_count"), F.sum(w).alias("num_matches"), F.coalesce(mean(F.when(strong, w)), F.lit(0.0)).alias("avg_high"))
-    stats = stats.withColumn("top3_mean", F.aggregate("t", F.lit(0.0), lambda s, x: s + x) / F.size("t")).drop("t")
+    stats = pairs.groupBy("prog_a", "prog_b").agg(F.max("score").alias("max_pair"), mean(w).alias("mean_pair"), F.sum(F.when(strong, w).otherwise(0)).alias("hi_count"), F.sum(w).alias("num_matches"), F.coalesce(mean(F.when(strong, w)), F.lit(0.0)).alias("avg_high"))
+    # three rows of a program pair hold its best three scores; a row of classes of copies counts up to three times
+    rank = F.row_number().over(Window.partitionBy("prog_a", "prog_b").orderBy(F.desc("score")))
+    best = pairs.select("prog_a", "prog_b", "score", w.alias("w")).withColumn("r", rank).where("r <= 3").groupBy("prog_a", "prog_b")
+    top3 = F.slice(F.sort_array(F.flatten(F.collect_list(F.array_repeat("score", F.least("w", F.lit(3)).cast("int")))), asc=False), 1, 3)
+    best = best.agg(top3.alias("t")).select("prog_a", "prog_b", (F.aggregate("t", F.lit(0.0), lambda s, x: s + x) / F.size("t")).alias("top3_mean"))
+    stats = stats.join(best, ["prog_a", "prog_b"])
     for side in "ab":
         covered = pairs.where(strong).select("prog_a", "prog_b", f"f{side}", f"l{side}", f"n{side}").distinct().groupBy("prog_a", "prog_b").agg(F.sum(f"l{side}").alias(f"len_{side}"), F.sum(f"n{side}").alias(f"n_{side}"))
         whole = totals.select(F.col("prog").alias(f"prog_{side}"), F.col("total_len").alias(f"total_{side}"), F.col("total_funcs").alias(f"funcs_{side}"))
@@ -62,6 +65,20 @@ def line_ranges(functions: DataFrame, last_lines: DataFrame) -> DataFrame:
     return ends.withColumn("end_line", F.greatest("start_line", F.coalesce(F.col("__next") - 1, "last_line"))).drop("__next", "last_line")
 
 
+def nearest(functions: DataFrame, objects: DataFrame) -> DataFrame:
+    """functions (name, line) with `near`, the line of the object (name, line) of the same name that is nearest; of equals the first.
+
+    One sort by name and line: the last object before a function and the first one behind it are the only ones in question.
+    """
+    both = functions.select("name", "line", F.lit(None).cast(dict(objects.dtypes)["line"]).alias("at")).unionByName(objects.select("name", "line", F.col("line").alias("at")))
+    w = Window.partitionBy("name").orderBy("line")
+    before = F.last("at", ignorenulls=True).over(w.rangeBetween(Window.unboundedPreceding, 0))
+    behind = F.first("at", ignorenulls=True).over(w.rangeBetween(0, Window.unboundedFollowing))
+    ends = both.withColumns({"before": before, "behind": behind}).where("at is null")
+    near = F.when(F.col("behind").isNull() | (F.col("line") - F.col("before") <= F.col("behind") - F.col("line")), F.col("before")).otherwise(F.col("behind"))
+    return ends.select("name", "line", near.alias("near")).where("near is not null")
+
+
 def greedy_matches(pairs: DataFrame) -> DataFrame:
     """One-to-one matching within each program pair: the best pair first, ties by (fa, fb). A program pair is one bounded unit."""
 

@@ -6,9 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from simspark.functions import columns as C
+from simspark.operators import distance as D
 from simspark.operators import effects as E
 from simspark.operators import fingerprints, programs, recall
 from simspark.operators.graphs import materialised
+from simspark.operators.parsed import effect_bag
 from simspark.params import DEFAULT
 from simspark.plans.registry import ORACLES, query, table
 
@@ -152,7 +154,7 @@ _VEC = f"{_SIGN}, ev AS (SELECT doc_id, [" + ", ".join(f"{c}::DOUBLE" for c in E
 def word_effects(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, resource, tag): the raw effects of each word."""
     calls = documents(spark, sf_dir).select("doc_id", F.explode("tokens").alias("call"))
-    found = E.match_rules(calls, rules(spark)).join(F.broadcast(rules(spark).select("rule_id", "resource", "tag", "flag")), "rule_id")
+    found = E.match_rules(calls, rules(spark)).join(F.broadcast(E.small(rules(spark).select("rule_id", "resource", "tag", "flag"))), "rule_id")
     flag = F.when(F.col("flag") != "", F.struct(F.concat(F.lit("FLAG:"), F.col("flag")).alias("resource"), F.lit("FLAG").alias("tag")))
     return found.select("doc_id", F.explode(F.array(F.struct("resource", "tag"), flag)).alias("e")).where("e is not null").select("doc_id", "e.*")
 
@@ -177,10 +179,10 @@ def effect_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return effect_signatures(spark, sf_dir).select("doc_id", F.concat_ws(",", "flags").alias("flags"))
 
 
-@query(f"WITH {_VEC} SELECT doc_id, round(v[5] / sqrt(list_sum(list_transform(v, lambda x: x * x))), 6) AS r_heap, round(v[7] / sqrt(list_sum(list_transform(v, lambda x: x * x))), 6) AS file_io FROM ev")
+@query(f"WITH {_VEC} SELECT doc_id, " + ", ".join(f"round(v[{i + 1}] / sqrt(list_sum(list_transform(v, lambda x: x * x))), 6) AS {c}" for i, c in enumerate(E.COUNTERS)) + " FROM ev")
 def effect_vector_l2(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = effect_signatures(spark, sf_dir).select("doc_id", C.l2_normalised(E.effect_vector()).alias("v"))
-    return v.select("doc_id", F.round(F.col("v")[4], 6).alias("r_heap"), F.round(F.col("v")[6], 6).alias("file_io"))
+    return v.select("doc_id", *(F.round(F.col("v")[i], 6).alias(c) for i, c in enumerate(E.COUNTERS)))
 
 
 _ECOS = f"{_CANDS}, {_VEC.removeprefix(_TOK + ', ')}, ec AS (SELECT i, j, round(list_cosine_similarity(x.v, y.v), 6) AS sim FROM cand JOIN ev x ON x.doc_id = i JOIN ev y ON y.doc_id = j)"
@@ -222,7 +224,7 @@ def hard_degree_drop(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.where(recall.not_both_hard()).select("i", "j", "sim")
 
 
-@query(f"WITH {_CANDS}, hits AS (SELECT i, count(*) AS n FROM (SELECT i, j FROM cand UNION ALL SELECT j, i FROM cand) GROUP BY i) SELECT r.doc_id, coalesce(n, 0) AS hits FROM reps r LEFT JOIN hits ON hits.i = r.doc_id WHERE coalesce(n, 0) < 10")
+@query(f"WITH {_CANDS}, hits AS (SELECT i, count(*) AS n FROM (SELECT i, j FROM cand UNION ALL SELECT j, i FROM cand) GROUP BY i) SELECT r.doc_id, coalesce(hits.n, 0) AS hits FROM reps r LEFT JOIN hits ON hits.i = r.doc_id WHERE coalesce(hits.n, 0) < 10")
 def deficient_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Queries with fewer candidates than the recall supplement asks for."""
     reps = representatives(spark, sf_dir)
@@ -230,6 +232,37 @@ def deficient_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reps.select("doc_id").join(hits, "doc_id", "left").select("doc_id", F.coalesce("hits", F.lit(0)).cast("long").alias("hits")).where(F.col("hits") < DEFAULT.min_candidates)
 
 
+# Scores over candidates
+
+_BAG = "list_filter(" + str(list(E.COUNTERS)) + ", lambda k, i: v[i] > 0)"
+_VIEWS = f"{_CANDS}, {_VEC.removeprefix(_TOK + ', ')}, eb AS (SELECT doc_id, v, {_BAG} AS bag FROM ev), vw AS (SELECT i, j, list_cosine_similarity(x.v, y.v) AS sem, CASE WHEN len(x.bag) + len(y.bag) = 0 THEN 1.0 ELSE len(list_intersect(x.bag, y.bag))::DOUBLE / len(list_distinct(list_concat(x.bag, y.bag))) END AS eff, len(list_intersect(p.sh, q.sh))::DOUBLE / len(list_distinct(list_concat(p.sh, q.sh))) AS gra FROM cand JOIN eb x ON x.doc_id = i JOIN eb y ON y.doc_id = j JOIN reps p ON p.doc_id = i JOIN reps q ON q.doc_id = j)"
+
+
+def views(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(i, j, sem, eff, gra): candidate pairs with the similarity of effect vectors, of effect bags and of shingle sets."""
+    reps = representatives(spark, sf_dir)
+    signed = effect_signatures(spark, sf_dir).select("doc_id", E.effect_vector().alias("v"), effect_bag().alias("bag"))
+    rows = materialised(signed.join(reps.select("doc_id", "shingles"), "doc_id"), "views")
+    side = lambda x: rows.select(F.col("doc_id").alias(x), *(F.col(c).alias(f"{c}{x}") for c in ("v", "bag", "shingles")))
+    both = candidates(reps).join(side("i"), "i").join(side("j"), "j")
+    return both.select("i", "j", C.cosine(F.col("vi"), F.col("vj")).alias("sem"), C.jaccard(F.col("bagi"), F.col("bagj"), 1.0).alias("eff"), C.jaccard(F.col("shinglesi"), F.col("shinglesj"), 1.0).alias("gra"))
+
+
+@query(f"WITH {_VIEWS} SELECT i, j, round(least(1.0, greatest(0.0, 0.5 * (1 - sem) + 0.25 * (1 - eff) + 0.25 * (1 - gra))), 6) AS d FROM vw")
+def dacd_distance_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The distance over all three views of candidate pairs."""
+    d = D.view_distance(F.col("sem"), F.col("eff"), F.col("gra"))
+    return views(spark, sf_dir).select("i", "j", F.round(d, 6).alias("d"))
+
+
+@query(f"WITH {_VIEWS}, s AS (SELECT i, j, round(0.6 * sem + 0.1 * gra, 6) AS score FROM vw UNION ALL SELECT j, i, round(0.6 * sem + 0.1 * gra, 6) FROM vw), r AS (SELECT *, row_number() OVER (PARTITION BY i ORDER BY score DESC, j) AS rank FROM s) SELECT i, j, score, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 50")
+def rerank_fused(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """0.6 of the cosine of vectors and 0.1 of the base score, the best 50 for each query; without alignment, which is a term of its own."""
+    s = views(spark, sf_dir).select("i", "j", F.round(0.6 * F.col("sem") + 0.1 * F.col("gra"), 6).alias("sim"))
+    both = s.unionByName(s.select(F.col("j").alias("i"), F.col("i").alias("j"), "sim"))
+    return recall.top_per_query(both, "sim", DEFAULT.rerank_topk).select("i", "j", F.col("sim").alias("score"), "rank")
+
+
 # Scores and programs
 
 _FSIM = f"{_JACC}, {_VEC.removeprefix(_TOK + ', ')}, fs AS (SELECT i, j, round(greatest(0.0, 0.7::DOUBLE * inter / al + (1 - 0.7::DOUBLE) * list_cosine_similarity(x.v, y.v) - CASE WHEN list_contains(p.flags, 'unknown') OR list_contains(q.flags, 'unknown') THEN 0.05 ELSE 0.0 END), 6) AS score FROM jac JOIN ev x ON x.doc_id = i JOIN ev y ON y.doc_id = j JOIN esig p ON p.doc_id = i JOIN esig q ON q.doc_id = j)"
@@ -256,13 +289,14 @@ FROM agg LEFT JOIN ca ON ca.prog_a = agg.prog_a AND ca.prog_b = agg.prog_b LEFT
 
 def program_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     one = F.greatest(F.lit(1).cast("long"), "ni"), F.greatest(F.lit(1).cast("long"), "nj")
-    pairs = scored(spark, sf_dir).where("si <> sj and jaccard > 0")
+    pairs = materialised(scored(spark, sf_dir).where("si <> sj and jaccard > 0"), "program-pairs")
     return programs.canonical(pairs.select(F.col("si").alias("prog_a"), F.col("sj").alias("prog_b"), F.col("i").alias("fa"), F.col("j").alias("fb"), one[0].alias("la"), one[1].alias("lb"), F.col("jaccard").alias("score")))
 
 
 def program_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    reps = representatives(spark, sf_dir)
-    return reps.groupBy(F.col("source").alias("prog")).agg(F.sum(F.greatest(F.lit(1), F.size("tokens"))).alias("total_len"), F.count("*").alias("total_funcs"))
+    sets = documents(spark, sf_dir).select("doc_id", "source", F.size("tokens").alias("n"), F.xxhash64(F.array_sort(C.shingles(F.col("tokens"), DEFAULT.k))).alias("c"))
+    reps = sets.groupBy("c").agg(F.min_by("source", "doc_id").alias("source"), F.min_by("n", "doc_id").alias("n"))
+    return reps.groupBy(F.col("source").alias("prog")).agg(F.sum(F.greatest(F.lit(1), "n")).alias("total_len"), F.count("*").alias("total_funcs"))
 
 
 @query(f"WITH {_BASE} SELECT prog_a, prog_b, round(base, 6) AS base FROM base")
@@ -324,7 +358,7 @@ def whole_programs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFra
     """(pairs, totals) of programs with all their documents."""
     rows = members(spark, sf_dir)
     totals = rows.groupBy("prog").agg(F.sum("n").alias("total_len"), F.count("*").alias("total_funcs"))
-    return class_pairs(spark, sf_dir, rows).where("score > 0"), totals
+    return materialised(class_pairs(spark, sf_dir, rows).where("score > 0"), "class-pairs"), totals
 
 
 @query(f"WITH {_with_copies(_JACC)}, cls AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY list_sort(sh)) AS f FROM sets) SELECT least(si, sj) AS prog_a, greatest(si, sj) AS prog_b, CASE WHEN si < sj THEN x.f ELSE y.f END AS fa, CASE WHEN si < sj THEN y.f ELSE x.f END AS fb, count(*) AS n_pairs FROM jac JOIN cls x ON x.doc_id = i JOIN cls y ON y.doc_id = j WHERE si <> sj GROUP BY ALL")

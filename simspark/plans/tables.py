@@ -12,9 +12,10 @@ from pyspark.sql import functions as F
 from simspark.functions import columns as C
 from simspark.operators import distance as D
 from simspark.operators import effects as E
-from simspark.operators import align, fingerprints, graphs, recall
+from simspark.functions import lexers
+from simspark.operators import align, fingerprints, graphs, parsed, programs, recall
 from simspark.params import DEFAULT
-from simspark.plans.documents import _signature
+from simspark.plans.documents import _CANDS, _TOK, _VEC, _signature
 from simspark.plans.registry import query, table
 
 _NODES = "nodes AS (SELECT l_orderkey AS g, l_linenumber AS n, max(l_returnflag) AS kind, max(l_linestatus) AS status FROM lineitem GROUP BY ALL)"
@@ -82,8 +83,8 @@ def graph_shingle_union(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""WITH {_WL}, {_KPATH}, gs AS (SELECT g, label AS s FROM wl UNION SELECT g, path FROM kp), sets AS (SELECT g, list_sort(list(s)) AS sh FROM gs GROUP BY g)
 SELECT min(g) AS rep, count(*) AS size, len(any_value(sh)) AS n_shingles FROM sets GROUP BY sh""")
-def graph_lsh_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Classes of graphs with equal shingle sets: what the graph view's buckets of equal signatures hold, without their pairs."""
+def graph_class_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Classes of graphs with equal shingle sets: their smallest member, size and shingles."""
     sets = _graph_shingles(spark, sf_dir).groupBy("g").agg(F.sort_array(F.collect_list("s")).alias("sh"))
     return sets.groupBy(F.md5(F.concat_ws(",", "sh")).alias("c"), F.size("sh").cast("long").alias("n_shingles")).agg(F.min("g").alias("rep"), F.count("*").alias("size")).select("rep", "size", "n_shingles")
 
@@ -102,12 +103,12 @@ def graph_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {_GREPS} SELECT sets.g, reps.g AS rep FROM sets JOIN reps ON sets.sh = reps.sh")
 def graph_copy_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The members of what graph_lsh_candidate_pairs pairs up."""
+    """The members of what graph_lsh_pairs pairs up."""
     return graph_classes(spark, sf_dir).select("g", "rep")
 
 
 @query(f"WITH {_GREPS}, {_signature('reps', key='g')} SELECT DISTINCT x.g AS i, y.g AS j FROM sigb x JOIN sigb y ON x.band = y.band AND x.bucket = y.bucket AND x.g < y.g")
-def graph_lsh_candidate_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+def graph_lsh_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of different graphs, each for its class, that share a bucket of the graph view."""
     reps = graph_classes(spark, sf_dir).where("g = rep").select("g", "shingles")
     signed = reps.withColumn("signature", C.minhash(F.col("shingles"), DEFAULT.num_perm))
@@ -116,12 +117,21 @@ def graph_lsh_candidate_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return recall.candidate_pairs(fingerprints.buckets(marked, "g"), "g")
 
 
-@query(f"WITH {_ADJ}, d AS (SELECT nodes.g, nodes.n, count(v) AS d FROM nodes LEFT JOIN adj ON adj.g = nodes.g AND adj.u = nodes.n GROUP BY ALL), f AS (SELECT g, count(*)::DOUBLE AS a, sum(d)::DOUBLE / 2 AS b, avg(d) AS c, stddev_pop(d) AS e, max(d)::DOUBLE AS m FROM d GROUP BY g) SELECT g, round(a / (sqrt(a*a+b*b+c*c+e*e+m*m) + 1e-8), 6) AS nodes, round(b / (sqrt(a*a+b*b+c*c+e*e+m*m) + 1e-8), 6) AS edges, round(c / (sqrt(a*a+b*b+c*c+e*e+m*m) + 1e-8), 6) AS mean FROM f")
+@query(f"""WITH {_EDGES}, flow AS (SELECT e.g, src, dst, CASE WHEN x.kind = 'R' THEN 'control' WHEN dst - src = 1 THEN 'cfg' ELSE 'data' END AS view FROM edges e JOIN nodes x ON x.g = e.g AND x.n = e.src),
+ends AS (SELECT g, n, count(*) AS d FROM (SELECT g, src AS n FROM flow UNION ALL SELECT g, dst FROM flow) GROUP BY ALL), deg AS (SELECT g, avg(d) AS mean, stddev_pop(d) AS std, max(d)::DOUBLE AS most FROM ends GROUP BY g),
+vw AS (SELECT g, count(*) FILTER (WHERE view = 'cfg') AS c, count(*) FILTER (WHERE view = 'data') AS d, count(*) FILTER (WHERE view = 'control') AS k FROM flow GROUP BY g), sz AS (SELECT g, count(*) AS n FROM nodes GROUP BY g),
+f AS (SELECT sz.g, [n::DOUBLE, coalesce(c, 0), coalesce(d, 0), coalesce(k, 0), 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, coalesce(mean, 0), coalesce(std, 0), coalesce(most, 0)] AS v FROM sz LEFT JOIN vw ON vw.g = sz.g LEFT JOIN deg ON deg.g = sz.g),
+u AS (SELECT g, v, sqrt(list_sum(list_transform(v, lambda x: x * x))) + 1e-8 AS l FROM f)
+SELECT g, """ + ", ".join(f"round(v[{i + 1}] / l, 6) AS v{i}" for i in range(20)) + " FROM u")
 def structural_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    st = fingerprints.degree_stats(*order_graph(spark, sf_dir))
-    v = F.array(F.col("n_nodes").cast("double"), F.col("n_nodes") * F.col("mean_degree") / 2, "mean_degree", "std_degree", F.col("max_degree").cast("double"))
-    named = st.select("g", v.alias("v")).withColumn("l", C.norm(F.col("v")) + 1e-8)
-    return named.select("g", *(F.round(F.col("v")[i] / F.col("l"), 6).alias(c) for i, c in enumerate(("nodes", "edges", "mean"))))
+    """All 20 numbers of each order's graph; edges from returned lines are control, steps by two data, the others flow."""
+    nodes = order_nodes(spark, sf_dir)
+    kind = nodes.select("g", F.col("n").alias("src"), "kind")
+    view = F.when(F.col("kind") == "R", "control").when(F.col("dst") - F.col("src") == 1, "cfg").otherwise("data")
+    edges = order_edges(nodes).join(kind, ["g", "src"]).select(F.col("g").alias("func_id"), view.alias("view"), "src", "dst")
+    own = nodes.select(F.col("g").alias("func_id"), F.col("n").alias("nid"))
+    v = parsed.structural_vectors(own.select("func_id").distinct(), own, edges)
+    return v.select(F.col("func_id").alias("g"), *(F.round(F.col("v")[i], 6).alias(f"v{i}") for i in range(20)))
 
 
 @query(f"""WITH RECURSIVE {_EDGES}, reach(g, d, var, n) AS (SELECT e.g, e.src, x.kind, e.dst FROM edges e JOIN nodes x ON x.g = e.g AND x.n = e.src
@@ -132,13 +142,18 @@ def reaching_definitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graphs.reaching_definitions(nodes.select("g", "n", F.col("kind").alias("writes"), F.col("kind").alias("reads")), order_edges(nodes))
 
 
-@query()
+_POST = f"""{_EDGES}, away(g, p, n) AS (SELECT a.g, a.n, b.n FROM nodes a JOIN nodes b ON a.g = b.g AND a.n <> b.n WHERE NOT EXISTS (SELECT 1 FROM edges e WHERE e.g = b.g AND e.src = b.n)
+UNION SELECT r.g, r.p, e.src FROM away r JOIN edges e ON e.g = r.g AND e.dst = r.n WHERE e.src <> r.p),
+post AS (SELECT a.g, a.n, b.n AS p FROM nodes a JOIN nodes b ON a.g = b.g WHERE NOT EXISTS (SELECT 1 FROM away r WHERE r.g = a.g AND r.n = a.n AND r.p = b.n))"""
+
+
+@query(f"WITH RECURSIVE {_POST} SELECT g, n, p FROM post")
 def postdominators(spark: SparkSession, sf_dir: str) -> DataFrame:
     nodes = order_nodes(spark, sf_dir)
     return graphs.postdominators(nodes.select("g", "n"), order_edges(nodes))
 
 
-@query()
+@query(f"WITH RECURSIVE {_POST} SELECT DISTINCT e.g, e.src, p.p AS dst FROM edges e JOIN post p ON p.g = e.g AND p.n = e.dst WHERE p.p <> e.src AND NOT EXISTS (SELECT 1 FROM post q WHERE q.g = e.g AND q.n = e.src AND q.p = p.p)")
 def control_dependence(spark: SparkSession, sf_dir: str) -> DataFrame:
     nodes = order_nodes(spark, sf_dir)
     return graphs.control_dependence(nodes.select("g", "n"), order_edges(nodes))
@@ -193,22 +208,6 @@ def embedding_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _label_distances(spark, sf_dir).withColumn("rank", rank).where("rank <= 10").select("i", "j", "d", "rank")
 
 
-@query(f"WITH {_BOTH}, s AS (SELECT i, j, round(0.6 * (1 - d) + 0.1 * (1 - abs(i % 7 - j % 7) / 7.0), 6)::DOUBLE AS score FROM d), r AS (SELECT *, row_number() OVER (PARTITION BY i ORDER BY score DESC, j) AS rank FROM s) SELECT i, j, score, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 50")
-def rerank_fused(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """0.6 of the cosine and 0.1 of a base score, the best 50 for each query; without alignment, which is a term of its own."""
-    base = 1 - F.abs(F.col("i") % 7 - F.col("j") % 7) / 7.0
-    s = _label_distances(spark, sf_dir).select("i", "j", F.round(0.6 * (1 - F.col("d")) + 0.1 * base, 6).alias("sim"))
-    return recall.top_per_query(s, "sim", DEFAULT.rerank_topk).select("i", "j", F.col("sim").alias("score"), "rank")
-
-
-@query(f"WITH {_PAIRS} SELECT i, j, round(least(1.0, greatest(0.0, (0.5 * (1 - cos) + CASE WHEN i % 3 = 0 THEN 0.0 ELSE 0.25 * (1 - 1.0 / (1 + abs(i - j))) END) / CASE WHEN i % 3 = 0 THEN 0.5 ELSE 0.75 END)), 6) AS d FROM p")
-def dacd_distance_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The multi-view distance; every third vector has no effect view, no vector has a graph view."""
-    effect = F.when(F.col("i") % 3 != 0, 1.0 / (1 + F.abs(F.col("i") - F.col("j"))))
-    d = D.view_distance(F.col("cos"), effect, F.lit(None).cast("double"))
-    return _label_pairs(spark, sf_dir).select("i", "j", F.round(d, 6).alias("d"))
-
-
 _CORE = f"{_BOTH}, k AS (SELECT *, row_number() OVER (PARTITION BY g, i ORDER BY d, j) AS r FROM d), core AS (SELECT g, i, max(d) AS core FROM k WHERE r <= 8 GROUP BY ALL)"
 
 
@@ -255,17 +254,28 @@ def threshold_components(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Names
 
 
-_NAMED = "named AS (SELECT p_partkey AS id, p_brand AS g, p_name AS name, p_size AS size FROM part), np AS (SELECT a.id AS i, b.id AS j, a.name AS x, b.name AS y, a.size AS nx, b.size AS ny, regexp_replace(lower(a.name), '[^a-z0-9]', '', 'g') AS px, regexp_replace(lower(b.name), '[^a-z0-9]', '', 'g') AS py FROM named a JOIN named b ON a.g = b.g AND a.size = b.size AND a.id < b.id)"
+#: Parts with the three before them in their brand; sizes are lengths, similarities and degrees come from keys and prices.
+_NAMED = "named AS (SELECT p_partkey AS id, p_brand AS g, p_name AS name, p_size AS size, CAST(p_partkey % 150 AS INTEGER) AS deg, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS r FROM part), np AS (SELECT a.id AS i, b.id AS j, a.name AS x, b.name AS y, a.size AS nx, b.size AS ny, a.deg AS dx, b.deg AS dy, ((a.id * 31 + b.id) % 101) / 100.0 AS sim, regexp_replace(lower(a.name), '[^a-z0-9]', '', 'g') AS px, regexp_replace(lower(b.name), '[^a-z0-9]', '', 'g') AS py FROM named a JOIN named b ON a.g = b.g AND b.r - a.r BETWEEN 1 AND 3)"
 
 
 def _named_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parts = table(spark, sf_dir, "part")
-    side = lambda x: parts.select(F.col("p_brand").alias("g"), F.col("p_size").alias("z"), F.col("p_partkey").alias(x), F.col("p_name").alias(f"n{x}"))
-    return side("i").join(side("j"), ["g", "z"]).where("i < j")
+    w = Window.partitionBy("p_brand").orderBy("p_partkey")
+    part = F.struct(F.col("p_partkey").alias("id"), F.col("p_name").alias("n"), F.col("p_size").alias("z"), (F.col("p_partkey") % 150).cast("int").alias("d"))
+    rows = table(spark, sf_dir, "part").select("p_brand", "p_partkey", part.alias("b"))
+    before = rows.select("b", *(F.lag("b", k).over(w).alias(f"a{k}") for k in (1, 2, 3)))
+    pairs = before.select("b", F.explode(F.array("a1", "a2", "a3")).alias("a")).where("a is not null")
+    side = lambda s, x: [F.col(f"{s}.id").alias(x), *(F.col(f"{s}.{c}").alias(f"{c}{x}") for c in "nzd")]
+    return pairs.select(*side("a", "i"), *side("b", "j")).withColumn("sim", (F.col("i") * 31 + F.col("j")) % 101 / 100)
 
 
-@query(f"WITH {_NAMED} SELECT i, j, CASE WHEN px = '' OR py = '' THEN NULL WHEN px = py THEN 1.0 WHEN contains(px, py) OR contains(py, px) THEN 0.9 WHEN length(px) >= 3 AND length(py) >= 3 AND px[:3] = py[:3] THEN 0.7 ELSE 0.4 END::DOUBLE AS factor FROM np")
+@query(f"""WITH {_NAMED}, w AS (SELECT *, trim(x) AS a, trim(y) AS b, list_filter(regexp_split_to_array(lower(trim(x)), '[^a-z0-9]+'), lambda t: length(t) > 1 AND NOT list_contains({list(C.GENERIC_NAME_WORDS)}, t)) AS wa, list_filter(regexp_split_to_array(lower(trim(y)), '[^a-z0-9]+'), lambda t: length(t) > 1 AND NOT list_contains({list(C.GENERIC_NAME_WORDS)}, t)) AS wb FROM np)
+SELECT i, j, round(CASE WHEN a = '' OR b = '' THEN 0.0 WHEN a = b THEN 1.0 WHEN length(a) >= 3 AND length(b) >= 3 AND (starts_with(a, b) OR starts_with(b, a)) THEN 0.8 WHEN len(wa) = 0 OR len(wb) = 0 THEN 0.0 ELSE len(list_intersect(list_distinct(wa), list_distinct(wb)))::DOUBLE / len(list_distinct(list_concat(wa, wb))) END::DOUBLE, 6) AS similarity FROM w""")
 def name_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _named_pairs(spark, sf_dir).select("i", "j", F.round(C.name_similarity(F.col("ni"), F.col("nj")), 6).alias("similarity"))
+
+
+@query(f"WITH {_NAMED} SELECT i, j, CASE WHEN px = '' OR py = '' THEN NULL WHEN px = py THEN 1.0 WHEN contains(px, py) OR contains(py, px) THEN 0.9 WHEN length(px) >= 3 AND length(py) >= 3 AND px[:3] = py[:3] THEN 0.7 ELSE 0.4 END::DOUBLE AS factor FROM np")
+def name_factor(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _named_pairs(spark, sf_dir).select("i", "j", C.name_factor(F.col("ni"), F.col("nj")).alias("factor"))
 
 
@@ -281,25 +291,42 @@ def func_length_ratio_penalty(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.groupBy(C.length_factor(F.col("l_quantity"), F.col("r")).alias("factor")).agg(F.count("*").alias("n"))
 
 
-@query(f"""WITH {_NAMED}, f AS (SELECT i, j, 0.9 * coalesce(0.5 + 0.5 * CASE WHEN px = '' OR py = '' THEN NULL WHEN px = py THEN 1.0 WHEN contains(px, py) OR contains(py, px) THEN 0.9 WHEN length(px) >= 3 AND length(py) >= 3 AND px[:3] = py[:3] THEN 0.7 ELSE 0.4 END, 1.0) * CASE WHEN nx <= 3 THEN 0.3 ELSE 1.0 END AS s FROM np)
+@query(f"""WITH {_NAMED}, r AS (SELECT *, greatest(nx, ny)::DOUBLE / greatest(1, least(nx, ny)) AS ratio FROM np),
+f AS (SELECT i, j, sim * CASE WHEN ratio > 8 THEN 0.2 WHEN ratio > 4 THEN 0.4 WHEN ratio > 2 THEN 0.7 ELSE 1.0 END * coalesce(0.5 + 0.5 * CASE WHEN px = '' OR py = '' THEN NULL WHEN px = py THEN 1.0 WHEN contains(px, py) OR contains(py, px) THEN 0.9 WHEN length(px) >= 3 AND length(py) >= 3 AND px[:3] = py[:3] THEN 0.7 ELSE 0.4 END, 1.0)
+  * CASE WHEN dx >= 128 THEN 0.3 WHEN dx >= 64 THEN 0.5 WHEN dx >= 32 THEN 0.8 ELSE 1.0 END * CASE WHEN dy >= 128 THEN 0.3 WHEN dy >= 64 THEN 0.5 WHEN dy >= 32 THEN 0.8 ELSE 1.0 END * CASE WHEN nx <= 3 OR ny <= 3 OR nx <= 8 AND dx >= 64 OR ny <= 8 AND dy >= 64 THEN 0.3 ELSE 1.0 END AS s FROM r)
 SELECT i, j, round(CASE WHEN s < 1e-4 OR s < 0.3 THEN 0.0 ELSE s END, 6)::DOUBLE AS score FROM f""")
 def func_pair_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs of parts of one brand and size as functions of equal length, similarity 0.9; sizes up to 3 count as templates."""
-    none = F.lit(0)
-    s = C.func_pair_score(F.lit(0.9), F.col("ni"), F.col("nj"), F.col("z"), F.col("z"), none, none, F.col("z") <= 3)
+    """Parts as functions: sizes are lengths, short ones and short ones with many neighbours are templates."""
+    like = [C.is_template_func(F.col(f"n{x}"), F.lit(None).cast("string"), F.col(f"z{x}"), F.col(f"d{x}"), F.lit(0)) for x in "ij"]
+    s = C.func_pair_score(F.col("sim"), F.col("ni"), F.col("nj"), F.col("zi"), F.col("zj"), F.col("di"), F.col("dj"), like[0] | like[1])
+    return _named_pairs(spark, sf_dir).select("i", "j", F.round(s, 6).alias("score"))
+
+
+@query(f"""WITH {_NAMED}, t AS (SELECT i, j, sim, px, py, list_distinct([dx % 3, dx % 5]) AS ta, list_distinct([dy % 3, dy % 5]) AS tb FROM np),
+a AS (SELECT i, j, sim, 0.7 * CASE WHEN px = py THEN 1.0 ELSE 0.0 END + 0.3 * (len(list_intersect(ta, tb))::DOUBLE / len(list_distinct(list_concat(ta, tb)))) AS agree FROM t)
+SELECT i, j, round(CASE WHEN sim <= 0 OR agree <= 0.05 THEN 0.0 ELSE least(1.0, sim * (0.2 + 0.8 * agree)) END, 6)::DOUBLE AS score FROM a""")
+def task_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Similarity let through by names and tags; equal names count, tags are remainders of the degree."""
+    tags = lambda x: C.effect_tags(F.concat_ws(";", (F.col(f"d{x}") % 3).cast("string"), (F.col(f"d{x}") % 5).cast("string")))
+    same = F.when(C.plain_name(F.col("ni")) == C.plain_name(F.col("nj")), 1.0).otherwise(0.0)
+    s = C.task_similarity(F.col("sim"), same, C.effect_similarity(tags("i"), tags("j")))
     return _named_pairs(spark, sf_dir).select("i", "j", F.round(s, 6).alias("score"))
 
 
+@query(f"WITH {_NAMED} SELECT i % 10 AS prog, round(coalesce(sum(CASE WHEN sim >= 0.5 THEN sim * greatest(nx, ny) END) / sum(CASE WHEN sim >= 0.5 THEN greatest(nx, ny) END), 0.0), 6)::DOUBLE AS score FROM np GROUP BY i % 10")
+def weighted_program_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    by = _named_pairs(spark, sf_dir).groupBy((F.col("i") % 10).alias("prog"))
+    return by.agg(F.round(C.weighted_program_score(F.col("sim"), F.col("zi"), F.col("zj"), 0.5), 6).alias("score"))
+
+
 # Lines and sources
 
 
 @query("WITH l AS (SELECT *, lead(turn) OVER (PARTITION BY conv_id ORDER BY turn) AS nx, max(turn) OVER (PARTITION BY conv_id) AS last FROM conversations) SELECT conv_id, turn, greatest(turn, coalesce(nx - 1, last)) AS end_line FROM l")
 def function_line_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from simspark.operators.programs import line_ranges
-
     rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("program"), F.col("turn").alias("start_line"))
     last = rows.groupBy("program").agg(F.max("start_line").alias("last_line"))
-    return line_ranges(rows, last).select(F.col("program").alias("conv_id"), F.col("start_line").alias("turn"), "end_line")
+    return programs.line_ranges(rows, last).select(F.col("program").alias("conv_id"), F.col("start_line").alias("turn"), "end_line")
 
 
 @query("WITH l AS (SELECT conv_id, turn AS src, lead(turn) OVER (PARTITION BY conv_id ORDER BY turn) AS dst FROM conversations) SELECT * FROM l WHERE dst IS NOT NULL")
@@ -308,30 +335,41 @@ def linear_cfg_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").select("conv_id", F.col("turn").alias("src"), F.lead("turn").over(w).alias("dst")).where("dst is not null")
 
 
-@query("SELECT page_id, length(html) - length(replace(html, '<', '')) AS opened, length(html) - length(replace(html, '>', '')) AS closed FROM pages")
+@query("""WITH l AS (SELECT page_id, unnest(string_split(html, chr(10))) AS t, unnest(range(1, len(string_split(html, chr(10))) + 1)) AS line FROM pages),
+d AS (SELECT page_id, line, length(t) - length(replace(t, '<', '')) AS opened, length(t) - length(replace(t, '>', '')) AS closed FROM l)
+SELECT page_id, CAST(line AS INTEGER) AS line, opened, closed, CAST(sum(opened - closed) OVER (PARTITION BY page_id ORDER BY line) AS BIGINT) AS depth FROM d""")
 def brace_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
-    count = lambda c: (F.length("html") - F.length(F.replace(F.col("html"), F.lit(c), F.lit("")))).cast("long")
-    return table(spark, sf_dir, "pages").select("page_id", count("<").alias("opened"), count(">").alias("closed"))
+    """Openers and closers of each line and the depth behind it, with < and > for braces."""
+    rows = table(spark, sf_dir, "pages").select("page_id", F.posexplode(F.split("html", "\n")).alias("at", "t"))
+    count = lambda c: (F.length("t") - F.length(F.replace(F.col("t"), F.lit(c), F.lit("")))).cast("long")
+    lines = rows.select("page_id", (F.col("at") + 1).alias("line"), count("<").alias("opened"), count(">").alias("closed"))
+    return lines.withColumn("depth", F.sum(F.col("opened") - F.col("closed")).over(Window.partitionBy("page_id").orderBy("line")))
 
 
-@query("WITH t AS (SELECT unnest(regexp_extract_all(html, '[A-Za-z_][A-Za-z0-9_]*|[0-9]+')) AS tok FROM pages) SELECT CASE WHEN regexp_matches(tok, '^[0-9]+$') THEN '<NUM>' ELSE tok END AS tok, count(*) AS n FROM t GROUP BY ALL")
+@query("""WITH s AS (SELECT regexp_replace(regexp_replace(html, '(?s)/\\*.*?\\*/', ' ', 'g'), '(?m)//.*$', '', 'g') AS code FROM pages),
+t AS (SELECT unnest(regexp_extract_all(code, '[A-Za-z_][A-Za-z0-9_]*|[0-9]+|==|!=|<=|>=|->|::|&&|\\|\\||[{}();,<>+\\-*/%=]')) AS tok FROM s)
+SELECT CASE WHEN regexp_matches(tok, '^[0-9]+$') THEN '<NUM>' ELSE tok END AS tok, count(*) AS n FROM t GROUP BY ALL""")
 def html_lex_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lexemes of the C-family lexer, whole numbers as <NUM>."""
-    toks = table(spark, sf_dir, "pages").select(F.explode(F.regexp_extract_all("html", F.lit("[A-Za-z_][A-Za-z0-9_]*|[0-9]+"), F.lit(0))).alias("t"))
-    return toks.groupBy(F.when(F.col("t").rlike("^[0-9]+$"), "<NUM>").otherwise(F.col("t")).alias("tok")).agg(F.count("*").alias("n"))
+    """Lexemes of the C lexer, whole numbers as <NUM>."""
+    return table(spark, sf_dir, "pages").select(F.explode(lexers.lexemes(F.col("html"))).alias("tok")).groupBy("tok").agg(F.count("*").alias("n"))
 
 
-@query("WITH a AS (SELECT event_id, user_id, event_type, ts, max(CASE WHEN value > 50 THEN event_id END) OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS near FROM events) SELECT event_id, near FROM a WHERE near IS NOT NULL")
+@query("""WITH f AS (SELECT event_id, user_id, event_type FROM events WHERE value <= 50), c AS (SELECT event_id AS near, user_id, event_type FROM events WHERE value > 50),
+r AS (SELECT f.event_id, near, row_number() OVER (PARTITION BY f.event_id ORDER BY abs(near - f.event_id), near) AS r FROM f JOIN c ON f.user_id = c.user_id AND f.event_type = c.event_type)
+SELECT event_id, near FROM r WHERE r = 1""")
 def nearest_line_attach(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = Window.partitionBy("user_id", "event_type").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, -1)
-    near = F.max(F.when(F.col("value") > 50, F.col("event_id"))).over(w)
-    return table(spark, sf_dir, "events").select("event_id", near.alias("near")).where("near is not null")
+    """Functions (events up to 50) take the code object (above 50) of their name (user and type) on the nearest line (id), the first of equals."""
+    rows = table(spark, sf_dir, "events").select(F.struct("user_id", "event_type").alias("name"), F.col("event_id").alias("line"), F.col("value"))
+    functions = rows.where("value <= 50").select("name", "line")
+    return programs.nearest(functions, rows.where("value > 50").select("name", "line")).select(F.col("line").alias("event_id"), "near")
 
 
-@query("WITH a AS (SELECT event_id, user_id, lag(event_id) OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS def FROM events) SELECT user_id, def, event_id AS use FROM a WHERE def IS NOT NULL")
+@query("""WITH e AS (SELECT user_id, event_id, event_type, value, last_value(CASE WHEN value > 50 THEN event_id END IGNORE NULLS) OVER (PARTITION BY user_id, event_type ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS def FROM events)
+SELECT user_id, def, event_id AS use, event_type AS var FROM e WHERE value <= 80 AND def IS NOT NULL""")
 def last_def_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = Window.partitionBy("user_id", "event_type").orderBy("ts", "event_id")
-    return table(spark, sf_dir, "events").select("user_id", F.lag("event_id").over(w).alias("def"), F.col("event_id").alias("use")).where("def is not null")
+    """An event writes its type if its value is over 50 and reads it if it is up to 80: edges from the last write before each read."""
+    nodes = table(spark, sf_dir, "events").select(F.col("user_id").alias("g"), F.col("event_id").alias("n"), F.col("event_type").alias("var"), (F.col("value") > 50).alias("writes"), (F.col("value") <= 80).alias("reads"))
+    return graphs.last_definitions(nodes).withColumnRenamed("g", "user_id")
 
 
 @query("SELECT o_custkey, max(o_orderkey) AS o_orderkey, arg_max(o_totalprice, o_orderkey) AS o_totalprice FROM orders GROUP BY o_custkey")
@@ -357,16 +395,16 @@ def dep_align_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align.align_pairs(pairs, nodes, order_edges(order_nodes(spark, sf_dir))).select("i", "j", F.round("align", 6).alias("align"))
 
 
-@query(f"WITH q AS (SELECT vec_id AS i, embedding::DOUBLE[] AS v FROM embeddings WHERE label IN (SELECT label FROM embeddings GROUP BY label HAVING count(*) < 50)), s AS (SELECT i, vec_id AS j, round(list_cosine_similarity(v, embedding::DOUBLE[]), 6) AS sim FROM q JOIN embeddings ON vec_id <> i), r AS (SELECT *, row_number() OVER (PARTITION BY i ORDER BY sim DESC, j) AS r FROM s) SELECT i, j, sim FROM r WHERE r <= 50")
-def recall_supplement(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The supplement for members of labels under 50 vectors: their 50 nearest of all, by cosine."""
-    rows = _vectors(spark, sf_dir)
-    small = rows.groupBy("g").agg(F.count("*").alias("n")).where("n < 50")
-    return align.supplement(rows.join(small, "g", "left_semi"), rows, 50)
+_SUPPLEMENT = f"""{_CANDS}, {_VEC.removeprefix(_TOK + ', ')}, met AS (SELECT i, count(*) AS n FROM (SELECT i, j FROM cand UNION ALL SELECT j, i FROM cand) GROUP BY i),
+few AS (SELECT s.doc_id FROM sets s JOIN reps r ON list_sort(s.sh) = list_sort(r.sh) LEFT JOIN met ON met.i = r.doc_id WHERE coalesce(met.n, 0) < 10),
+av AS (SELECT tok.doc_id, coalesce(ev.v, list_transform(range(0, 13), lambda x: 0.0::DOUBLE)) AS v FROM tok LEFT JOIN ev ON ev.doc_id = tok.doc_id),
+un AS (SELECT doc_id, list_transform(v, lambda x: x / greatest(sqrt(list_sum(list_transform(v, lambda y: y * y))), 1e-300)) AS v FROM av),
+s AS (SELECT a.doc_id AS i, b.doc_id AS j, round(list_dot_product(a.v, b.v), 6) AS sim FROM un a JOIN few ON few.doc_id = a.doc_id JOIN un b ON a.doc_id <> b.doc_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY i ORDER BY sim DESC, j) AS r FROM s)"""
 
 
-@query()
-def recall_supplement_deficient(spark: SparkSession, sf_dir: str) -> DataFrame:
+@query(f"WITH {_SUPPLEMENT} SELECT i, j, sim FROM r WHERE r <= 50")
+def recall_supplement(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The supplement for queries with fewer candidates than min_candidates and their copies: the 50 nearest of all documents, by effects."""
     from simspark.plans import documents as docs
 
