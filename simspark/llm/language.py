@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from simspark.llm.common import slices, table
-from simspark.llm.pretoken import LETTER, character_classes, distinct_spans
+from simspark.llm.pretoken import LETTER, character_classes, distinct_spans, gather, span_keys
 
 MAX_TRAINING_ROWS = 6_000
 MAX_WORDS, MAX_GRAMS, MAX_GRAM, MAX_CELLS = 60_000, 20_000, 4, 4_000_000
@@ -35,7 +35,7 @@ MAX_WORDS, MAX_GRAMS, MAX_GRAM, MAX_CELLS = 60_000, 20_000, 4, 4_000_000
 BACKOFF = 0.4
 UNKNOWN = "und"
 _WORD = regex.compile(r"\p{L}+")
-_BYTES = 4_000_000
+_BYTES = 1_000_000
 
 
 def words_of(text: str) -> list[str]:
@@ -50,27 +50,56 @@ def grams_of(word: str, n: int) -> list[str]:
 class Model:
     """Log-probability rows, by language, of words and of n-grams; all bounded by the limits above."""
 
-    MEMO = 20_000  # unseen words that are remembered
-
     def __init__(self, languages: list[str], words: dict[str, np.ndarray], grams: list[dict[str, np.ndarray]]):
         self.languages = languages
         tables = [words, *grams]  # tables[n]: n-grams, tables[0]: words
         self.index = [{w: i for i, w in enumerate(t)} for t in tables]
         self.rows = [np.array(list(t.values())).reshape(len(t), len(languages)) for t in tables]
-        self._memo: dict[str, np.ndarray] = {}
+        # n-grams by hash, for many words at once
+        self.keys: list[tuple[np.ndarray, np.ndarray]] = []
+        for t in tables:
+            codes = [np.frombuffer(g.encode("utf-32-le"), np.uint32) for g in t]
+            at = np.cumsum([0, *(len(c) for c in codes)])
+            key = span_keys(np.concatenate(codes), at[:-1], at[1:]) if codes else np.zeros(0, np.uint64)
+            order = np.argsort(key)
+            self.keys.append((key[order], order))
 
     def unseen(self, word: str) -> np.ndarray:
         """Score of a word that isn't known: the mean over the longest n-grams of it that are."""
-        if (score := self._memo.get(word)) is None:
-            score = np.zeros(len(self.languages))
-            for n in range(MAX_GRAM, 0, -1):
-                if found := [i for g in grams_of(word, n) if (i := self.index[n].get(g)) is not None]:
-                    score = BACKOFF * self.rows[n][found].sum(axis=0) / len(found)
-                    break
-            if len(self._memo) >= self.MEMO:
-                self._memo.clear()
-            self._memo[word] = score
-        return score
+        for n in range(MAX_GRAM, 0, -1):
+            if found := [i for g in grams_of(word, n) if (i := self.index[n].get(g)) is not None]:
+                return BACKOFF * self.rows[n][found].sum(axis=0) / len(found)
+        return np.zeros(len(self.languages))
+
+    def unseen_words(self, codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """unseen() of each word codes[starts[i]:ends[i]]."""
+        out = np.zeros((len(starts), len(self.languages)))
+        size = ends - starts
+        flat, _ = gather(np.stack([starts, ends], 1).ravel(), codes, np.arange(0, 2 * len(starts), 2))
+        begin = np.cumsum(size + 2) - (size + 2)
+        padded = np.empty(int((size + 2).sum()), np.uint32)
+        inside = np.ones(len(padded), bool)
+        inside[begin] = inside[begin + size + 1] = False
+        padded[inside], padded[begin], padded[begin + size + 1] = flat, ord("<"), ord(">")
+        open_ = np.arange(len(starts))
+        for n in range(MAX_GRAM, 0, -1):
+            pad = int(n > 1)
+            first, count = begin[open_] + 1 - pad, np.maximum(size[open_] + 2 * pad - n + 1, 0)
+            word = np.repeat(np.arange(len(open_)), count)
+            at = np.arange(len(word)) - np.repeat(np.cumsum(count) - count, count) + first[word]
+            keys, order = self.keys[n]
+            if len(keys) and len(at):
+                h = span_keys(padded, at, at + n)
+                place = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
+                hit = keys[place] == h
+                word, row = word[hit], order[place[hit]]
+                found = np.bincount(word, minlength=len(open_))
+                some = np.flatnonzero(found)
+                for k in range(out.shape[1]):
+                    total = np.bincount(word, weights=self.rows[n][row, k], minlength=len(open_))
+                    out[open_[some], k] = BACKOFF * total[some] / found[some]
+                open_ = open_[found == 0]
+        return out
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
         """(language, score) of each text."""
@@ -90,10 +119,14 @@ class Model:
         owner = np.searchsorted(offsets, starts, side="right") - 1
         _, first, back = distinct_spans(codes, starts, ends)
         rows = np.empty((len(first), len(self.languages)))
-        for i, (a, b) in enumerate(zip(starts[first].tolist(), ends[first].tolist())):
-            word = codes[a:b].tobytes().decode("utf-32-le")
-            known = self.index[0].get(word)
-            rows[i] = self.unseen(word) if known is None else self.rows[0][known]
+        a, b = starts[first], ends[first]
+        flat, at = gather(np.stack([a, b], 1).ravel(), codes, np.arange(0, 2 * len(a), 2))
+        text, at = flat.astype("<u4").tobytes().decode("utf-32-le"), at.tolist()
+        index = self.index[0].get
+        known = np.array([index(text[x:y], -1) for x, y in zip(at, at[1:])], np.int64)
+        new = np.flatnonzero(known < 0)
+        rows[known >= 0] = self.rows[0][known[known >= 0]]
+        rows[new] = self.unseen_words(codes, a[new], b[new])
         words = np.bincount(owner, minlength=n)
         total = np.stack([np.bincount(owner, weights=rows[back, k], minlength=n) for k in range(len(self.languages))], 1)
         # the evidence of neighbouring words isn't independent: the posterior is taken over the root of their number

@@ -38,7 +38,7 @@ TOTAL, STAR, DEVIATIONS = 8 * SYMBOLS, 2 * SYMBOLS, 5.0
 #: Classes of one part of a bucket, their shingles together, and rounds in which each class meets one other before parts are compared.
 TILE, TILE_SHINGLES, STARS = 1_024, 4_000_000, 2
 LONG_WORD = 32
-_BYTES = 2_000_000
+_BYTES = 1_000_000
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _BLANK = np.zeros(256, bool)

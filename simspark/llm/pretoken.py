@@ -20,6 +20,8 @@ MARGIN = 4
 CHUNK, OVERLAP = 16_384, 512
 _RESET = 150_000
 _spans = RollingHash(11, 0)
+#: Codes that are held against each other at once.
+_CHECKED = 1 << 18
 
 
 @lru_cache(1)
@@ -133,6 +135,11 @@ def gather(offsets: np.ndarray, data: np.ndarray, index: np.ndarray) -> tuple[np
     return data[where], at
 
 
+def span_keys(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A hash of codes[starts[i]:ends[i]], the same wherever they stand."""
+    return _spans.span(_spans.prefix(codes), starts, ends)
+
+
 def distinct_spans(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(key, first, back): hash and number of one span of each kind, and the kind of each span. Spans of one kind have equal codes."""
     key, first, back = np.unique(_spans.span(_spans.prefix(codes), starts, ends), return_index=True, return_inverse=True)
@@ -143,12 +150,18 @@ def distinct_spans(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> t
     check = np.flatnonzero((like != np.arange(len(starts))) & (size == size[like]))
     bad = np.flatnonzero(size != size[like])
     if len(check):
-        n = size[check]
-        at = np.cumsum(n) - n
-        within = np.arange(int(n.sum())) - np.repeat(at, n)
-        differs = codes[np.repeat(starts[check], n) + within] != codes[np.repeat(starts[like[check]], n) + within]
-        if differs.any():
-            bad = np.concatenate([bad, check[np.logical_or.reduceat(differs, at)]])
+        total = np.cumsum(size[check])
+        cuts = np.searchsorted(total, np.arange(_CHECKED, total[-1] + _CHECKED, _CHECKED), side="right")
+        for a, b in zip([0, *cuts[:-1].tolist()], cuts.tolist()):  # some codes at a time
+            if b > a:
+                part = check[a:b]
+                n = size[part]
+                at = np.cumsum(n) - n
+                mine = np.arange(int(at[-1] + n[-1]))
+                mine += np.repeat(starts[part] - at, n)
+                differs = codes[mine] != codes[mine + np.repeat(starts[like[part]] - starts[part], n)]
+                if differs.any():
+                    bad = np.concatenate([bad, part[np.logical_or.reduceat(differs, at)]])
     kinds: dict[bytes, int] = {}
     for i in bad.tolist():
         name = codes[starts[i] : ends[i]].tobytes()
