@@ -50,10 +50,11 @@ def counter_of(resource: Column, tag: Column) -> Column:
 
 
 def signatures(effects: DataFrame, id_col: str) -> DataFrame:
-    """One count for each counter and the sorted flags of each id, from effects (id, resource, tag)."""
+    """One count for each counter and the sorted flags of each id, from effects (id, resource, tag) and, if there, how often each comes (n)."""
     counter = counter_of(F.col("resource"), F.col("tag"))
     flags = F.sort_array(F.collect_set(F.when(F.col("resource").startswith("FLAG:"), F.expr("substring(resource, 6)"))))
-    return effects.withColumn("__c", counter).groupBy(id_col).agg(*(F.count(F.when(F.col("__c") == c, 1)).alias(c) for c in COUNTERS), flags.alias("flags"))
+    n = F.col("n") if "n" in effects.columns else F.lit(1)
+    return effects.withColumn("__c", counter).groupBy(id_col).agg(*(F.coalesce(F.sum(F.when(F.col("__c") == c, n)), F.lit(0)).cast("long").alias(c) for c in COUNTERS), flags.alias("flags"))
 
 
 def effect_vector() -> Column:

@@ -152,11 +152,11 @@ _VEC = f"{_SIGN}, ev AS (SELECT doc_id, [" + ", ".join(f"{c}::DOUBLE" for c in E
 
 
 def word_effects(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(doc_id, resource, tag): the raw effects of each word."""
-    calls = documents(spark, sf_dir).select("doc_id", F.explode("tokens").alias("call"))
+    """(doc_id, resource, tag, n): the raw effects of each word of a document and how often it comes."""
+    calls = documents(spark, sf_dir).select("doc_id", F.explode("tokens").alias("call")).groupBy("doc_id", "call").agg(F.count("*").alias("n"))
     found = E.match_rules(calls, rules(spark)).join(F.broadcast(E.small(rules(spark).select("rule_id", "resource", "tag", "flag"))), "rule_id")
     flag = F.when(F.col("flag") != "", F.struct(F.concat(F.lit("FLAG:"), F.col("flag")).alias("resource"), F.lit("FLAG").alias("tag")))
-    return found.select("doc_id", F.explode(F.array(F.struct("resource", "tag"), flag)).alias("e")).where("e is not null").select("doc_id", "e.*")
+    return found.select("doc_id", "n", F.explode(F.array(F.struct("resource", "tag"), flag)).alias("e")).where("e is not null").select("doc_id", "e.*", "n")
 
 
 def effect_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -165,8 +165,8 @@ def effect_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {_MATCH} SELECT call, rule_id, count(*) AS n FROM matched GROUP BY ALL")
 def effect_rule_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    calls = documents(spark, sf_dir).select("doc_id", F.explode("tokens").alias("call"))
-    return E.match_rules(calls, rules(spark)).groupBy("call", "rule_id").agg(F.count("*").alias("n"))
+    calls = documents(spark, sf_dir).select(F.explode("tokens").alias("call")).groupBy("call").agg(F.count("*").alias("n"))
+    return E.match_rules(calls, rules(spark)).select("call", "rule_id", "n")
 
 
 @query(f"WITH {_SIGN} SELECT doc_id, {', '.join(E.COUNTERS)} FROM esig")

@@ -199,13 +199,12 @@ def _label_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {_PAIRS} SELECT i, j, round(cos, 6) AS cos FROM p WHERE cos >= 0.3")
 def embedding_cosine_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _label_pairs(spark, sf_dir).where("cos >= 0.3").select("i", "j", F.round("cos", 6).alias("cos"))
+    return D.similar_pairs(_vectors(spark, sf_dir), 0.3).select("i", "j", F.round("cos", 6).alias("cos"))
 
 
 @query(f"WITH {_BOTH}, r AS (SELECT *, row_number() OVER (PARTITION BY i ORDER BY d, j) AS rank FROM d) SELECT i, j, d, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 10")
 def embedding_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rank = F.row_number().over(Window.partitionBy("i").orderBy("d", "j"))
-    return _label_distances(spark, sf_dir).withColumn("rank", rank).where("rank <= 10").select("i", "j", "d", "rank")
+    return D.nearest(_vectors(spark, sf_dir), 10).select("i", "j", "d", "rank")
 
 
 _CORE = f"{_BOTH}, k AS (SELECT *, row_number() OVER (PARTITION BY g, i ORDER BY d, j) AS r FROM d), core AS (SELECT g, i, max(d) AS core FROM k WHERE r <= 8 GROUP BY ALL)"
@@ -213,24 +212,23 @@ _CORE = f"{_BOTH}, k AS (SELECT *, row_number() OVER (PARTITION BY g, i ORDER BY
 
 @query(f"WITH {_CORE} SELECT g, i, core FROM core")
 def core_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return D.core_distances(_label_distances(spark, sf_dir), DEFAULT.min_cluster_size)
+    return D.nearest(_vectors(spark, sf_dir), DEFAULT.min_cluster_size).groupBy("g", "i").agg(F.max("d").alias("core"))
 
 
 @query(f"WITH {_CORE} SELECT d.g, d.i, d.j, greatest(d, a.core, b.core) AS reach FROM d JOIN core a ON a.g = d.g AND a.i = d.i JOIN core b ON b.g = d.g AND b.i = d.j")
 def mutual_reachability(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = _label_distances(spark, sf_dir)
-    return D.mutual_reachability(d, D.core_distances(d, DEFAULT.min_cluster_size))
+    return D.mutual_reachability(_label_distances(spark, sf_dir), core_distance(spark, sf_dir))
 
 
 @query(f"WITH {_BOTH}, s AS (SELECT g, i, sum(d) AS s FROM d GROUP BY ALL) SELECT g AS cluster, arg_min(i, (round(s, 9), i)) AS medoid FROM s GROUP BY g")
 def cluster_medoid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return D.medoids(_label_distances(spark, sf_dir).withColumnRenamed("g", "cluster"))
+    return D.medoids(D.distance_sums(_vectors(spark, sf_dir)).withColumnRenamed("g", "cluster"))
 
 
 @query(f"WITH {_BOTH}, m AS (SELECT label AS cluster, count(*) AS size, avg(vec_id % 20) AS nodes, count(DISTINCT vec_id % 5) AS files FROM embeddings GROUP BY label), dd AS (SELECT g, avg(d) AS md FROM d WHERE i < j GROUP BY g) SELECT cluster, size, round(nodes, 6) AS mean_nodes, files, round(coalesce(md, 0.0), 6) AS mean_distance, size >= 16 AND nodes < 12 AND coalesce(md, 0.0) < 0.35 AND files >= 3 AS template FROM m LEFT JOIN dd ON dd.g = m.cluster")
 def cluster_stats_template_flag(spark: SparkSession, sf_dir: str) -> DataFrame:
     members = _vectors(spark, sf_dir).select(F.col("g").alias("cluster"), "id", (F.col("id") % 20).alias("nodes"), (F.col("id") % 5).alias("file"))
-    st = D.cluster_stats(members, _label_distances(spark, sf_dir).where("i < j").withColumnRenamed("g", "cluster"))
+    st = D.cluster_stats(members, D.distance_sums(_vectors(spark, sf_dir)).withColumnRenamed("g", "cluster"))
     return st.withColumns({c: F.round(c, 6) for c in ("mean_nodes", "mean_distance")})
 
 
@@ -247,7 +245,7 @@ def average_linkage_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH RECURSIVE {_PAIRS}, e AS (SELECT i, j FROM p WHERE cos >= 0.45 UNION ALL SELECT j, i FROM p WHERE cos >= 0.45), reach(a, b) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT r.a, e.j FROM reach r JOIN e ON e.i = r.b)
 SELECT a AS id, min(b) AS component FROM reach GROUP BY a""")
 def threshold_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    edges = _label_pairs(spark, sf_dir).where("cos >= 0.45").select(F.col("i").alias("src"), F.col("j").alias("dst"))
+    edges = D.similar_pairs(_vectors(spark, sf_dir), 0.45).select(F.col("i").alias("src"), F.col("j").alias("dst"))
     return graphs.connected_components(_vectors(spark, sf_dir).select("id"), edges)
 
 

@@ -53,3 +53,21 @@ def test_parsing(spark):
     data = {(e.src, e.dst, e.label) for e in total.edges if e.view == "data"}
     assert {(1, 4, "s"), (4, 4, "s"), (1, 5, "s"), (4, 5, "s"), (2, 3, "x"), (2, 4, "x")} <= data
     assert parse_program("p", None)[0][-1] == "no text"
+
+
+def test_tiles_match_all_pairs(spark):
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(60, 3))
+    x[5] = 0
+    rows = [(i % 3, i, v.tolist()) for i, v in enumerate(x)] + [(9, 100, [1.0, 0.0, 0.0]), (None, 101, [1.0, 0.0, 0.0])]
+    df = spark.createDataFrame(rows, "g int, id long, v array<double>").repartition(3)
+    unit = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+    cos = unit @ unit.T
+    d = np.round(np.clip(1 - cos, 0, 1), 6)
+    peers = {i: [j for j in range(60) if j != i and j % 3 == i % 3] for i in range(60)}
+    near = {(r.i, r["rank"]): (r.j, r.d) for r in distance.nearest(df, 4, tile=7).collect()}
+    assert near == {(i, k + 1): (j, d[i, j]) for i in peers for k, j in enumerate(sorted(peers[i], key=lambda j: (d[i, j], j))[:4])}
+    sums = {r.i: r.s for r in distance.distance_sums(df, tile=7).collect()}
+    assert set(sums) == {*range(60), 100} and all(abs(sums[i] - sum(d[i, j] for j in peers[i])) < 1e-9 for i in peers)
+    pairs = {(r.i, r.j) for r in distance.similar_pairs(df, 0.8, tile=7).collect()}
+    assert pairs == {(i, j) for i in peers for j in peers[i] if i < j and cos[i, j] >= 0.8}
