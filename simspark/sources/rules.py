@@ -6,7 +6,6 @@ import json
 from pathlib import PurePosixPath
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 SCHEMA = "rule_id int, kind string, fqname string, pattern string, reads array<string>, writes array<string>, flags array<string>, unset array<string>"
 
