@@ -30,7 +30,7 @@ def saved_bytes(spark, tmp_path, monkeypatch, name, path):
     return rows, sum(os.path.getsize(f"{d}/{f}") for d, _, files in os.walk(tmp_path) for f in files)
 
 
-@pytest.mark.parametrize("name", ["near_dup_jaccard_pairs", "program_pair_stats", "program_pair_coverage_score", "dacd_distance_pairs", "rerank_fused", "token_effect_func_similarity", "badge_summary"])
+@pytest.mark.parametrize("name", ["near_dup_jaccard_pairs", "program_pair_stats", "program_pair_coverage_score", "dacd_distance_pairs", "rerank_fused", "token_effect_func_similarity", "badge_summary", "program_pair_base_score"])
 def test_shingles_are_not_saved(spark, tmp_path, monkeypatch, long_texts, name):
     path, size = long_texts
     rows, saved = saved_bytes(spark, tmp_path, monkeypatch, name, path)
