@@ -1,14 +1,16 @@
 """Suffix sorting and removal of repeated strings against brute force."""
 
 import hashlib
+import os
 import random
 from collections import Counter
 
 import numpy as np
 import pytest
 
+from simspark.llm import suffix
 from simspark.llm.common import Workspace
-from simspark.llm.substring_dedup import dedup_documents, digests
+from simspark.llm.substring_dedup import dedup_documents, digests, segments
 from simspark.llm.suffix import suffix_array
 
 
@@ -81,3 +83,27 @@ def test_texts_keep_their_columns_and_whole_characters(spark):
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert digests(Workspace(spark, "t"), docs).collect() == []
+
+
+def test_common_prefixes_hash_few_places(monkeypatch):
+    rng = np.random.default_rng(4)
+    part = rng.integers(97, 105, 20_000, dtype=np.uint8)
+    text = np.concatenate([part, [0], part[5_000:], [0], rng.integers(97, 105, 5_000, dtype=np.uint8), [0]]).astype(np.uint8)
+    hashed, ranged = [], []
+    span, least = suffix._hash.span, suffix._range_min
+    monkeypatch.setattr(suffix._hash, "span", lambda prefix, a, b: hashed.append(len(a)) or span(prefix, a, b), raising=False)
+    monkeypatch.setattr(suffix, "_range_min", lambda values, a, b: ranged.append(len(a)) or least(values, a, b))
+    order, lcp = suffix_array(text, 400)
+    assert sum(hashed) < len(text) and sum(ranged) < 1.2 * len(order)
+    bodies = [bytes(text[i : i + 400]).split(b"\0")[0] for i in order.tolist()]
+    assert lcp.tolist()[1:] == [len(os.path.commonprefix([a, b])) for a, b in zip(bodies, bodies[1:])]
+
+
+def test_segments_without_names_are_the_same():
+    rng = np.random.default_rng(5)
+    body, offsets = rng.integers(97, 101, 300_000, dtype=np.uint8), np.array([0, 0, 90_000, 90_399, 200_000, 300_000])
+    full, bare = segments(body, offsets), segments(body, offsets, named=False)
+    assert all((a == b).all() for a, b in zip(full[:5], bare)) and not bare[5].any()
+    text, first, windows, place, *_ = full
+    owned = sorted((t, w) for t, f, n in zip(text.tolist(), first.tolist(), windows.tolist()) for w in range(f, f + n))
+    assert owned == [(t, w) for t in range(5) for w in range(max(0, int(offsets[t + 1] - offsets[t]) - 399))]
