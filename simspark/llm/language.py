@@ -26,7 +26,7 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from simspark.llm.common import slices, table
+from simspark.llm.common import give_back, slices, table
 from simspark.llm.pretoken import LETTER, character_classes, distinct_spans, gather, span_keys
 
 MAX_TRAINING_ROWS = 6_000
@@ -196,6 +196,7 @@ def predict(df: DataFrame, model: Model, text_col: str = "text", keep: list[str]
             for batch in slices(whole, "text", _BYTES):
                 found, score = model.predict(batch.column("text").to_pylist())
                 yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in sent_back), pa.array(found, pa.string()), pa.array(score, pa.float64())], [*(f.name for f in sent_back), "lang_pred", "score"])
+        give_back()
 
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in sent_back)
     out = kept.mapInArrow(run, f"{schema}, lang_pred string, score double" if schema else "lang_pred string, score double")

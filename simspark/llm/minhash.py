@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from simspark.llm.common import RollingHash, Workspace, grouped, mix64, slices, table, text_buffer
+from simspark.llm.common import RollingHash, Workspace, give_back, grouped, mix64, slices, table, text_buffer
 from simspark.llm.components import connected_components
 
 WIDTH, PERCENT = 4, 80
@@ -135,6 +135,7 @@ def sketch(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", widt
                 h, at = shingle_sets(*text_buffer(batch.column("text")), width)
                 sig = [x.tobytes() for x in signatures(h, at)]
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.diff(at), pa.int64()), *set_names(h, at), pa.array(sig, pa.binary())], ["doc_id", "n_shingles", "h1", "h2", "sig"])
+        give_back()
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, n_shingles long, h1 long, h2 long, sig binary")
 

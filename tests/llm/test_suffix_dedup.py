@@ -3,6 +3,7 @@
 import hashlib
 import os
 import random
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -99,6 +100,19 @@ def test_common_prefixes_hash_few_places(monkeypatch):
     assert lcp.tolist()[1:] == [len(os.path.commonprefix([a, b])) for a, b in zip(bodies, bodies[1:])]
 
 
+def test_sorter_holds_few_arrays():
+    text = np.append(np.random.default_rng(6).integers(97, 123, 1_000_000, dtype=np.uint8), np.uint8(0))
+    suffix_array(text[-1_000:], 400)
+    suffix._hash.prefix(text)  # powers that all sorts share
+    tracemalloc.start()
+    try:
+        suffix_array(text, 400)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 90 * len(text)
+
+
 def test_segments_without_names_are_the_same():
     rng = np.random.default_rng(5)
     body, offsets = rng.integers(97, 101, 300_000, dtype=np.uint8), np.array([0, 0, 90_000, 90_399, 200_000, 300_000])
