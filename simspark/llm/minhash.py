@@ -149,6 +149,7 @@ def _keys(rows: DataFrame) -> DataFrame:
                 batch = whole.slice(start, 5_000)
                 keys = index_keys(_matrix(batch.column("sig"), SYMBOLS))
                 yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(np.repeat(np.asarray(batch.column("id")), SYMBOLS))], ["key", "id"])
+        give_back()
 
     return rows.select("id", "sig").mapInArrow(run, "key long, id long")
 
@@ -166,6 +167,7 @@ def _sets(docs: DataFrame, members: DataFrame, width: int) -> DataFrame:
                 h, at = shingle_sets(*text_buffer(batch.column("text")), width)
                 sets = pa.array([h[a:b].tobytes() for a, b in zip(at.tolist(), at[1:].tolist())], pa.binary())
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *set_names(h, at), sets], ["doc_id", "h1", "h2", "set"])
+        give_back()
 
     texts = docs.join(members.select("doc_id").distinct(), "doc_id", "left_semi")
     made = texts.mapInArrow(run, "doc_id long, h1 long, h2 long, set binary")
@@ -252,6 +254,7 @@ def _wanted(rows: DataFrame, percent: int) -> DataFrame:
                     hit[i] = hit[other] = True
             ids = tile.ids[hit]
             yield pa.RecordBatch.from_arrays([*(pa.array(np.full(len(ids), x)) for x in name), pa.array(ids)], ["key", "i", "j", "id"])
+        give_back()
 
     return rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(run, "key long, i long, j long, id long")
 
@@ -272,6 +275,7 @@ def _tile_links(rows: DataFrame, percent: int) -> DataFrame:
                         out.append((tile.ids[i], tile.ids[k]))
             found = np.array(out, np.int64).reshape(-1, 2)
             yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], ["src", "dst"])
+        give_back()
 
     return rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(run, "src long, dst long")
 

@@ -110,7 +110,7 @@ def test_sorter_holds_few_arrays():
         peak = tracemalloc.get_traced_memory()[1]
     finally:
         tracemalloc.stop()
-    assert peak < 90 * len(text)
+    assert peak < 70 * len(text)
 
 
 def test_segments_without_names_are_the_same():
