@@ -1,8 +1,10 @@
 """Suffix sorting and removal of repeated strings against brute force."""
 
+import gc
 import hashlib
 import os
 import random
+import time
 import tracemalloc
 from collections import Counter
 
@@ -11,7 +13,7 @@ import pytest
 
 from simspark.llm import suffix
 from simspark.llm.common import Workspace
-from simspark.llm.substring_dedup import dedup_documents, digests, segments
+from simspark.llm.substring_dedup import dedup_documents, digests, repeated_windows, segments
 from simspark.llm.suffix import suffix_array
 
 
@@ -121,3 +123,23 @@ def test_segments_without_names_are_the_same():
     text, first, windows, place, *_ = full
     owned = sorted((t, w) for t, f, n in zip(text.tolist(), first.tolist(), windows.tolist()) for w in range(f, f + n))
     assert owned == [(t, w) for t in range(5) for w in range(max(0, int(offsets[t + 1] - offsets[t]) - 399))]
+
+
+def test_a_pass_leaves_its_result_only(spark):
+    """Tables and shuffle files of a pass would stay while the next one runs."""
+    files = lambda: spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().size()
+    gc.collect()
+    spark._jvm.System.gc()
+    time.sleep(3)
+    before, ws = files(), Workspace(spark, "t")
+    rng = random.Random(9)
+    text = lambda n: "".join(rng.choice("abcdefgh") for _ in range(n))
+    passage = text(90)
+    docs = spark.createDataFrame([(i, text(50) + passage + text(50)) for i in range(8)], "uid long, text string")
+    items = repeated_windows(ws, docs, length=40, anchor=12, shard_bytes=2000)
+    assert os.listdir(ws.path.removeprefix("file://")) == ["items"]
+    until = time.time() + 20
+    while files() > before and time.time() < until:
+        ws.free()
+        time.sleep(0.5)
+    assert files() <= before and items.count() == 8
