@@ -1,6 +1,8 @@
 """Queries that do the whole job, against DuckDB or brute force."""
 
 import random
+import re
+from collections import Counter
 
 import duckdb
 import pytest
@@ -145,3 +147,50 @@ def test_pairs_beyond_the_largest_pieces_are_exchanged():
     got = improve([list(range(15)), [15]], lengths, 100)
     assert sorted(i for b in got for i in b) == list(range(16))
     assert sorted(sum(lengths[i] for i in b) for b in got) == [5, 100]
+
+
+@pytest.mark.parametrize("name", ["program_pair_base_score"])
+def test_base_scores_are_of_all_pairs_that_share_a_shingle(spark, copies, tmp_path, monkeypatch, name):
+    from simspark.functions.columns import word_shingles
+    from simspark.operators import overlaps
+
+    monkeypatch.setattr(overlaps, "MEETINGS", 3)  # rows of pairs are made in many steps
+    rng = random.Random(7)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    common = [word() for _ in range(6)]
+    # pairs of low similarity, which bands of four rows all but never find; copies within a program and in others; rows of equal id
+    texts = [[word() for _ in range(40)] + common for _ in range(6)]
+    rows = [(i % 5, " ".join(t), f"p{i % 3}") for i, t in enumerate(texts)] + [(9, " ".join(texts[0]), "p0"), (9, " ".join(texts[0]), "p1"), (10, f"  {' '.join(common)}!", "p2"), (11, "a b c d", "p0"), (12, None, "p1"), (13, " ".join(texts[1]), None)]
+    spark.createDataFrame([(*r[:2], "en", r[2]) for r in rows], "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    for path in (str(tmp_path), copies):
+        columns, want = oracle(path, ORACLES[name])
+        got = sorted(map(tuple, QUERIES[name](spark, path).select(*columns).collect()))
+        assert got == sorted(want) and got
+    docs = [(set(word_shingles(" ".join(re.split("[^a-z0-9]+", t.lower())), 5)), len(re.findall("[a-z0-9]+", t)), p) for _, t, p in rows if t and p]
+    best = {}
+    for x, (s, _, p) in enumerate(docs):
+        for t, _, q in docs:
+            if p != q and s & t:
+                best[x, q] = max(best.get((x, q), 0.0), len(s & t) / len(s | t))
+    base = {}
+    for (x, q), score in best.items():
+        top = base.setdefault((min(docs[x][2], q), max(docs[x][2], q)), [0.0, 0])
+        top[0] += score * docs[x][1]
+        top[1] += docs[x][1]
+    want = sorted((*pair, round(s / w, 6)) for pair, (s, w) in base.items())
+    if name == "badge_summary":
+        want = sorted(Counter("high" if b >= 0.8 else "medium" if b >= 0.6 else "low" for *_, b in want).items())
+    assert sorted(map(tuple, QUERIES[name](spark, str(tmp_path)).select(*columns).collect())) == want
+
+
+def test_shingle_hashes_are_those_of_shingles():
+    from simspark.functions.columns import word_shingles
+    from simspark.operators import overlaps
+
+    rng = random.Random(9)
+    texts = [" ".join(rng.choice(["a", "b", "ab", "c1"]) for _ in range(rng.randrange(12))) for _ in range(80)]
+    v, m, n = overlaps.shingle_hashes(texts)
+    sets, ends = [set(word_shingles(t, 5)) for t in texts], m.cumsum()
+    hashes = [set(v[b - c : b].tolist()) for b, c in zip(ends, m)]
+    assert n.tolist() == [len(t.split()) for t in texts]
+    assert all(len(hashes[i] & hashes[j]) == len(sets[i] & sets[j]) for i in range(80) for j in range(80))
