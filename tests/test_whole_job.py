@@ -149,7 +149,7 @@ def test_pairs_beyond_the_largest_pieces_are_exchanged():
     assert sorted(sum(lengths[i] for i in b) for b in got) == [5, 100]
 
 
-@pytest.mark.parametrize("name", ["program_pair_base_score"])
+@pytest.mark.parametrize("name", ["program_pair_base_score", "badge_summary"])
 def test_base_scores_are_of_all_pairs_that_share_a_shingle(spark, copies, tmp_path, monkeypatch, name):
     from simspark.functions.columns import word_shingles
     from simspark.operators import overlaps
